@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; the same place on every machine of a cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licence_scan import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rule_ledger import apply_policy, ledger
 
@@ -25,6 +38,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import tokenize_to_files
+
+    return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .histogram_sort import histogram_sort
 
