@@ -44,6 +44,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_substrings import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"), 13, ("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import components
+
+    return components(table(spark, sf_dir, "documents"), width=4, percent=80).drop("_h")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
