@@ -143,10 +143,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, drop_share: fl
     either = FOLDED_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 
     def rebuilt(parts: Column) -> Column:
-        hit = lambda i: F.exists("_s", lambda x: (x["a"] <= i) & (i < x["b"]))
-        return F.concat(F.get(parts["gaps"], F.lit(0)), F.array_join(F.transform(parts["ws"], lambda w, i: F.when(hit(i), "").otherwise(F.concat(w, F.get(parts["gaps"], i + 1)))), ""))
+        # what stays lies between the end of a span and the start of the next
+        starts = F.concat(F.array(F.lit(0)), F.transform("_s", lambda x: x["b"]))
+        left = F.zip_with(starts, F.transform("_s", lambda x: x["a"]), lambda a, b: F.array_join(F.slice(parts["tails"], a + 1, F.coalesce(b, F.size(parts["tails"])) - a), ""))
+        return F.concat(parts["head"], F.array_join(left, ""))
 
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(let(F.struct(words_of(F.col("text"), either).alias("ws"), F.split("text", either, -1).alias("gaps")), rebuilt))
+    def cut_up(x: Column) -> Column:
+        tails = F.zip_with(x["ws"], F.slice(x["gaps"], 2, F.size(x["gaps"])), lambda w, gap: F.concat(w, F.coalesce(gap, F.lit(""))))
+        return let(F.struct(F.get(x["gaps"], F.lit(0)).alias("head"), tails.alias("tails")), rebuilt)
+
+    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(let(F.struct(words_of(F.col("text"), either).alias("ws"), F.split("text", either, -1).alias("gaps")), cut_up))
     made = {"doc_id": F.col("doc_id"), "text": text}
     if "n_chars" in rest:
         made["n_chars"] = F.when(F.col("_s").isNull(), F.col("_rest")["n_chars"]).otherwise(F.length(text).cast("long"))

@@ -50,6 +50,13 @@ def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), 13, ("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
+def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_join import line_counts
+
+    out = line_counts(table(spark, sf_dir, "documents"), width=5, percent=80)
+    return out.withColumn("kept_lines", F.concat_ws(",", F.col("kept_lines").cast("array<string>")))
+
+
 def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minmax_dedup import components
 
@@ -76,6 +83,21 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op6_line_join": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i - 1 AS no, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+w AS (SELECT doc_id, no, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM l WHERE len(ws) > 0),
+t AS (SELECT DISTINCT doc_id, no, array_to_string(ws[k:k + 4], ' ') AS tok FROM w),
+s AS (SELECT doc_id, no, count(*) AS n FROM t GROUP BY ALL),
+o AS (SELECT a.doc_id, a.no, b.doc_id AS d2, b.no AS n2, count(*) AS c FROM t a JOIN t b USING (tok)
+      WHERE b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.no < a.no) GROUP BY ALL),
+gone AS (SELECT DISTINCT o.doc_id, o.no FROM o JOIN s x ON x.doc_id = o.doc_id AND x.no = o.no JOIN s y ON y.doc_id = o.d2 AND y.no = o.n2
+         WHERE 100 * c >= 80 * (x.n + y.n - c)),
+k AS (SELECT s.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.no IS NOT NULL) AS n_removed,
+        coalesce(string_agg(s.no::VARCHAR, ',' ORDER BY s.no) FILTER (WHERE g.no IS NULL), '') AS kept_lines
+      FROM s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.no = s.no GROUP BY s.doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_lines, '') AS kept_lines
+FROM documents LEFT JOIN k USING (doc_id)""",
     "op2_rule_ledger": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
