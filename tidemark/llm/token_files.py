@@ -13,7 +13,9 @@ equal doc_ids keep a row each (ordered by text); an empty table makes files with
 
 from __future__ import annotations
 
+import string
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,12 @@ from pyspark.sql import functions as F
 from .common import pick, work_dir
 
 SCALE = 20  # a table's frequencies add up to 2**SCALE
-LANES = 2048
-BLOCK_TOKENS = 1 << 18
+LANES = 4096
+BLOCK_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 22  # tokens held by a task until their table is made
-CHECKPOINT = 64  # steps of LANES ids
+CHECKPOINT = 128  # steps of LANES ids
 END_ID = 0
+PUNCTUATION = string.punctuation
 LOW = 1 << 31
 BLOCK = "n_tokens:bigint,doc_ids:array<bigint>,doc_tokens:array<int>,states:binary,words:binary,marks:binary,crc32:bigint"
 FORMAT = f"file int, part int, first_token long, n_tokens long, table_ids binary, table_freqs binary, blocks array<struct<{BLOCK}>>"
@@ -132,7 +135,7 @@ class Chunks(dict):
     """ids of text chunks as bytes. A chunk begins at a space before a non-space, where the pre-tokenizer always cuts, so
     chunks can be encoded apart; each is encoded by the library once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,11 +145,12 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most, self.old = most, {}
+        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}  # of the byte-level pre-tokenizer; other bytes stand for themselves
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:  # two generations: what is in use moves on, the rest is forgotten
@@ -154,8 +158,14 @@ class Chunks(dict):
             self.clear()
         ids = self.old.get(chunk)
         if ids is None:
-            # Letters and a full stop or comma are tokens apart, so the word's ids serve for all three.
-            ids = self[chunk[:-1]] + self[chunk[-1]] if chunk[-1:] in (".", ",") and len(chunk) > 2 and chunk[0] == " " and chunk[1:-1].isalpha() and max(chunk) < "\u0250" else self.whole(chunk)
+            # The pre-tokenizer parts a space and letters from the punctuation after them, so words are remembered without it.
+            stem = chunk.rstrip(PUNCTUATION)
+            if len(stem) < 2 or stem[0] != " " or not stem[1:].isalpha() or max(stem) >= "\u0250":
+                ids = self.whole(chunk)
+            elif len(stem) < len(chunk):
+                ids = self[stem] + self[chunk[len(stem) :]]
+            else:  # one pre-token: the model's merges alone, on its bytes as the byte-level alphabet writes them
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
         self[chunk] = ids
         return ids
 
