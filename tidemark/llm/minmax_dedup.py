@@ -5,12 +5,13 @@ so PERMUTATIONS evaluations make twice as many signature values; they are banded
 the same words in the same order are one class from the start, so exact copies cost one row. Classes that share a band
 bucket are candidates, and every link is confirmed on the full sets:
 
-1. each class against one hub, the least class of its buckets;
-2. classes still apart in a bucket against a hub of the least component there;
-3. all pairs that share a bucket but no component and aren't checked yet: the exact rest.
+1. Each class is confirmed against one hub, the least class of its buckets; links become components.
+2. Classes of buckets that still hold several components are banded anew, more sharply (SHARP_ROWS values a band), and the
+   new buckets chain them into families. In a family all classes outside its largest component are compared on the full
+   sets with all its other components, in blocks of BLOCK classes by an inverted index: the exact rest.
 
-Between rounds links become components. A pair within one component needs no check, so a bucket of k near copies costs
-about k pairs, and yet no link between candidates is lost. A pair with similarity 0.8 shares no bucket in one of 10**6 cases.
+A pair within one component needs no check, and compared pairs never become rows, so k near copies cost about k rows, and
+yet no link between candidates is lost. A pair with similarity 0.8 shares no bucket in less than one of 10**6 cases.
 
 Defined cases: null or empty texts and texts of white space have an empty set and are linked with nothing; fewer words than
 the width make one shingle; ties keep the least doc_id; rows with a null doc_id take part, and a component of theirs alone
@@ -28,17 +29,19 @@ from .common import WordHashes, cut, finalize, hash_words, window_hashes
 from .components import connected_components
 
 ROWS, BANDS = 5, 36
+SHARP_ROWS, SHARP_BANDS = 8, 128
 PERMUTATIONS = ROWS * BANDS // 2
+BLOCK = 256
 BROADCAST_KEYS = 500_000  # rows of 24 bytes
 
 
 @functools.cache
-def _permutations():
+def _permutations(n: int):
     import numpy as np
 
-    rng = np.random.default_rng(20240607)
-    a = rng.integers(0, 1 << 64, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-    return a[:, None], rng.integers(0, 1 << 64, size=PERMUTATIONS, dtype=np.uint64)[:, None]
+    rng = np.random.default_rng(20240607 + n)
+    a = rng.integers(0, 1 << 64, size=n, dtype=np.uint64) | np.uint64(1)
+    return a[:, None], rng.integers(0, 1 << 64, size=n, dtype=np.uint64)[:, None]
 
 
 def shingles(text: bytes | None, width: int, known: WordHashes):
@@ -53,11 +56,11 @@ def shingles(text: bytes | None, width: int, known: WordHashes):
     return xxhash.xxh3_128_digest(b" ".join(words)), np.unique(window_hashes(hash_words(words, known), width))
 
 
-def bands(values):
-    """BANDS hashes of a set's min-max signature."""
+def bands(values, rows: int = ROWS, n: int = BANDS):
+    """n hashes of a set's min-max signature, each of rows values."""
     import numpy as np
 
-    a, b = _permutations()
+    a, b = _permutations(rows * n // 2)
     low, high = None, None
     with np.errstate(over="ignore"):
         for i in range(0, len(values), 4096):
@@ -65,8 +68,8 @@ def bands(values):
             mn, mx = x.min(axis=1), x.max(axis=1)
             low, high = (mn, mx) if low is None else (np.minimum(low, mn), np.maximum(high, mx))
         # neighbours in a band come from different permutations as far as may be
-        table = np.concatenate([low, high]).reshape(ROWS, BANDS)
-        h = np.arange(BANDS, dtype=np.uint64)
+        table = np.concatenate([low, high]).reshape(rows, n)
+        h = np.arange(n, dtype=np.uint64)
         for row in table:
             h = finalize(h * np.uint64(0x9E3779B97F4A7C15) + row)
     return h.view(np.int64)
@@ -137,7 +140,7 @@ def _near(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over classes from members (h, key, n): the rows of buckets that hold two classes or more."""
     hubs = members.groupBy("h").agg(F.min(F.struct("key", "n")).alias("hub"))
     first = members.join(hubs, "h").select("key", "n", F.col("hub.key").alias("hub"), F.col("hub.n").alias("m")).where((F.col("key") != F.col("hub")) & _near("n", "m", percent))
@@ -145,30 +148,67 @@ def link_classes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     links = tried.where("ok").select("a", "b")
     comps = connected_components(links)
 
-    def placed(comps: DataFrame) -> DataFrame:
-        got = members.join(comps, members["key"] == comps["node"], "left").select("h", "key", "n", F.coalesce("comp", "key").alias("comp"))
-        mixed = got.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h")
-        return cut(got.join(mixed, "h"), "mixed")
-
-    mixed = placed(comps)
+    got = members.join(comps, members["key"] == comps["node"], "left").select("h", "key", F.coalesce("comp", "key").alias("comp"))
+    several = got.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h")
+    mixed = cut(got.join(several, "h").select("key", "comp").distinct(), "mixed")
     if mixed.isEmpty():
         return comps
-    leads = mixed.groupBy("h").agg(F.min(F.struct("comp", "key", "n")).alias("lead"))
-    second = mixed.join(leads, "h").where(F.col("comp") != F.col("lead.comp")).select("key", "n", F.col("lead.key").alias("hub"), F.col("lead.n").alias("m")).where(_near("n", "m", percent)).select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
-    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "ok")
-    new = confirm(second.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    tried = tried.unionByName(new)
-    if not new.where("ok").isEmpty():
-        comps = connected_components(tried.where("ok").select("a", "b"))
-        mixed = placed(comps)
-        if mixed.isEmpty():
-            return comps
-    x, y = mixed.select("h", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), mixed.select("h", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = x.join(y, "h").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)).select("a", "b").distinct()
-    new = confirm(rest.join(tried, ["a", "b"], "left_anti"), sets, percent)
-    if new.where("ok").isEmpty():
+    more = link_families(mixed.join(sets, "key"), percent)
+    if more.isEmpty():
         return comps
-    return connected_components(tried.unionByName(new).where("ok").select("a", "b"))
+    # links between components: what they join takes the least label
+    joined = connected_components(more).select(F.col("node").alias("_c"), F.col("comp").alias("_to"))
+    everyone = comps.unionByName(mixed.select(F.col("key").alias("node"), "comp")).distinct()
+    return everyone.join(joined, F.col("comp") == F.col("_c"), "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+
+
+def link_families(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components of members (key, comp, set) that a confirmed link joins."""
+
+    def sharper(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sigs = [bands(np.frombuffer(x.as_buffer(), np.uint64), SHARP_ROWS, SHARP_BANDS) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, type=pa.list_(pa.int64()))], names=["key", "comp", "sig"])
+
+    held = cut(members.select("key", "comp", "set"), "held")
+    rows = cut(held.mapInArrow(sharper, "key binary, comp binary, sig array<long>"), "sharp").select("key", "comp", F.explode("sig").alias("h"))
+    hubs = rows.groupBy("h").agg(F.min("key").alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h", "hub")
+    families = connected_components(rows.join(hubs, "h").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    own = cut(held.join(families.select(F.col("node").alias("key"), F.col("comp").alias("fam")), "key").select("fam", "key", "comp"), "families")
+    sizes = own.groupBy("fam", "comp").agg(F.count("*").alias("n")).groupBy("fam").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("most")).where("most < n")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    full = own.join(sizes, "fam").withColumns({"nb": blocks(F.col("n")), "nu": blocks(F.col("n") - F.col("most"))}).join(held.select("key", "set"), "key")
+    every = F.sequence(F.lit(0), F.col("nb") - 1), F.sequence(F.lit(0), F.col("nu") - 1)
+    rest = full.where("comp != main").select("fam", mine(F.col("nu")).alias("u"), F.explode(every[0]).alias("i"), "comp", "set", F.lit(True).alias("asks"))
+    all_ = full.select("fam", F.explode(every[1]).alias("u"), mine(F.col("nb")).alias("i"), "comp", "set", F.lit(False).alias("asks"))
+
+    def compare(group):
+        import numpy as np
+        import pyarrow as pa
+
+        asks = np.array(group.column("asks").to_pylist())
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set").combine_chunks()]
+        names, comp = np.unique(np.array([x.hex() for x in group.column("comp").to_pylist()]), return_inverse=True)
+        there, found = np.flatnonzero(~asks), set()
+        if len(there):
+            n = np.array([len(sets[i]) for i in there])
+            values, owner = np.concatenate([sets[i] for i in there]), np.repeat(np.arange(len(there)), n)
+            order = np.argsort(values, kind="stable")
+            values, owner, there_comp = values[order], owner[order], comp[there]
+            for q in np.flatnonzero(asks):
+                low, high = np.searchsorted(values, sets[q]), np.searchsorted(values, sets[q], side="right")
+                runs = high - low
+                at = np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
+                same = np.bincount(owner[at], minlength=len(there))
+                near = (100 * same >= percent * (n + len(sets[q]) - same)) & (there_comp != comp[q])
+                found.update((int(comp[q]), int(c)) for c in np.unique(there_comp[near]))
+        return pa.table({"a": pa.array([bytes.fromhex(names[x]) for x, _ in found], pa.binary()), "b": pa.array([bytes.fromhex(names[y]) for _, y in found], pa.binary())})
+
+    return cut(rest.unionByName(all_).groupBy("fam", "u", "i").applyInArrow(compare, "a binary, b binary").distinct(), "joined")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
