@@ -141,10 +141,10 @@ def line_counts(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with later matches taken out of their texts; a text that only had such lines goes as a row."""
-    kept = ledger(docs, width, percent).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "kept")
+    kept = ledger(docs, width, percent).select(F.col("doc_id").alias("_tm_d"), F.col("tag").alias("_tm_t"), F.col("kept").alias("_tm_kept"))
     keyed = docs.withColumns({"_tm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tm_tag": F.xxhash64("text").bitwiseAND((1 << 30) - 1)})
-    both = keyed.join(kept, (F.col("_tm_id") == F.col("_d")) & (F.col("_tm_tag") == F.col("_t")), "left")
-    own = F.coalesce("kept", F.array().cast("array<int>"))
+    both = keyed.join(kept, (F.col("_tm_id") == F.col("_tm_d")) & (F.col("_tm_tag") == F.col("_tm_t")), "left")
+    own = F.coalesce("_tm_kept", F.array().cast("array<int>"))
     blank = lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) == 0
     had = F.size(F.filter(F.split("text", "\n", -1), lambda x: ~blank(x))) > 0
 

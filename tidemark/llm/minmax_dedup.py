@@ -231,6 +231,6 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that belong to a component of a document with a smaller doc_id; of repeated rows one stays."""
-    gone = components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")).distinct()
-    left = docs.withColumn("_tm_h", F.xxhash64("text")).join(gone, (F.col("_tm_h") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    gone = components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_tm_id"), F.col("_h").alias("_tm_g")).distinct()
+    left = docs.withColumn("_tm_h", F.xxhash64("text")).join(gone, (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id")), "left_anti")
     return left.select(*[left[c] for c in docs.columns])

@@ -155,6 +155,6 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, model:
 
 def accept(docs: DataFrame, labels: DataFrame, reject: float = REJECT, model: Model | None = None) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns."""
-    out = posteriors(docs, labels, model).where(F.col("posterior") >= reject).select(F.col("_key.doc_id").alias("_id"), F.col("_key.h").alias("_h")).distinct()
+    out = posteriors(docs, labels, model).where(F.col("posterior") >= reject).select(F.col("_key.doc_id").alias("_tm_id"), F.col("_key.h").alias("_tm_g")).distinct()
     keyed = docs.withColumns({"_tm_h": F.xxhash64("text")})
-    return keyed.join(out, (F.col("_tm_h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return keyed.join(out, (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id")), "left_anti").select(*[docs[c] for c in docs.columns])
