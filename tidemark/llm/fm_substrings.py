@@ -29,15 +29,16 @@ from .common import WordHashes, cut, finalize, hash_words, window_hashes
 
 GRAM = 4
 DEPTH = 16  # words to which suffixes are ordered; no pattern may be longer
-SHARD_WORDS = 1 << 21  # words of one index; a task builds as many as its fragments need
-BROADCAST_ROWS = 300_000
+SHARD_WORDS = 1 << 19  # words of one index; a task builds as many as its fragments need
+MOST_WINDOWS = 64  # of a fragment, so that a long says which of them are found
+BROADCAST_ROWS, BROADCAST_ITEMS = 300_000, 6_000_000  # of 16 bytes an item at most
 TAG = (1 << 24) - 1  # bits of a text's hash that tell rows of one doc_id apart
 
 _KNOWN = WordHashes()
 
 
 def fragments(h, width: int):
-    """(minimiser, start, length in words) of a text's word hashes: runs of windows with one minimiser, at one place."""
+    """(minimiser, start, length in words) of a text's word hashes: runs of windows whose minimisers are equal, MOST_WINDOWS at most."""
     import numpy as np
 
     n = len(h) - width + 1
@@ -45,22 +46,18 @@ def fragments(h, width: int):
         return None
     gram = min(GRAM, width)
     g = window_hashes(h, gram)
-    best, at, span = g, np.arange(len(g)), 1
+    best, span = g, 1
     want = width - gram + 1
-
-    def least(x, i, shift):
-        a, b = x[:-shift] if shift else x, x[shift:]
-        left = a <= b  # of equals the leftmost
-        return np.where(left, a, b), np.where(left, i[: len(a)], i[shift:])
-
     while span * 2 <= want:
-        best, at = least(best, at, span)
+        best = np.minimum(best[:-span], best[span:])
         span *= 2
     if span < want:
-        best, at = least(best, at, want - span)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(first, append=n)
-    return best[first], first, count + width - 1
+        best = np.minimum(best[: span - want], best[want - span :])
+    new = np.concatenate([[True], best[1:] != best[:-1]])
+    begin = np.flatnonzero(new)
+    new[(np.arange(n) - np.repeat(begin, np.diff(begin, append=n))) % MOST_WINDOWS == 0] = True
+    first = np.flatnonzero(new)
+    return best[first], first, np.diff(first, append=n) + width - 1
 
 
 def fragment_hashes(h, start, length):
@@ -120,11 +117,10 @@ class FMIndex:
 
         n = len(text)
         rank, step = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
         while step < DEPTH:
             after = np.concatenate([rank[step:] + 1, np.zeros(min(step, n), dtype=np.int64)])[:n]
             key = rank * (n + int(rank.max(initial=0)) + 2) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             s = key[order]
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
@@ -156,7 +152,7 @@ class FMIndex:
 
 
 def search(rows: list[tuple], width: int):
-    """For fragments (words as uint64 array, least doc_id) the least doc_id of each window: None for windows found once."""
+    """For fragments (words as uint64 array, least doc_id) the least doc_id of each window: (offsets, values)."""
     import numpy as np
 
     lens = np.array([len(w) for w, _ in rows])
@@ -181,7 +177,7 @@ def search(rows: list[tuple], width: int):
         bounds = np.stack([lows, highs], axis=1).ravel()
         docs = np.append(docs, np.iinfo(np.int64).max)
         out[found] = np.minimum.reduceat(docs, bounds)[::2][inverse]
-    return [out[a : a + n] for a, n in zip(first, windows, strict=True)]
+    return np.append(first, len(out)), out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -210,37 +206,48 @@ def shared_fragments(docs: DataFrame, width: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["mini", "frag", "doc_id", "place"])
 
-    rows = _rows(docs).where("doc_id IS NOT NULL").mapInArrow(apply, "mini long, frag long, doc_id long, place long")
-    several = rows.groupBy("mini").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("mini")
+    rows = cut(_rows(docs).where("doc_id IS NOT NULL").mapInArrow(apply, "mini long, frag long, doc_id long, place long"), "fragments")
+    # Written, so that the join below has plain shuffles on both sides, whose hot partitions can be split.
+    several = cut(rows.groupBy("mini").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("mini"), "several")
     return cut(rows.join(several, "mini"), "shared")
 
 
-def _with_list(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined with lists by doc_id and tag; lists (d, t, ...) are broadcast up to BROADCAST_ROWS rows."""
-    few = lists.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _with_list(docs: DataFrame, lists: DataFrame, how: str, column: str) -> DataFrame:
+    """docs joined with lists (d, t, column) by doc_id and tag; broadcast while rows and items of the lists are within bounds."""
+    n, items = lists.agg(F.count("*"), F.sum(F.size(column))).first()
+    few = n <= BROADCAST_ROWS and (items or 0) <= BROADCAST_ITEMS
     return _rows(docs).join(F.broadcast(lists) if few else lists, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), how)
 
 
 def earliest(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
     """mini, frag and least: the least doc_id of each of the fragment's windows, by backward search in its shard."""
-    one = shared.groupBy("mini", "frag").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "place")).alias("at"))
-    lists = cut(one.groupBy(F.col("at.doc_id").alias("d"), F.col("at.place").bitwiseAND(TAG).alias("t")).agg(F.collect_list(F.struct("mini", "frag", "at.place")).alias("want")), "wanted")
+    one = shared.groupBy("mini", "frag").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+    lists = cut(one.groupBy(F.col("at.doc_id").alias("d"), F.col("at.place").bitwiseAND(TAG).alias("t")).agg(F.collect_list(F.shiftright("at.place", 32).cast("int")).alias("want")), "wanted")
 
     def send(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            out = [[], [], [], []]
-            for doc_id, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for doc_id, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 h = hash_words(text.split(), _KNOWN)
-                for x in want:
-                    start, length = x["place"] >> 32, x["place"] >> 24 & 255
-                    for o, v in zip(out, (x["mini"], x["frag"], doc_id, h[start : start + length].tobytes()), strict=True):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(np.array(out[2], dtype=np.int64)), pa.array(out[3], pa.binary())], names=["mini", "frag", "least", "words"])
+                got = fragments(h, width)
+                if got is None:
+                    continue
+                mini, start, length = got
+                mine = np.flatnonzero(np.isin(start, want.values.to_numpy()))  # another text of this doc_id and tag has other starts
+                frag = fragment_hashes(h, start, length)
+                mini, start, length, frag = mini[mine], start[mine], length[mine], frag[mine]
+                at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+                for o, v in zip(out, (mini.view(np.int64) >> np.int64(16), frag.view(np.int64), np.full(len(mine), doc_id, dtype=np.int64), h[at], length), strict=True):
+                    o.append(v)
+            if out[0]:
+                ends = np.cumsum(np.concatenate(out[4])) * 8
+                words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.concatenate(out[3]))])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in out[:3]], words], names=["mini", "frag", "least", "words"])
 
-    sent = _with_list(docs, lists, "inner").select("doc_id", "text", "want").mapInArrow(send, "mini long, frag long, least long, words binary")
+    sent = _with_list(docs, lists, "inner", "want").select("doc_id", "text", "want").mapInArrow(send, "mini long, frag long, least long, words binary")
 
     def look(batches):
         import numpy as np
@@ -250,8 +257,8 @@ def earliest(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
         size, last = 0, None
 
         def done():
-            found = search([(w, d) for _, _, d, w in held], width)
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["mini", "frag", "least"])
+            offsets, found = search([(w, d) for _, _, d, w in held], width)
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))], names=["mini", "frag", "least"])
 
         for b in batches:
             for mini, frag, least, words in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
@@ -275,10 +282,10 @@ def dedup_substrings(docs: DataFrame, width: int = 13, outputs: tuple[str, ...]
         raise ValueError(f"width must be from 1 to {DEPTH}")
     shared = shared_fragments(docs, width)
     found = cut(earliest(docs, shared, width), "earliest")
-    start = F.shiftright("place", 32)
-    hit = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), i.cast("long") + start)), lambda x: x.isNotNull())
-    hits = shared.join(found, ["mini", "frag"]).select(F.col("doc_id").alias("d"), F.col("place").bitwiseAND(TAG).alias("t"), hit.alias("w")).where(F.size("w") > 0)
-    lists = cut(hits.groupBy("d", "t").agg(F.flatten(F.collect_set("w")).alias("w")), "hits")
+    # bit i of the mask: window i of the fragment starts in a smaller doc_id
+    mask = F.aggregate(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    hits = shared.join(found, ["mini", "frag"]).select(F.col("doc_id").alias("d"), F.col("place").bitwiseAND(TAG).alias("t"), F.shiftright("place", 32).cast("int").alias("s"), mask.alias("m")).where("m != 0")
+    lists = cut(hits.groupBy("d", "t").agg(F.collect_set(F.struct("s", "m")).alias("w")), "hits")
 
     def apply(batches):
         import numpy as np
@@ -287,12 +294,14 @@ def dedup_substrings(docs: DataFrame, width: int = 13, outputs: tuple[str, ...]
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string(), "intervals": pa.list_(pa.list_(pa.int32()))}
         for b in batches:
             made: dict = {c: [] for c in outputs}
-            for doc_id, text, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc_id, text, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 words, n, spans = (text or b"").split(), 0, ()
                 total = len(words)
-                if starts:
+                if hit.is_valid:
                     edge = np.zeros(total + 1, dtype=np.int32)
-                    s = np.unique(np.array(starts, dtype=np.int64))
+                    start, found = (hit.values.field(i).to_numpy() for i in (0, 1))
+                    which, bit = np.nonzero(found.view(np.uint64)[:, None] >> np.arange(MOST_WINDOWS, dtype=np.uint64) & np.uint64(1))
+                    s = np.unique(start[which].astype(np.int64) + bit)
                     edge[s] += 1
                     edge[s + width] -= 1
                     gone = np.cumsum(edge[:-1]) > 0
@@ -310,4 +319,4 @@ def dedup_substrings(docs: DataFrame, width: int = 13, outputs: tuple[str, ...]
                     made["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(made[c], type=types[c]) for c in outputs], names=list(outputs))
 
-    return _with_list(docs, lists, "left").select("doc_id", "text", "w").mapInArrow(apply, ", ".join(f"{c} {KINDS[c]}" for c in outputs))
+    return _with_list(docs, lists, "left", "w").select("doc_id", "text", "w").mapInArrow(apply, ", ".join(f"{c} {KINDS[c]}" for c in outputs))
