@@ -42,7 +42,7 @@ def _splitters(cells: list, shards: int, near: float) -> list[int]:
         edges.append((run, c["fresh"]))
         run += c["b"]
     cuts = []
-    for s in range(1, shards):
+    for s in range(1, shards) if cells else ():
         ideal = total * s / shards
         best = min(range(len(edges)), key=lambda i: abs(edges[i][0] - ideal), default=0)
         whole = min((i for i in range(len(edges)) if edges[i][1]), key=lambda i: abs(edges[i][0] - ideal), default=best)
@@ -56,7 +56,7 @@ def _splitters(cells: list, shards: int, near: float) -> list[int]:
     return out
 
 
-def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, near: float = 0.01) -> DataFrame:
+def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, near: float = 0.02) -> DataFrame:
     """docs with size, text_crc32, shard and slot. tolerance: of a shard's bytes, for a cell; near: of a shard's bytes, to keep a group whole."""
     if shards < 1:
         raise ValueError("shards must be positive")
