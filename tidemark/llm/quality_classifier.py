@@ -28,12 +28,14 @@ from .common import FOLD_TABLE, cut
 BITS = 18
 TRAIN_ROWS = 20_000
 REJECT = 0.5  # posterior of being bad, from which a document goes
-EPOCHS = 4
+EPOCHS = 8
+LEAST_COUNT = 50  # labelled documents with a bucket's words, for the bucket to have a weight
+PREFIXES = (4, 5)
 SHAPES = 8
 
 
 def features(text: bytes):
-    """(word buckets of the text's distinct folded words, shape values), all of it in the text's length."""
+    """(buckets of the text's distinct folded words and of their first PREFIXES bytes, shape values), in the text's length."""
     import zlib
 
     words = text.translate(FOLD_TABLE).split()
@@ -43,7 +45,9 @@ def features(text: bytes):
     upper = sum(text.count(b) for b in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") if raw else 0
     symbols = sum(text.count(b) for b in b"#*$%&|<>")
     shape = [1.0 - len(own) / n, upper / raw, symbols / n, text.count(b"!") / n, len(text) / n / 10, 1.0 if n < 20 else 0.0, text.count(b"\n") / n, math.log1p(n) / 10]
-    return [zlib.crc32(w) & ((1 << BITS) - 1) for w in own], shape
+    # Inflected forms share their stem, so a prefix tells of words that the labels don't show.
+    stems = {w[:n] + b"-" for n in PREFIXES for w in own if len(w) > n}
+    return [zlib.crc32(w) & ((1 << BITS) - 1) for w in (*own, *stems)], shape
 
 
 class Model:
@@ -82,7 +86,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(words, shapes, 0.0)
     gw, gs, bias, gb = np.full(1 << BITS, 1e-2), np.full(SHAPES, 1e-2), 0.0, 1e-2
     rng = np.random.default_rng(8)
-    data = [(np.array(r["w"], dtype=np.int64), np.array(r["s"]), float(r["bad"])) for r in rows]
+    seen = np.zeros(1 << BITS, dtype=np.int64)
+    for r in rows:
+        seen[np.unique(r["w"])] += 1
+    least = min(LEAST_COUNT, max(1, len(rows) // 100))  # small samples have few words that often
+    data = [(at[seen[at] >= least], np.array(r["s"]), float(r["bad"])) for r in rows for at in [np.array(r["w"], dtype=np.int64)]]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
             at, s, y = data[i]
