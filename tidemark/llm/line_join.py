@@ -8,9 +8,10 @@ left. Lines without words stay.
    count, then by hash. Any total order keeps the prefix filter exact, and rarity makes it sharp.
 2. Lines with equal token sets are one class, held by its first line; aggregation combines them before the shuffle.
 3. A class sends its prefix, the n - ceil(n * percent) + 1 rarest tokens. Within a token, each class is paired with the first
-   one, under the length and the positional filter, and verified on the full sets. Classes of which no earlier match is
-   found are then paired with all other earlier ones that share a token: the exact rest. So k near copies cost about k
-   pairs. Tokens that the buckets show to be hot are salted, and the firsts of their parts meet in the rest.
+   one, under the length and the positional filter, and verified on the full sets.
+4. Shared prefix tokens chain classes into families. Classes of which no earlier match is found yet are held against their
+   family in blocks of BLOCK token sets, earlier lines alone: the exact rest. Its pairs never become rows, so k near copies
+   cost about k rows. Tokens that the buckets show to be hot are salted, and the firsts of their parts are linked.
 
 DataFrame expressions only. Tokens are compared by 64-bit hashes. Defined cases: null and empty texts have no lines with words
 and stay as they are; a null doc_id comes after all others; of equal lines in rows of one doc_id the smaller text hash is
@@ -24,54 +25,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, let, pick
-from .decontaminate import run_keys
+from .components import connected_components
 
 BUCKETS = 18  # bits; the counts are 2**18 small numbers whatever the input
-HOT = 1_000_000  # lines in a bucket from which its tokens are salted
+LEVELS = 1.75  # levels for a doubling of the count
+HOT = 35  # level from which tokens are salted: about a million lines in the bucket
+SALTS = 64
 BROADCAST_ROWS = 300_000
+BLOCK = 256
+KEY_BITS = 57  # of a token's hash, below its rarity in a long
 LAST = (1 << 63) - 1
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
 def line_tokens(line: Column, width: int) -> Column:
-    """Distinct token hashes of a line, unordered; empty without words."""
-    return let(line_words(line), lambda ws: F.when(F.size(ws) >= width, F.array_distinct(run_keys(ws, width))).when(F.size(ws) > 0, F.array(F.xxhash64(F.lit(0), ws))).otherwise(F.array().cast("array<bigint>")))
+    """Token hashes of a line, unordered and with repeats; empty without words. One pass over the words."""
+
+    def runs(ws: Column) -> Column:
+        hashes = F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, width)]))
+        return F.when(F.size(ws) >= width, F.slice(hashes, 1, F.greatest(F.size(ws) - (width - 1), F.lit(0)))).when(F.size(ws) > 0, F.array(F.xxhash64(F.lit(0), ws))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(line_words(line), runs)
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, no and line, for every line."""
+    return _named(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").bitwiseAND((1 << 30) - 1).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def bucket_counts(docs: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket how many tokens of lines fall into it."""
-    lines = _named(docs).select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    buckets = lines.select(F.explode(F.transform(line_tokens(F.col("line"), width), lambda t: F.shiftrightunsigned(t, 64 - BUCKETS).cast("int"))).alias("at"))
+def bucket_rarity(docs: DataFrame, width: int) -> DataFrame:
+    """One row: for each bucket of tokens a level from 0 to 63 that grows with the logarithm of its count over all lines."""
+    buckets = lines_of(docs).select(F.explode(line_tokens(F.col("line"), width)).alias("t")).select(F.shiftrightunsigned("t", 64 - BUCKETS).cast("int").alias("at"))
     counts = buckets.groupBy("at").agg(F.count("*").alias("c"))
+    level = F.least(F.lit(63), F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * LEVELS)).cast("int")
     full = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    return full.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0).cast("long")).alias("c")))).alias("r")).select(F.col("r.c").alias("counts"))
+    return full.agg(F.array_sort(F.collect_list(F.struct("at", level.alias("c")))).alias("r")).select(F.col("r.c").alias("levels"))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + F.lit(1)).cast("int")
 
 
-def classes(docs: DataFrame, counts: Column, width: int, percent: int) -> DataFrame:
-    """Of each token set the first line: doc_id, place (tag and line number), n and its prefix of (token, bucket count)."""
-
-    def ordered(tokens: Column) -> Column:
-        # bucket count above, place in the array below: one sort of longs, then the tokens in that order
-        rated = F.transform(tokens, lambda t: F.struct(F.get(F.col("_c"), F.shiftrightunsigned(t, 64 - BUCKETS).cast("int")).alias("c"), t.alias("t")))
-        return F.array_sort(rated)
-
-    def described(line: Column, no: Column) -> Column:
-        return let(ordered(line_tokens(line, width)), lambda o: F.struct(no.alias("no"), F.size(o).alias("n"), F.xxhash64(o["t"]).alias("k1"), F.xxhash64(F.lit(1), o["t"]).alias("k2"), F.slice(o, 1, F.greatest(prefix_size(F.size(o), percent), F.lit(0))).alias("prefix")))
-
-    lines = _named(docs).withColumn("_c", counts).select("doc_id", "tag", F.inline(F.filter(F.transform(F.split("text", "\n", -1), described), lambda x: x["n"] > 0)))
+def classes(docs: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+    """Of each token set the first line: doc_id, place (tag and line number), n and its prefix of tokens, rarest first."""
+    rated = lambda ts: F.transform(ts, lambda t: F.shiftleft(F.get(F.col("_c"), F.shiftrightunsigned(t, 64 - BUCKETS).cast("int")).cast("long"), KEY_BITS).bitwiseOR(t.bitwiseAND((1 << KEY_BITS) - 1)))
+    lines = lines_of(docs).withColumn("_c", levels).select("doc_id", "tag", "no", F.sort_array(F.array_distinct(rated(line_tokens(F.col("line"), width)))).alias("o")).where(F.size("o") > 0)
+    n = F.size("o")
     place = F.shiftleft(F.col("tag"), 32) + F.col("no")
-    return lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", place.alias("place"), "n", "prefix")).alias("l")).select("l.*")
+    keyed = lines.select("doc_id", place.alias("place"), n.alias("n"), F.xxhash64("o").alias("k1"), F.xxhash64(F.lit(1), "o").alias("k2"), F.slice("o", 1, prefix_size(n, percent)).alias("prefix"))
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "prefix")).alias("l")).select("l.*")
 
 
 def _similar(percent: int, x: str, y: str, overlap: Column) -> Column:
@@ -90,42 +101,62 @@ def _sets(docs: DataFrame, lines: DataFrame, width: int) -> DataFrame:
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = _named(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
     own = let(F.split("text", "\n", -1), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(ls, no).alias("line"))))
-    found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft(F.col("tag"), 32) + F.col("no")).alias("place"), line_tokens(F.col("line"), width).alias("tokens"))
+    found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft(F.col("tag"), 32) + F.col("no")).alias("place"), F.array_distinct(line_tokens(F.col("line"), width)).alias("tokens"))
     # repeated rows give the same line twice
     return found.groupBy("doc_id", "place").agg(F.first("tokens").alias("tokens"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (doc_id, place, d, p) whose full token sets are similar enough."""
-    pairs = cut(pairs, "pairs")
-    sets = cut(_sets(docs, pairs.select("doc_id", "place").unionByName(pairs.select(F.col("d").alias("doc_id"), F.col("p").alias("place"))).distinct(), width), "sets")
+def _close(x: Column, y: Column, percent: int) -> Column:
+    return F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.size(x) + F.size(y)) * percent
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and place of the pairs (doc_id, place, d, p) whose full token sets are similar enough."""
     both = pairs.join(sets.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(sets.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
-    same = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(same * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("doc_id", "place", "d", "p"), "verified")
+    return cut(both.where(_close(F.col("x"), F.col("y"), percent)).select("doc_id", "place").distinct(), "verified")
+
+
+def rest(members: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and place of those members not gone yet that are similar to an earlier line of their family."""
+    me, other = F.struct("doc_id", "place"), F.struct(F.col("d").alias("doc_id"), F.col("p").alias("place"))
+    families = connected_components(members.select(me.alias("a"), other.alias("b")).distinct())
+    named = families.select(F.col("node.doc_id").alias("doc_id"), F.col("node.place").alias("place"), F.xxhash64("comp").alias("fam")).join(sets, ["doc_id", "place"])
+    named = cut(named, "families")
+    open_ = named.join(gone, ["doc_id", "place"], "left_anti")
+    sizes = open_.groupBy("fam").agg(F.count("*").alias("_u")).join(named.groupBy("fam").agg(F.count("*").alias("_n")), "fam").where("_n > 1").select("fam", F.ceil(F.col("_n") / BLOCK).cast("int").alias("nb"))
+    blocks = named.join(sizes, "fam").groupBy("fam", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("i")).agg(F.collect_list(F.struct("doc_id", "place", "tokens")).alias("block"))
+    asks = open_.join(sizes, "fam").select("fam", "doc_id", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
+    earlier = lambda x: (x["doc_id"] < F.col("doc_id")) | ((x["doc_id"] == F.col("doc_id")) & (x["place"] < F.col("place")))
+    sized = lambda x: (F.size(x["tokens"]) * 100 >= F.size("tokens") * percent) & (F.size("tokens") * 100 >= F.size(x["tokens"]) * percent)
+    hit = F.exists("block", lambda x: F.when(earlier(x) & sized(x), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
+    return asks.join(blocks, ["fam", "i"]).where(hit).select("doc_id", "place").distinct()
 
 
 def ledger(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, tag and kept: numbers of the lines with words that stay, ascending. Documents of which no such line stays are missing."""
-    counts = cut(bucket_counts(docs, width), "counts").scalar()
-    firsts = cut(classes(docs, counts, width, percent), "classes")
-    tokens = firsts.where(F.col("n") * 100 >= (F.col("n") + 1) * percent if percent < 100 else F.lit(False)).select("doc_id", "place", "n", F.posexplode("prefix").alias("i", "e"))
-    salt = F.when(F.col("e.c") > HOT, F.pmod(F.xxhash64("doc_id", "place"), F.floor(F.col("e.c") / HOT) + 1)).otherwise(F.lit(0).cast("long"))
-    rows = tokens.select(F.col("e.t").alias("t"), salt.alias("salt"), "doc_id", "place", "n", "i")
-    group = Window.partitionBy("t", "salt").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumns({"d": F.first("doc_id").over(group), "p": F.first("place").over(group), "m": F.first("n").over(group), "j": F.first("i").over(group), "_next": F.lead("place").over(Window.partitionBy("t", "salt").orderBy("doc_id", "place"))})
-    # Tokens of one class are done here; salted parts are kept whole, as their firsts meet in the rest.
-    members = cut(seen.where("salt > 0 OR _next IS NOT NULL OR d != doc_id OR p != place").drop("_next"), "members")
+    levels = cut(bucket_rarity(docs, width), "levels").scalar()
+    firsts = cut(classes(docs, levels, width, percent), "classes")
+    # A set of n tokens can only be similar to another one if n + 1 or n - 1 tokens could be.
+    able = firsts.where(F.col("n") * 100 >= (F.col("n") + 1) * percent if percent < 100 else F.lit(False))
+    tokens = able.select("doc_id", "place", "n", F.posexplode("prefix").alias("i", "t"))
+    salt = F.when(F.shiftrightunsigned("t", KEY_BITS) >= HOT, F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    rows = tokens.select("t", salt.alias("salt"), "doc_id", "place", "n", "i")
+    order = Window.partitionBy("t", "salt").orderBy("doc_id", "place")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({"d": F.first("doc_id").over(group), "p": F.first("place").over(group), "m": F.first("n").over(group), "j": F.first("i").over(group), "_next": F.lead("place").over(order)})
+    hot = F.shiftrightunsigned("t", KEY_BITS) >= HOT
     apart = (F.col("d") != F.col("doc_id")) | (F.col("p") != F.col("place"))
-    one = members.where(apart & _filters(percent)).select("doc_id", "place", "d", "p").distinct()
-    near = verified(docs, one, width, percent)
-    gone = near.select("doc_id", "place").distinct()
-    open_ = members.join(gone, ["doc_id", "place"], "left_anti").select("t", "doc_id", "place", "n", "i")
-    others = members.select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("i").alias("j"))
-    earlier = (F.col("d") < F.col("doc_id")) | ((F.col("d") == F.col("doc_id")) & (F.col("p") < F.col("place")))
-    rest = open_.join(others, "t").where(earlier & _filters(percent)).select("doc_id", "place", "d", "p").distinct().join(cut(one, "tried"), ["doc_id", "place", "d", "p"], "left_anti")
-    more = verified(docs, rest, width, percent)
-    gone = gone.unionByName(more.select("doc_id", "place")).distinct()
-    kept = firsts.select("doc_id", "place").join(gone, ["doc_id", "place"], "left_anti")
+    # Tokens of one class are done here; salted parts are kept whole until their firsts are linked.
+    members = cut(seen.where(hot | apart | F.col("_next").isNotNull()).drop("_next"), "members")
+    heads = members.where(hot & ~apart)
+    first = heads.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f"))
+    between = heads.join(first, "t").select("t", "salt", "doc_id", "place", "n", "i", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
+    linked = members.where(apart).unionByName(between.where(apart))
+    lines = linked.select("doc_id", "place").unionByName(linked.select(F.col("d").alias("doc_id"), F.col("p").alias("place"))).distinct()
+    sets = cut(_sets(docs, lines, width), "sets")
+    near = verified(linked.where(_filters(percent)).select("doc_id", "place", "d", "p").distinct(), sets, percent)
+    more = rest(linked, near, sets, percent)
+    kept = firsts.select("doc_id", "place").join(near.unionByName(more).distinct(), ["doc_id", "place"], "left_anti")
     return kept.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.array_sort(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("kept"))
 
 
