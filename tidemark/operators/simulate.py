@@ -99,7 +99,8 @@ def rsi(bars: DataFrame, period: int = 14, order: str = "date") -> DataFrame:
     """Relative strength with Wilder's averages; a loss of 0 counts as 1e-10."""
     w = Window.partitionBy("ticker").orderBy(order)
     d = F.col("close") - F.lag("close").over(w)
-    b = bars.withColumns({"_g": F.greatest(d, F.lit(0.0)), "_l": F.greatest(-d, F.lit(0.0))})
+    known = d.isNotNull()  # the averages start at the first change; greatest() would read a missing one as 0
+    b = bars.withColumns({"_g": F.when(known, F.greatest(d, F.lit(0.0))), "_l": F.when(known, F.greatest(-d, F.lit(0.0)))})
     b = ewm(ewm(b, "_g", 1 / period, "_ag", order), "_l", 1 / period, "_al", order)
     rs = F.col("_ag") / F.when(F.col("_al") == 0, 1e-10).otherwise(F.col("_al"))
     return b.withColumn("rsi", 100 - 100 / (1 + rs)).drop("_g", "_l", "_ag", "_al")
