@@ -176,7 +176,11 @@ def link_families(members: DataFrame, percent: int) -> DataFrame:
     held = cut(members.select("key", "comp", "set"), "held")
     rows = cut(held.mapInArrow(sharper, "key binary, comp binary, sig array<long>"), "sharp").select("key", "comp", F.explode("sig").alias("h"))
     hubs = rows.groupBy("h").agg(F.min("key").alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h", "hub")
-    families = connected_components(rows.join(hubs, "h").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    # A key's hubs, at most SHARP_BANDS, are linked through the least of them: near copies share their hubs, so that distinct
+    # links number about one a key, not one a key and band.
+    seen = rows.join(hubs, "h").groupBy("key").agg(F.collect_set("hub").alias("hubs"))
+    links = seen.select(F.explode(F.array_union("hubs", F.array("key"))).alias("a"), F.array_min("hubs").alias("b")).distinct()
+    families = connected_components(links)
     own = cut(held.join(families.select(F.col("node").alias("key"), F.col("comp").alias("fam")), "key").select("fam", "key", "comp"), "families")
     sizes = own.groupBy("fam", "comp").agg(F.count("*").alias("n")).groupBy("fam").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.max("n").alias("most")).where("most < n")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
