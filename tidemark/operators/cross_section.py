@@ -17,7 +17,8 @@ def winsorised_score(frame: DataFrame, column: str, by: list[str], out: str) ->
     f = f.withColumn("_c", F.when(F.col(column).isNotNull(), F.greatest("_lo", F.least("_hi", F.col(column)))))
     mean, sd = F.avg("_c").over(w), F.stddev_samp("_c").over(w)
     z = (F.col("_c") - mean) / sd * SIGMA + MEAN
-    score = F.when(sd.isNull() | (sd < 1e-9), MEAN).otherwise(F.coalesce(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), z)), F.lit(MEAN)))
+    # greatest() and least() skip nulls, so an unknown value is told apart first: it scores the middle
+    score = F.when(sd.isNull() | (sd < 1e-9) | z.isNull(), MEAN).otherwise(F.greatest(F.lit(LOW), F.least(F.lit(HIGH), z)))
     return f.withColumn(out, score).drop("_lo", "_hi", "_c")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formulas import rnd
+from ..functions.formulas import HALF, rnd
 
 FLAGSHIP = "c17_factor_scan"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +27,7 @@ def register(sql: str | None = None):
 
 
 def with_plain_rounding(sql: str) -> str:
-    """Writes each round(x, n) as floor(x * 10**n + 0.5) / 10**n: engines round ties in different ways, but agree on this."""
+    """Writes each round(x, n) as rnd() does it: engines round ties in different ways, but agree on this."""
     while (at := sql.find("round(")) >= 0:
         depth, i, comma = 1, at + 6, -1
         while depth:
@@ -35,7 +35,7 @@ def with_plain_rounding(sql: str) -> str:
             comma = i if sql[i] == "," and depth == 1 else comma
             i += 1
         n = 10.0 ** int(sql[comma + 1 : i - 1])
-        sql = f"{sql[:at]}(floor(({sql[at + 6 : comma]}) * {n!r} + 0.5) / {n!r}){sql[i:]}"
+        sql = f"{sql[:at]}(floor(({sql[at + 6 : comma]}) * {n!r} + {1 - HALF!r}::DOUBLE) / {n!r}){sql[i:]}"
     return sql
 
 

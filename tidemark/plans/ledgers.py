@@ -97,7 +97,7 @@ def a39_combine_required(spark, sf):
 
 
 @register("""WITH i AS (SELECT c_name AS symbol, c_custkey % 10 * 1.0 AS qty FROM customer WHERE c_custkey % 5 != 0), h AS (SELECT c_name AS symbol, c_custkey % 10 + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END * 1.0 AS qty FROM customer WHERE c_custkey % 7 != 0)
-SELECT coalesce(i.symbol, h.symbol) AS symbol, i.qty AS intended, h.qty AS held, CASE WHEN h.qty IS NULL THEN 'missing' WHEN i.qty IS NULL THEN 'extra' WHEN abs(i.qty - h.qty) <= 0.001 THEN 'matched' ELSE 'mismatch' END AS status FROM i FULL JOIN h ON i.symbol = h.symbol""")
+SELECT coalesce(i.symbol, h.symbol) AS symbol, i.qty::DOUBLE AS intended, h.qty::DOUBLE AS held, CASE WHEN h.qty IS NULL THEN 'missing' WHEN i.qty IS NULL THEN 'extra' WHEN abs(i.qty - h.qty) <= 0.001 THEN 'matched' ELSE 'mismatch' END AS status FROM i FULL JOIN h ON i.symbol = h.symbol""")
 def j14_reconcile(spark, sf):
     c = src.table(spark, sf, "customer")
     q = (F.col("c_custkey") % 10).cast("double")

@@ -394,7 +394,7 @@ def _plans(spark, sf):
     return simulate.first_touch(plans, n)
 
 
-@register(f"{BARS}, {_PLANS} SELECT plan_id, outcome, fill_pos, exit_pos, CASE outcome WHEN 'loss' THEN -1.0 WHEN 'win' THEN rr ELSE 0.0 END AS r FROM tr")
+@register(f"{BARS}, {_PLANS} SELECT plan_id, outcome, fill_pos, exit_pos, CAST(CASE outcome WHEN 'loss' THEN -1.0 WHEN 'win' THEN rr ELSE 0.0 END AS DOUBLE) AS r FROM tr")
 def b7_first_touch(spark, sf):
     return _plans(spark, sf).select("plan_id", "outcome", "fill_pos", "exit_pos", "r")
 
@@ -435,10 +435,11 @@ def a31_calendar_curve(spark, sf):
 
 
 @register(f"""{BARS}, {_CURVE}, h AS (SELECT ticker, entry_pos, unnest(range(entry_pos + 1, exit_pos + 1)) AS pos FROM td), d AS (SELECT h.pos, count(*) AS held, avg(coalesce(r, 0.0) - CASE WHEN h.pos = entry_pos + 1 THEN 0.0012 ELSE 0.0 END) AS ret FROM h LEFT JOIN cb USING (ticker, pos) GROUP BY h.pos)
-SELECT year(date) AS year, round(exp(sum(ln(1 + CASE WHEN held >= 1 THEN ret ELSE 0.0 END))) - 1, 6) AS ret, round(avg(CASE WHEN coalesce(held, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS exposure FROM cal LEFT JOIN d USING (pos) GROUP BY 1""")
+SELECT year(date) AS year, round(sum(ln(1 + CASE WHEN held >= 1 THEN ret ELSE 0.0 END)), 6) AS log_ret, round(avg(CASE WHEN coalesce(held, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS exposure FROM cal LEFT JOIN d USING (pos) GROUP BY 1""")
 def a34_yearly_returns(spark, sf):
     t, b = _events(spark, sf)
-    return rounded(simulate.yearly_returns(simulate.calendar_curve(t, b)))
+    y = simulate.yearly_returns(simulate.calendar_curve(t, b))
+    return rounded(y.select("year", F.log1p("ret").alias("log_ret"), "exposure"))  # these bars jump so much that only logarithms have a scale
 
 
 @register(f"""{BARS}, {_MOM}, k AS (SELECT *, CASE WHEN mom >= 5 THEN 1 WHEN mom <= -5 THEN 0 END AS mark FROM m) SELECT ticker, date, coalesce(last_value(mark IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM k""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 TRADES = """li AS (SELECT n_name AS ticker, r_name AS sector, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS p, l_extendedprice AS x,
   l_quantity AS q, l_orderkey, l_linenumber, l_suppkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 _OHLC = """round(struct_extract(min({'a': l_orderkey, 'b': l_linenumber, 'p': p}), 'p'), 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low,
-  round(sum(x) / sum(q), 6) AS close, sum(q) AS volume"""
+  round(sum(x::DECIMAL(18, 2))::DOUBLE / sum(q), 6) AS close, sum(q) AS volume"""
 BARS = f"WITH {TRADES}, b AS (SELECT ticker, sector, date, {_OHLC} FROM li GROUP BY ticker, sector, date)"
 WEEKLY = f"""WITH li AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS p,
   l_extendedprice AS x, l_quantity AS q, l_orderkey, l_linenumber FROM lineitem), b AS (SELECT ticker, date, {_OHLC} FROM li GROUP BY ticker, date)"""

@@ -28,7 +28,7 @@ def _bars(t: DataFrame, *keys: str) -> DataFrame:
         rnd(F.min(F.struct("l_orderkey", "l_linenumber", "p"))["p"], 6).alias("open"),
         rnd(F.max("p"), 6).alias("high"),
         rnd(F.min("p"), 6).alias("low"),
-        rnd(F.sum("x") / F.sum("q"), 6).alias("close"),
+        rnd(F.sum(F.col("x").cast("decimal(18,2)")).cast("double") / F.sum("q"), 6).alias("close"),  # prices have cents: an exact sum
         F.sum("q").alias("volume"),
     )
 
