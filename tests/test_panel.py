@@ -68,7 +68,7 @@ def test_swings_and_gaps(bars):
 def test_first_touch_is_the_first_of_its_kind(spark):
     bars = [("A", i, h, lo) for i, (h, lo) in enumerate([(10.0, 9.0), (10.2, 9.8), (10.5, 9.9), (12.5, 9.0), (13.0, 12.0)])]
     b = spark.createDataFrame(bars, "ticker string, pos int, high double, low double")
-    plans = [("w", "A", 0, "long", 9.7, 10.0, 8.0, 12.0, 2.0), ("same", "A", 0, "long", 9.7, 10.0, 9.1, 12.0, 2.0), ("none", "A", 0, "long", 1.0, 2.0, 0.5, 3.0, 2.0), ("s", "A", 0, "short", 10.0, 10.3, 11.0, 9.85, 1.5), ("late", "A", 4, "long", 9, 10.0, 8.0, 12.0, 2.0)]
+    plans = [("w", "A", 0, "long", 9.7, 10.0, 8.0, 12.0, 2.0), ("same", "A", 0, "long", 9.7, 10.0, 9.1, 12.0, 2.0), ("none", "A", 0, "long", 1.0, 2.0, 0.5, 3.0, 2.0), ("s", "A", 0, "short", 10.0, 10.3, 11.0, 9.85, 1.5), ("late", "A", 4, "long", 9.0, 10.0, 8.0, 12.0, 2.0)]
     p = spark.createDataFrame(plans, "plan_id string, ticker string, start_pos int, direction string, entry_low double, entry_high double, stop double, target double, rr double")
     got = {r.plan_id: (r.outcome, r.r, r.fill_pos, r.exit_pos) for r in simulate.first_touch(p, b).collect()}
     assert got == {"w": ("win", 2.0, 1, 3), "same": ("loss", -1.0, 1, 3), "none": ("nofill", 0.0, None, None), "s": ("win", 1.5, 1, 1), "late": ("nofill", 0.0, None, None)}
