@@ -79,6 +79,32 @@ def test_cooldown_walks_in_order(spark):
     assert sorted(r.plan_id for r in simulate.cooled_down(t, 10).collect()) == ["p0", "p10", "p25"]
 
 
+def test_cooldown_waits_for_the_landing(spark):
+    r, plans = random.Random(8), []
+    b = [(t, i, x[3], x[4]) for t, seed in (("A", 4), ("B", 5)) for i, x in enumerate(walk(400, t, seed))]
+    closes = {(t, i): (h + lo) / 2 for t, i, h, lo in b}
+    for (t, i), c in closes.items():
+        if r.random() < 0.6:
+            plans.append((f"{t}{i}", t, i, "long", c * 0.9, c * r.choice([0.7, 0.97, 1.01]), c * r.choice([0.5, 0.96]), c * r.choice([1.05, 3.0]), 2.0))
+    p = spark.createDataFrame(plans, "plan_id string, ticker string, start_pos int, direction string, entry_low double, entry_high double, stop double, target double, rr double")
+    trades = simulate.first_touch(p, spark.createDataFrame(b, "ticker string, pos int, high double, low double"))
+    low, high, want, landings = {x[:2]: x[3] for x in b}, {x[:2]: x[2] for x in b}, set(), set()
+    for ticker in ("A", "B"):
+        own, i = {x[2]: x for x in plans if x[1] == ticker}, 0
+        while i < 400:
+            if i not in own:
+                i += 1
+                continue
+            name, _, _, _, _, entry, stop, target, _ = own[i]
+            want.add(name)
+            fill = next((j for j in range(i + 1, min(i + 21, 400)) if low[ticker, j] <= entry), None)
+            out = None if fill is None else next((k for k in range(fill, min(fill + 40, 400)) if low[ticker, k] <= stop or high[ticker, k] >= target), None)
+            landings.add("exit" if out is not None else "timeout" if fill is not None else "nofill")
+            i = max(i + 1, (out if out is not None else fill + 40 if fill is not None else i + 20) + 3)
+    assert landings == {"exit", "timeout", "nofill"}
+    assert {x.plan_id for x in simulate.cooled_down(trades).collect()} == want
+
+
 def test_asof_strict_stale_and_ties(spark):
     day = lambda n: D0 + dt.timedelta(n)
     left = spark.createDataFrame([("A", day(0)), ("A", day(5)), ("A", day(90)), ("B", day(5)), (None, day(5))], "k string, d date")

@@ -44,12 +44,16 @@ def trade_stats(trades: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("win_rate", F.try_divide(F.col("wins"), F.col("wins") + F.col("losses")))
 
 
-def cooled_down(trades: DataFrame, cooldown: int) -> DataFrame:
-    """Per ticker the trades in order of start_pos, each at least cooldown bars after the last one taken: a fold over a ticker's plans."""
-    one = trades.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("start_pos", "plan_id"))).alias("p"))
-    start = F.struct(F.lit(-(1 << 30)).cast("long").alias("last"), F.array().cast(f"array<{trades.schema['plan_id'].dataType.simpleString()}>").alias("ids"))
-    step = lambda s, x: F.when(x["start_pos"].cast("long") >= s["last"] + cooldown, F.struct(x["start_pos"].cast("long").alias("last"), F.concat(s["ids"], F.array(x["plan_id"])).alias("ids"))).otherwise(s)
-    taken = one.select(F.explode(F.aggregate("p", start, step)["ids"]).alias("plan_id"))
+def cooled_down(trades: DataFrame, cooldown: int = 3, fill_window: int = 20, hold_window: int = 40) -> DataFrame:
+    """Per ticker the trades that a walk in order of start_pos takes, where the next setup is looked for cooldown bars after the
+    last trade has landed: at its exit, for a timeout at fill_pos + hold_window, without a fill at start_pos + fill_window. Trades
+    without columns fill_pos and exit_pos, which no bars were met for, land where they start. A fold over a ticker's plans."""
+    start = F.col("start_pos").cast("long")
+    lands = F.coalesce(F.col("exit_pos"), F.col("fill_pos") + hold_window, start + fill_window).cast("long") if {"fill_pos", "exit_pos"} <= set(trades.columns) else start
+    one = trades.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(start.alias("start_pos"), "plan_id", F.greatest(start + 1, lands + cooldown).alias("free")))).alias("p"))
+    none = F.struct(F.lit(-(1 << 30)).cast("long").alias("free"), F.array().cast(f"array<{trades.schema['plan_id'].dataType.simpleString()}>").alias("ids"))
+    step = lambda s, x: F.when(x["start_pos"] >= s["free"], F.struct(x["free"].alias("free"), F.concat(s["ids"], F.array(x["plan_id"])).alias("ids"))).otherwise(s)
+    taken = one.select(F.explode(F.aggregate("p", none, step)["ids"]).alias("plan_id"))
     return trades.join(taken, "plan_id", "left_semi")
 
 

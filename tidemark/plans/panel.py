@@ -408,7 +408,7 @@ def a15_trade_stats(spark, sf):
 
 @register()
 def b9_cooldown(spark, sf):
-    return simulate.cooled_down(_plans(spark, sf), 45).select("plan_id", "ticker", "start_pos", "outcome", "r")
+    return simulate.cooled_down(_plans(spark, sf)).select("plan_id", "ticker", "start_pos", "outcome", "r")
 
 
 _CURVE = f"""cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM b)), cb AS (SELECT ticker, pos, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM b JOIN cal USING (date)),
