@@ -69,6 +69,26 @@ def test_dedup_keeps_one_of_each_and_the_columns(spark, rows):
     assert {x.doc_id for x in got.collect()} == {c for _, _, c in expected(rows, 4, 80)}
 
 
+def test_pipeline_leaves_one_row_of_each_group(spark, sf):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a)] * 4 + [(2, a), (None, a)]  # repeated rows hold the least doc_id
+    rows += [(None, b)] * 5 + [(None, b + " tail")] * 2  # no doc_id at all
+    rows += [(7, c), (7, c + " tail"), (8, c)]  # one doc_id, two near texts
+    rows += [(9, d), (9, "alone here")]  # one doc_id, two texts apart
+    rows += [(None, None)] * 3 + [(5, "")] * 2 + [(6, "")]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string").repartition(5)
+    got = corpus_pipeline.near_copies(spark, docs, sf)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert sorted((x.doc_id or 0, (x.text or "")[:2]) for x in got) == [(0, ""), (0, "b0"), (1, "a0"), (5, ""), (6, ""), (7, "c0"), (9, "al"), (9, "d0")]
+    assert all(rows[int(x.source[1:])] == (x.doc_id, x.text) for x in got)  # whole rows, not mixtures
+    lines = corpus_pipeline.lines(spark, docs.where("text IS NOT NULL AND text != ''"), sf)
+    assert corpus_pipeline.near_copies(spark, lines, sf).where("doc_id = 1").count() == 1
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minmax_dedup.components(docs, 5, 80).count() == 0

@@ -15,7 +15,8 @@ yet no link between candidates is lost. A pair with similarity 0.8 shares no buc
 
 Defined cases: null or empty texts and texts of white space have an empty set and are linked with nothing; fewer words than
 the width make one shingle; ties keep the least doc_id; rows with a null doc_id take part, and a component of theirs alone
-has a null id; repeated rows get a row each; an empty table gives no rows; other columns pass through `dedup`.
+has a null id; repeated rows get a row each, but of them `dedup` leaves one; an empty table gives no rows; other columns pass
+through `dedup`.
 """
 
 from __future__ import annotations
@@ -215,26 +216,44 @@ def link_families(members: DataFrame, percent: int) -> DataFrame:
     return cut(rest.unionByName(all_).groupBy("fam", "u", "i").applyInArrow(compare, "a binary, b binary").distinct(), "joined")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, _h, n_shingles, component_id and kept."""
+def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row per document: doc_id, _h, n_shingles, component_id, kept and stays: it has the one doc_id and text hash that stand for its component."""
     signed = cut(signatures(docs, width), "signatures")
-    classes = cut(signed.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "_h")).alias("r"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = cut(signed.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     rows = classes.select(F.explode("sig").alias("h"), "key", "n")
     shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     members = cut(rows.join(shared, "h"), "members")
     wanted = members.select("key").distinct().join(classes, "key").select("key", F.col("r.doc_id").alias("d"), F.col("r._h").alias("h"))
     sets = cut(candidate_sets(docs, cut(wanted, "wanted"), width).groupBy("key").agg(F.first("set").alias("set")), "sets")
     comps = link_classes(members, sets, percent)
-    placed = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
-    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = placed.join(least, "comp").select("key", "component_id")
+    placed = classes.join(comps, classes["key"] == comps["node"], "left").select("key", "r", F.coalesce("comp", "key").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("r").alias("least"))
+    of = placed.join(least, "comp").select("key", F.col("least.doc_id").alias("component_id"), F.col("least._h").alias("_g"))
     out = signed.select("doc_id", "_h", "n", "key").join(of, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "_h", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    alone = F.col("key").isNull()
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_h") == F.col("_g")))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "_h", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), stays.alias("stays"))
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document: doc_id, _h, n_shingles, component_id and kept."""
+    return placed_rows(docs, width, percent).drop("stays")
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that belong to a component of a document with a smaller doc_id; of repeated rows one stays."""
-    gone = components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("_tm_id"), F.col("_h").alias("_tm_g")).distinct()
-    left = docs.withColumn("_tm_h", F.xxhash64("text")).join(gone, (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id")), "left_anti")
-    return left.select(*[left[c] for c in docs.columns])
+    """docs with one row of each component: that of its least doc_id, for equal ones of the least text hash, any one of rows that
+    repeat both. Rows without words stay, but for such repeated ones."""
+    rows = placed_rows(docs, width, percent).groupBy(F.col("doc_id").alias("_tm_id"), F.col("_h").alias("_tm_g"))
+    marks = cut(rows.agg(F.bool_or("stays").alias("_tm_stays"), F.count("*").alias("_tm_n")).where("NOT _tm_stays OR _tm_n > 1"), "marks")
+    keyed = docs.withColumn("_tm_h", F.xxhash64("text"))
+    same = (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id"))
+    left = keyed.join(marks, same, "left_anti").select(*[keyed[c] for c in docs.columns])
+    repeated = marks.where("_tm_stays")
+    n = repeated.count()
+    if not n:
+        return left
+    several = keyed.join(F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated, same, "left_semi")
+    one = several.groupBy("doc_id", "_tm_h").agg(F.first(F.struct(*[keyed[c] for c in docs.columns])).alias("_tm_row"))
+    return left.unionByName(one.select(*[F.col("_tm_row")[c].alias(c) for c in docs.columns]))
