@@ -168,6 +168,22 @@ def test_shards_split_a_hot_text_and_balance(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
 
 
+@pytest.mark.parametrize("ids", ["far", "null", "equal", "extreme"])
+def test_shards_split_a_hot_text_whatever_its_ids(spark, ids):
+    of = {"far": lambda i: 10**15 if i == 0 else i, "null": lambda i: None, "equal": lambda i: 7, "extreme": lambda i: (-(2**63), 2**63 - 1)[i % 2] if i < 6 else i}[ids]
+    rows = [(of(i) if i % 3 == 0 else i, "hot " * 20 if i % 3 == 0 else f"t{i} " * 20) for i in range(3000)]
+    got = histogram_sort.histogram_sort(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    hot = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.text == "hot " * 20]
+    assert hot == sorted(hot, key=lambda d: (d is not None, d or 0))
+
+
 def test_classifier_on_held_out_rows(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 4 != 0"), labels.where("doc_id % 4 = 0")
