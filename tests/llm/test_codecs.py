@@ -35,6 +35,20 @@ def test_token_files_round_trip(spark, docs):
         start += len(ids)
 
 
+def test_token_query_follows_the_library_on_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    t, texts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y.", "<|endoftext |> plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, start = {r.doc_id: r for r in queries.op4_token_files(spark, str(tmp_path)).collect()}, 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("n", [1, 4096, 4097, 700_000])
 def test_blocks_decode_whole_and_from_checkpoints(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000) - 1

@@ -41,7 +41,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import tokenize_to_files
 
-    return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return tokenize_to_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), added=True)
 
 
 def op5_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ lanes; a block whose ids don't match its crc32 raises. Files are written by Spar
 store, and a lost task is simply redone.
 
 Defined cases: a null text is encoded as an empty one, which is the end id alone; a null doc_id sorts first; documents with
-equal doc_ids keep a row each (ordered by text); an empty table makes files without blocks; other columns aren't read.
+equal doc_ids keep a row each (ordered by text); an empty table makes files without blocks; other columns aren't read. The
+text of an added token, such as an end marker, is that token where added is set, which is the library's default and what the
+query asks for; else it is encoded like any other text.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ class Chunks(dict):
     """ids of text chunks as bytes. A chunk begins at a space before a non-space, where the pre-tokenizer always cuts, so
     chunks can be encoded apart; each is encoded by the library once while it is remembered."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, added: bool = False, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,7 +145,8 @@ class Chunks(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.most, self.old = most, {}
         shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
         hidden = [b for b in range(256) if b not in shown]
@@ -172,23 +175,25 @@ class Chunks(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         first, *rest = text.split(" ")
         if "" in rest or any(map(str.isspace, [x[0] for x in rest])):
             return self.whole(text)  # runs of spaces: their cut depends on what follows
         return self[first] + b"".join(map(self.__getitem__, [" " + x for x in rest]))
 
 
-_CHUNKS: dict[str, Chunks] = {}
+_CHUNKS: dict[tuple[str, bool], Chunks] = {}
 
 
-def chunks_for(path: str) -> Chunks:
-    """One for each worker process and tokenizer file."""
-    if path not in _CHUNKS:
-        _CHUNKS[path] = Chunks(path)
-    return _CHUNKS[path]
+def chunks_for(path: str, added: bool = False) -> Chunks:
+    """One for each worker process, tokenizer file and reading of added tokens."""
+    if (path, added) not in _CHUNKS:
+        _CHUNKS[path, added] = Chunks(path, added)
+    return _CHUNKS[path, added]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, added: bool = False) -> None:
     """Encodes all documents and writes the files under out, in ascending doc_id order."""
 
     def encode(batches):
@@ -196,7 +201,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        chunks, file, end = chunks_for(tokenizer_path), TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
+        chunks, file, end = chunks_for(tokenizer_path, added), TaskContext.get().partitionId(), np.array([END_ID], "<u4").tobytes()
         ids, raw, held, part, first = [], [], 0, 0, 0
         one = pa.struct([("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("states", pa.binary()), ("words", pa.binary()), ("marks", pa.binary()), ("crc32", pa.int64())])
         schema = pa.schema([("file", pa.int32()), ("part", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("table_ids", pa.binary()), ("table_freqs", pa.binary()), ("blocks", pa.list_(one))])
@@ -271,8 +276,8 @@ def read_tokens(spark: SparkSession, path: str, outputs: tuple[str, ...] = ("doc
     return blocks.mapInArrow(decode, ", ".join(f"{c} {kinds[c]}" for c in outputs))
 
 
-def tokenize_to_files(docs: DataFrame, tokenizer_path: str, out: str | None = None, outputs: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids_crc32")) -> DataFrame:
+def tokenize_to_files(docs: DataFrame, tokenizer_path: str, out: str | None = None, outputs: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids_crc32"), added: bool = False) -> DataFrame:
     """Writes the files (to the shared folder unless out says where) and reads them back."""
     out = out or f"{work_dir(docs.sparkSession)}/tokens"
-    write_tokens(docs, tokenizer_path, out)
+    write_tokens(docs, tokenizer_path, out, added)
     return read_tokens(docs.sparkSession, out, outputs)
