@@ -115,6 +115,28 @@ def test_substrings_match_brute_force(spark):
         assert got[d].kept == " ".join(x for i, x in enumerate(w) if i not in gone)
 
 
+def test_a_hot_phrase_has_no_shard_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(fm_substrings, "HOT_WORDS", 500)
+    from tidemark.llm.common import WordHashes, hash_words, window_hashes
+
+    r, rows, seen = random.Random(6), [], []
+    hashed = lambda t: window_hashes(hash_words(t.encode().split(), WordHashes()), 4)[0]
+    phrase = min((f"sold as is {i}" for i in range(500)), key=hashed)  # a low hash, so that it is the minimiser of its windows
+    for i in range(300):  # one phrase in ever other surroundings, some of them shared
+        w = [f"v{r.randrange(10**6)}" for _ in range(9)] + phrase.split() + [f"v{r.randrange(10**6)}" for _ in range(12)]
+        rows.append((i, " ".join(rows[r.randrange(i)][1].split()[:20] + w[20:] if i % 4 == 3 else w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    search = fm_substrings.hot_minimisers
+    monkeypatch.setattr(fm_substrings, "hot_minimisers", lambda one: seen.extend(search(one)) or search(one))
+    got = {x.doc_id: x for x in fm_substrings.dedup_substrings(docs, 13).collect()}
+    assert seen
+    first: dict = {}
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if first.setdefault(tuple(w[i : i + 13]), d) < d for j in range(i, i + 13)}
+        assert (got[d].n_removed, got[d].kept) == (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
+
+
 def test_null_ids_neither_remove_nor_lose(spark):
     t = " ".join(f"z{i}" for i in range(20))
     docs = spark.createDataFrame([(None, t), (5, t), (None, t)], "doc_id long, text string")

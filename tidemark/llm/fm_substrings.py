@@ -11,6 +11,8 @@ consecutive windows with one minimiser travel as a fragment.
    wavelet matrix of packed bits with block ranks. All windows of the shard's fragments are searched backwards together;
    the steps taken while an interval still holds two suffixes are the matching statistics, and intervals at full width
    yield the least doc_id of their suffixes' documents.
+   A minimiser whose distinct fragments hold over HOT_WORDS words, such as a phrase with ever other words around it, has no
+   shard: its fragments are recut to single windows, which an aggregation compares by their hashes, however many there are.
 4. Windows found in a smaller doc_id go back to their documents, which drop the words they cover.
 
 Words are compared by 64-bit hashes. Defined cases: a null or empty text has no words; fewer words than the width make no
@@ -30,6 +32,7 @@ from .common import WordHashes, cut, finalize, hash_words, window_hashes
 GRAM = 4
 DEPTH = 16  # words to which suffixes are ordered; no pattern may be longer
 SHARD_WORDS = 1 << 19  # words of one index; a task builds as many as its fragments need
+HOT_WORDS = 1 << 17  # words of a minimiser's distinct fragments that a shard takes; so a shard has a bound
 MOST_WINDOWS = 64  # of a fragment, so that a long says which of them are found
 BROADCAST_ROWS, BROADCAST_ITEMS = 300_000, 6_000_000  # of 16 bytes an item at most
 TAG = (1 << 24) - 1  # bits of a text's hash that tell rows of one doc_id apart
@@ -212,6 +215,42 @@ def shared_fragments(docs: DataFrame, width: int) -> DataFrame:
     return cut(rows.join(several, "mini"), "shared")
 
 
+def hot_minimisers(one: DataFrame) -> list[int]:
+    """Minimisers of distinct fragments (mini, frag, at) with over HOT_WORDS words: as many as the corpus has words by HOT_WORDS at most."""
+    words = F.sum(F.shiftright("at.place", 24).bitwiseAND(255))
+    return [r["mini"] for r in one.groupBy("mini").agg(words.alias("w")).where(F.col("w") > HOT_WORDS).select("mini").collect()]
+
+
+def single_windows(docs: DataFrame, hot: list[int], width: int) -> DataFrame:
+    """mini, frag, doc_id and place like shared_fragments, of the hot minimisers' windows, each a fragment of its own."""
+    import numpy as np
+
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
+
+    def apply(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [[], [], [], []]
+            for doc_id, text, tag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = hash_words((text or b"").split(), _KNOWN)
+                got = fragments(h, width)
+                if got is None:
+                    continue
+                mini, start, length = got
+                mini = mini.view(np.int64) >> np.int64(16)
+                windows = length - width + 1
+                mine = np.flatnonzero(np.repeat(np.isin(mini, known.value), windows))  # windows follow one another over the fragments
+                out[0].append(np.repeat(mini, windows)[mine])
+                out[1].append(window_hashes(h, width)[mine].view(np.int64))
+                out[2].append(np.full(len(mine), doc_id, dtype=np.int64))
+                out[3].append((mine << 32 | width << 24 | tag).astype(np.int64))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["mini", "frag", "doc_id", "place"])
+
+    return cut(_rows(docs).where("doc_id IS NOT NULL").mapInArrow(apply, "mini long, frag long, doc_id long, place long"), "single")
+
+
 def _with_list(docs: DataFrame, lists: DataFrame, how: str, column: str) -> DataFrame:
     """docs joined with lists (d, t, column) by doc_id and tag; broadcast while rows and items of the lists are within bounds."""
     n, items = lists.agg(F.count("*"), F.sum(F.size(column))).first()
@@ -219,9 +258,8 @@ def _with_list(docs: DataFrame, lists: DataFrame, how: str, column: str) -> Data
     return _rows(docs).join(F.broadcast(lists) if few else lists, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), how)
 
 
-def earliest(docs: DataFrame, shared: DataFrame, width: int) -> DataFrame:
-    """mini, frag and least: the least doc_id of each of the fragment's windows, by backward search in its shard."""
-    one = shared.groupBy("mini", "frag").agg(F.min(F.struct("doc_id", "place")).alias("at"))
+def earliest(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
+    """mini, frag and least: the least doc_id of each of the windows of fragments (mini, frag, at), by backward search in their shards."""
     lists = cut(one.groupBy(F.col("at.doc_id").alias("d"), F.col("at.place").bitwiseAND(TAG).alias("t")).agg(F.collect_list(F.shiftright("at.place", 32).cast("int")).alias("want")), "wanted")
 
     def send(batches):
@@ -281,7 +319,16 @@ def dedup_substrings(docs: DataFrame, width: int = 13, outputs: tuple[str, ...]
     if not 1 <= width <= DEPTH:
         raise ValueError(f"width must be from 1 to {DEPTH}")
     shared = shared_fragments(docs, width)
-    found = cut(earliest(docs, shared, width), "earliest")
+    one = cut(shared.groupBy("mini", "frag").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct")
+    hot = hot_minimisers(one)
+    if hot:
+        spread = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in hot], "mini long"))
+        single = single_windows(docs, hot, width)
+        shared, one = shared.join(spread, "mini", "left_anti").unionByName(single), one.join(spread, "mini", "left_anti")
+    found = earliest(docs, one, width)
+    if hot:
+        found = found.unionByName(single.groupBy("mini", "frag").agg(F.array(F.min("doc_id")).alias("least")))
+    found = cut(found, "earliest")
     # bit i of the mask: window i of the fragment starts in a smaller doc_id
     mask = F.aggregate(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
     hits = shared.join(found, ["mini", "frag"]).select(F.col("doc_id").alias("d"), F.col("place").bitwiseAND(TAG).alias("t"), F.shiftright("place", 32).cast("int").alias("s"), mask.alias("m")).where("m != 0")
