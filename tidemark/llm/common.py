@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -18,12 +19,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which the whole cluster shares; a local one only where that is unset."""
+    """A fresh folder under spark.checkpoint.dir, which the whole cluster shares; where that is unset, one of our own in local mode and an error elsewhere."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        base = _own_folder()
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
@@ -49,9 +56,14 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern.replace("\\", "\\")), F.lit(0))
 
 
+def column(docs: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and backquotes included."""
+    return docs["`" + name.replace("`", "``") + "`"]
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; columns of other names can't clash with those made on the way."""
-    return docs.select(*[docs[n] for n in names])
+    return docs.select(*[column(docs, n) for n in names])
 
 
 class WordHashes(dict):

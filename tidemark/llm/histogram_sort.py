@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import column, cut
 
 CELL_BYTES = 1 << 28  # text of a usual cell, which is one sort group
 MOST_BITS = 18  # so that a round's first cells have a bound
@@ -93,7 +93,7 @@ def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, n
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*[docs[c] for c in own]).alias("_rest") if own else F.lit(None).alias("_rest"))
+    packed = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.struct(*[column(docs, c) for c in own]).alias("_rest") if own else F.lit(None).alias("_rest"))
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = packed.withColumns({"size": text_size(F.col("text")), "text_crc32": text_crc32(F.col("text")), "_h": F.xxhash64(text, F.col("text").isNull())})
     # The probes below read (doc_id, hash, size) alone, from a narrow written table rather than from the texts again.

@@ -4,14 +4,18 @@ A line's tokens are its distinct runs of `width` words (fewer words: the whole l
 by doc_id and place in the text, has a Jaccard similarity of `percent` or more to it; what counts is the input, not what is
 left. Lines without words stay.
 
-1. Token counts over all lines, in hashed buckets of a fixed number, give rarity; a line's tokens are ordered by bucket
-   count, then by hash. Any total order keeps the prefix filter exact, and rarity makes it sharp.
-2. Lines with equal token sets are one class, held by its first line; aggregation combines them before the shuffle.
-3. A class sends its prefix, the n - ceil(n * percent) + 1 rarest tokens. Within a token, each class is paired with the first
-   one, under the length and the positional filter, and verified on the full sets.
-4. Shared prefix tokens chain classes into families. Classes of which no earlier match is found yet are held against their
-   family in blocks of BLOCK token sets, earlier lines alone: the exact rest. Its pairs never become rows, so k near copies
-   cost about k rows. Tokens that the buckets show to be hot are salted, and the firsts of their parts are linked.
+1. Word counts over all texts, in hashed buckets of a fixed number, give rarity. Tokens are ordered by the count of their first
+   word's bucket, then by that word's hash, then by their own: a total order, which keeps the prefix filter exact.
+2. A line gives its prefix, the n - ceil(n * percent) + 1 first tokens of that order, with all tokens that share the last one's
+   first word. Repeated runs make n an upper bound, which only lengthens the prefix; if repeats leave fewer distinct tokens
+   than the prefix must have, all tokens are sent. So the other tokens of a line are never hashed.
+3. Lines with equal words are one class, held by its first line; aggregation combines them before the shuffle.
+4. Only tokens that two classes or more have go on. Within a token each class is paired with the first one. Classes that
+   have no earlier match yet are paired with the other earlier classes of their tokens, a token's group being of GROUP
+   classes at most. The full sets, in that order, are read for these classes alone; pairs pass the length filter, the
+   positional filter of a shared token and then the Jaccard test.
+5. Larger groups are linked through their tokens to families, whose open classes are held against the family in blocks of
+   BLOCK token sets: exact, and its pairs never become rows.
 
 DataFrame expressions only. Tokens are compared by 64-bit hashes. Defined cases: null and empty texts have no lines with words
 and stay as they are; a null doc_id comes after all others; of equal lines in rows of one doc_id the smaller text hash is
@@ -21,19 +25,20 @@ earlier; fully repeated rows count as one and get equal results; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, pick
+from .common import column, cut, let, pick
 from .components import connected_components
 
 BUCKETS = 18  # bits; the counts are 2**18 small numbers whatever the input
 LEVELS = 1.75  # levels for a doubling of the count
-HOT = 35  # level from which tokens are salted: about a million lines in the bucket
-SALTS = 64
+PLACE_BITS = 24  # of a word's place in its line, below rarity and word hash in a long; longer lines send all tokens
+SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
 BROADCAST_ROWS = 300_000
+BROADCAST_TOKENS = 1_000_000  # rows of 8 bytes
+GROUP = 256
 BLOCK = 256
-KEY_BITS = 57  # of a token's hash, below its rarity in a long
 LAST = (1 << 63) - 1
 
 
@@ -43,146 +48,195 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(line, " ", -1), "")
 
 
-def line_tokens(line: Column, width: int) -> Column:
-    """Token hashes of a line, unordered and with repeats; empty without words. One pass over the words."""
+def _run(ws: Column, at: Column, width: int) -> Column:
+    return F.xxhash64(*[F.get(ws, at + k if k else at) for k in range(width)])
 
-    def runs(ws: Column) -> Column:
-        hashes = F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, width)]))
-        return F.when(F.size(ws) >= width, F.slice(hashes, 1, F.greatest(F.size(ws) - (width - 1), F.lit(0)))).when(F.size(ws) > 0, F.array(F.xxhash64(F.lit(0), ws))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(line_words(line), runs)
+def _hash(ws: Column) -> Column:
+    """Hashes of the words; hash and rarity of a token's first word make its place in the order."""
+    return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, no and line, for every line."""
-    return _named(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+def _rank(levels: Column, h: Column) -> Column:
+    """Rarity and part of the hash of a word above PLACE_BITS zero bits. levels: a byte for each bucket, as looking into a long array is slow."""
+    level = F.ascii(F.substring(levels, h.bitwiseAND((1 << BUCKETS) - 1).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.shiftleft(level.cast("long") - 1, 57).bitwiseOR(h.bitwiseAND(((1 << 57) - 1) ^ ((1 << PLACE_BITS) - 1)))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64("text").bitwiseAND((1 << 30) - 1).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+def prefix_size(n: Column, percent: int) -> Column:
+    return (n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + F.lit(1)).cast("int")
 
 
-def bucket_rarity(docs: DataFrame, width: int) -> DataFrame:
-    """One row: for each bucket of tokens a level from 0 to 63 that grows with the logarithm of its count over all lines."""
-    buckets = lines_of(docs).select(F.explode(line_tokens(F.col("line"), width)).alias("t")).select(F.shiftrightunsigned("t", 64 - BUCKETS).cast("int").alias("at"))
-    counts = buckets.groupBy("at").agg(F.count("*").alias("c"))
-    level = F.least(F.lit(63), F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * LEVELS)).cast("int")
-    full = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    return full.agg(F.array_sort(F.collect_list(F.struct("at", level.alias("c")))).alias("r")).select(F.col("r.c").alias("levels"))
+def line_prefix(ws: Column, levels: Column, width: int, percent: int) -> Column:
+    """Token hashes that hold the prefix of a line's words; null for fewer words than width."""
+    n = F.size(ws) - (width - 1)
+    p = prefix_size(n, percent)
+    every = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _run(ws, i, width)))
+    keys = F.sort_array(F.transform(_hash(F.slice(ws, 1, n)), lambda h, i: _rank(levels, h).bitwiseOR(i)))
 
+    def until(head: Column, last: Column) -> Column:
+        at = F.transform(F.filter(head, lambda k: F.shiftrightunsigned(k, PLACE_BITS) <= last), lambda k: k.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"))
+        # all tokens of the last rank are there if some key after them is, or all keys are
+        return let(at, lambda own: F.when((F.size(own) < F.size(head)) | (F.size(head) == n), F.array_distinct(F.transform(own, lambda i: _run(ws, i, width)))))
 
-def prefix_size(n: Column, percent: int) -> Column:
-    return (n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + F.lit(1)).cast("int")
+    def cut_off(x: Column) -> Column:
+        return let(F.shiftrightunsigned(F.get(x["head"], x["p"] - 1), PLACE_BITS), lambda last: let(until(x["head"], last), lambda ts: F.when(F.size(ts) >= x["p"], ts)))
+
+    some = let(F.struct(F.slice(keys, 1, p + SLACK).alias("head"), p.alias("p")), cut_off)
+    return F.when(n >= 1, F.coalesce(F.when(n < 1 << PLACE_BITS, some), every))
 
 
-def classes(docs: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
-    """Of each token set the first line: doc_id, place (tag and line number), n and its prefix of tokens, rarest first."""
-    rated = lambda ts: F.transform(ts, lambda t: F.shiftleft(F.get(F.col("_c"), F.shiftrightunsigned(t, 64 - BUCKETS).cast("int")).cast("long"), KEY_BITS).bitwiseOR(t.bitwiseAND((1 << KEY_BITS) - 1)))
-    lines = lines_of(docs).withColumn("_c", levels).select("doc_id", "tag", "no", F.sort_array(F.array_distinct(rated(line_tokens(F.col("line"), width)))).alias("o")).where(F.size("o") > 0)
-    n = F.size("o")
-    place = F.shiftleft(F.col("tag"), 32) + F.col("no")
-    keyed = lines.select("doc_id", place.alias("place"), n.alias("n"), F.xxhash64("o").alias("k1"), F.xxhash64(F.lit(1), "o").alias("k2"), F.slice("o", 1, prefix_size(n, percent)).alias("prefix"))
-    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n", "prefix")).alias("l")).select("l.*")
+def line_tokens(ws: Column, levels: Column, width: int) -> Column:
+    """All distinct token hashes of a line's words in the global order; one token for fewer words than width."""
+    n = F.size(ws) - (width - 1)
+    ranked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_rank(levels, F.xxhash64(F.get(ws, i))).alias("r"), _run(ws, i, width).alias("t")))
+    return F.when(n >= 1, F.array_distinct(F.transform(F.sort_array(ranked), lambda x: x["t"]))).otherwise(F.array(F.xxhash64(F.lit(0), ws)))
 
 
-def _similar(percent: int, x: str, y: str, overlap: Column) -> Column:
-    return overlap * (100 + percent) >= (F.col(x) + F.col(y)) * percent
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (text hash; rows with a null doc_id stand after all others) and text."""
+    own = pick(docs, "doc_id", "text")
+    tag = F.xxhash64("text").bitwiseAND((1 << 30) - 1) + F.when(F.col("doc_id").isNull(), F.lit(1 << 30)).otherwise(F.lit(0))
+    return own.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _filters(percent: int) -> Column:
-    """Length and positional filters of a pair that shares the tokens at i and j."""
-    bound = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & _similar(percent, "n", "m", bound)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, tag, no and line, for every line."""
+    return _named(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
-def _sets(docs: DataFrame, lines: DataFrame, width: int) -> DataFrame:
+def word_rarity(docs: DataFrame) -> DataFrame:
+    """One row: for each bucket of words a byte, from 1 to 64, that grows with the logarithm of its count over all texts."""
+    words = pick(docs, "text").select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
+    counts = words.select(F.xxhash64("w").bitwiseAND((1 << BUCKETS) - 1).cast("int").alias("at")).groupBy("at").agg(F.count("*").alias("c"))
+    level = F.char(F.least(F.lit(63), F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * LEVELS)).cast("long") + 1)
+    full = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
+    return full.agg(F.array_sort(F.collect_list(F.struct("at", level.alias("c")))).alias("r")).select(F.array_join("r.c", "").cast("binary").alias("levels"))
+
+
+def prefixes(docs: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+    """Of each line with words: doc_id, place (tag and line number), the hashes k1, k2 of its words and its prefix. A text's first line has a row in any case, without words k1 is null."""
+    lines = lines_of(docs).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
+    rated = lines.where((F.size("ws") > 0) | (_no() == 0))
+    k1 = F.when(F.size("ws") > 0, F.xxhash64("ws"))
+    return rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), line_prefix(F.col("ws"), levels, width, percent).alias("prefix"))
+
+
+def _sets(docs: DataFrame, lines: DataFrame, levels: Column, width: int) -> DataFrame:
     """doc_id, place and tokens of the given lines (doc_id, place), read from the texts again."""
     wanted = cut(lines.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 32).alias("t")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("nos")), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = _named(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
     own = let(F.split("text", "\n", -1), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(ls, no).alias("line"))))
-    found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft(F.col("tag"), 32) + F.col("no")).alias("place"), F.array_distinct(line_tokens(F.col("line"), width)).alias("tokens"))
-    # repeated rows give the same line twice
-    return found.groupBy("doc_id", "place").agg(F.first("tokens").alias("tokens"))
+    found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
+    rated = found.select("doc_id", "place", line_tokens(F.col("ws"), levels, width).alias("tokens"))
+    return rated.dropDuplicates(["doc_id", "place"])  # repeated rows give the same line twice
 
 
 def _close(x: Column, y: Column, percent: int) -> Column:
     return F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.size(x) + F.size(y)) * percent
 
 
+def _sized(n: Column, m: Column, percent: int) -> Column:
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
+def _filters(percent: int) -> Column:
+    """Length and positional filters of a pair of n and m tokens that shares those at i and j."""
+    n, m, i, j = (F.col(c) for c in "nmij")
+    bound = F.least(i, j) + F.least(n - i, m - j)
+    return _sized(n, m, percent) & (bound * (100 + percent) >= (n + m) * percent)
+
+
+def _earlier(other_doc: Column, other_place: Column) -> Column:
+    return (other_doc < F.col("doc_id")) | ((other_doc == F.col("doc_id")) & (other_place < F.col("place")))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of the pairs (doc_id, place, d, p) whose full token sets are similar enough."""
-    both = pairs.join(sets.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(sets.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
+    """doc_id and place of those of pairs (doc_id, place, d, p and the n, i, m, j of a shared token) whose full token sets are similar enough."""
+    one = pairs.where(_filters(percent)).select("doc_id", "place", "d", "p").distinct()
+    both = one.join(sets.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(sets.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
     return cut(both.where(_close(F.col("x"), F.col("y"), percent)).select("doc_id", "place").distinct(), "verified")
 
 
-def rest(members: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those members not gone yet that are similar to an earlier line of their family."""
+def family_matches(members: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and place of those members (doc_id, place, and d, p that link them) not gone yet that are similar to an earlier line of their family."""
     me, other = F.struct("doc_id", "place"), F.struct(F.col("d").alias("doc_id"), F.col("p").alias("place"))
     families = connected_components(members.select(me.alias("a"), other.alias("b")).distinct())
-    named = families.select(F.col("node.doc_id").alias("doc_id"), F.col("node.place").alias("place"), F.xxhash64("comp").alias("fam")).join(sets, ["doc_id", "place"])
-    named = cut(named, "families")
+    named = cut(families.select(F.col("node.doc_id").alias("doc_id"), F.col("node.place").alias("place"), F.xxhash64("comp").alias("fam")).join(sets, ["doc_id", "place"]), "families")
     open_ = named.join(gone, ["doc_id", "place"], "left_anti")
     sizes = open_.groupBy("fam").agg(F.count("*").alias("_u")).join(named.groupBy("fam").agg(F.count("*").alias("_n")), "fam").where("_n > 1").select("fam", F.ceil(F.col("_n") / BLOCK).cast("int").alias("nb"))
-    blocks = named.join(sizes, "fam").groupBy("fam", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("i")).agg(F.collect_list(F.struct("doc_id", "place", "tokens")).alias("block"))
+    blocks = named.join(F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes, "fam").groupBy("fam", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("i")).agg(F.collect_list(F.struct("doc_id", "place", "tokens")).alias("block"))
     asks = open_.join(sizes, "fam").select("fam", "doc_id", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
-    earlier = lambda x: (x["doc_id"] < F.col("doc_id")) | ((x["doc_id"] == F.col("doc_id")) & (x["place"] < F.col("place")))
-    sized = lambda x: (F.size(x["tokens"]) * 100 >= F.size("tokens") * percent) & (F.size("tokens") * 100 >= F.size(x["tokens"]) * percent)
-    hit = F.exists("block", lambda x: F.when(earlier(x) & sized(x), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
+    hit = F.exists("block", lambda x: F.when(_earlier(x["doc_id"], x["place"]) & _sized(F.size(x["tokens"]), F.size("tokens"), percent), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
     return asks.join(blocks, ["fam", "i"]).where(hit).select("doc_id", "place").distinct()
 
 
+def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+    """doc_id and place of those classes (doc_id, place, prefix) that an earlier one is similar to."""
+    tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
+    shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    few = shared.count() <= BROADCAST_TOKENS
+    members = cut(tokens.join(F.broadcast(shared) if few else shared, "t"), "members")
+    sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), levels, width), "sets")
+    at = F.array_position("tokens", F.col("t")).cast("int") - 1
+    placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")), "placed")
+    head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f")).select("t", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
+    linked = placed.join(F.broadcast(head) if few else head, "t").where(_earlier(F.col("d"), F.col("p")))
+    near = verified(linked, sets, percent)
+    open_ = placed.join(near, ["doc_id", "place"], "left_anti")
+    small = F.col("c").between(3, GROUP)
+    other = placed.where(small).select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("i").alias("j"))
+    near = near.unionByName(verified(open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent))
+    large = linked.where(F.col("c") > GROUP)
+    if not large.isEmpty():
+        near = near.unionByName(family_matches(large, near, sets, percent))
+    return near.distinct()
+
+
+def _no() -> Column:
+    return F.col("place").bitwiseAND((1 << 32) - 1).cast("int")
+
+
 def ledger(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, tag and kept: numbers of the lines with words that stay, ascending. Documents of which no such line stays are missing."""
-    levels = cut(bucket_rarity(docs, width), "levels").scalar()
-    firsts = cut(classes(docs, levels, width, percent), "classes")
-    # A set of n tokens can only be similar to another one if n + 1 or n - 1 tokens could be.
-    able = firsts.where(F.col("n") * 100 >= (F.col("n") + 1) * percent if percent < 100 else F.lit(False))
-    tokens = able.select("doc_id", "place", "n", F.posexplode("prefix").alias("i", "t"))
-    salt = F.when(F.shiftrightunsigned("t", KEY_BITS) >= HOT, F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    rows = tokens.select("t", salt.alias("salt"), "doc_id", "place", "n", "i")
-    order = Window.partitionBy("t", "salt").orderBy("doc_id", "place")
-    group = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumns({"d": F.first("doc_id").over(group), "p": F.first("place").over(group), "m": F.first("n").over(group), "j": F.first("i").over(group), "_next": F.lead("place").over(order)})
-    hot = F.shiftrightunsigned("t", KEY_BITS) >= HOT
-    apart = (F.col("d") != F.col("doc_id")) | (F.col("p") != F.col("place"))
-    # Tokens of one class are done here; salted parts are kept whole until their firsts are linked.
-    members = cut(seen.where(hot | apart | F.col("_next").isNotNull()).drop("_next"), "members")
-    heads = members.where(hot & ~apart)
-    first = heads.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f"))
-    between = heads.join(first, "t").select("t", "salt", "doc_id", "place", "n", "i", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
-    linked = members.where(apart).unionByName(between.where(apart))
-    lines = linked.select("doc_id", "place").unionByName(linked.select(F.col("d").alias("doc_id"), F.col("p").alias("place"))).distinct()
-    sets = cut(_sets(docs, lines, width), "sets")
-    near = verified(linked.where(_filters(percent)).select("doc_id", "place", "d", "p").distinct(), sets, percent)
-    more = rest(linked, near, sets, percent)
-    kept = firsts.select("doc_id", "place").join(near.unionByName(more).distinct(), ["doc_id", "place"], "left_anti")
-    return kept.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.array_sort(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int"))).alias("kept"))
+    """doc_id, tag, n (lines with words) and kept: the numbers of those that stay, ascending; a row for each two values of docs."""
+    # a literal of 2**BUCKETS bytes: as a column it would be copied into every line's row
+    levels = F.lit(bytes(word_rarity(docs).first()["levels"]))
+    lines = cut(prefixes(docs, levels, width, percent), "lines")
+    firsts = cut(lines.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "prefix")).alias("l")).select("l.*"), "classes")
+    kept = firsts.select("doc_id", "place").join(matched(docs, firsts, levels, width, percent), ["doc_id", "place"], "left_anti")
+    of = F.col("doc_id"), F.shiftright("place", 32).alias("tag")
+    stay = kept.groupBy(*of).agg(F.array_sort(F.collect_list(_no())).alias("kept"))
+    copies = F.count_if(_no() == 0)  # rows that repeat a doc_id and a text give every line again
+    sizes = lines.groupBy(*of).agg((F.count("k1") / copies).cast("long").alias("n"))
+    return sizes.join(stay, ["doc_id", "tag"], "left").select("doc_id", "tag", "n", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+
+
+def _with_ledger(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """docs with _tm_n and _tm_kept of their texts, and _tm_null for a null doc_id."""
+    kept = ledger(docs, width, percent).select(F.col("doc_id").alias("_tm_d"), F.col("tag").alias("_tm_t"), F.col("n").alias("_tm_n"), F.col("kept").alias("_tm_kept"))
+    doc_id, text = column(docs, "doc_id"), column(docs, "text")
+    tag = F.xxhash64(text).bitwiseAND((1 << 30) - 1) + F.when(doc_id.isNull(), F.lit(1 << 30)).otherwise(F.lit(0))
+    keyed = docs.withColumns({"_tm_id": F.coalesce(doc_id.cast("long"), F.lit(LAST)), "_tm_tag": tag})
+    return keyed.join(kept, (F.col("_tm_id") == F.col("_tm_d")) & (F.col("_tm_tag") == F.col("_tm_t")), "left")
 
 
 def line_counts(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row per document: doc_id, n_lines (with words), n_removed and kept_lines (their numbers, from 0)."""
-    has = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)).cast("long")
-    lines = _named(docs).withColumn("_id", F.col("doc_id")).select("_id", "tag", has.alias("n_lines"))
-    kept = ledger(docs, width, percent).withColumnRenamed("tag", "t")
-    both = lines.join(kept, (F.col("_id") == F.col("doc_id")) & (F.col("tag") == F.col("t")), "left")
-    own = F.coalesce("kept", F.array().cast("array<int>"))
-    return both.select(F.when(F.col("_id") != LAST, F.col("_id")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(own)).alias("n_removed"), own.alias("kept_lines"))
+    both = _with_ledger(pick(docs, "doc_id", "text"), width, percent)
+    return both.select("doc_id", F.col("_tm_n").alias("n_lines"), (F.col("_tm_n") - F.size("_tm_kept")).alias("n_removed"), F.col("_tm_kept").alias("kept_lines"))
 
 
 def dedup_lines(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with later matches taken out of their texts; a text that only had such lines goes as a row."""
-    kept = ledger(docs, width, percent).select(F.col("doc_id").alias("_tm_d"), F.col("tag").alias("_tm_t"), F.col("kept").alias("_tm_kept"))
-    keyed = docs.withColumns({"_tm_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tm_tag": F.xxhash64("text").bitwiseAND((1 << 30) - 1)})
-    both = keyed.join(kept, (F.col("_tm_id") == F.col("_tm_d")) & (F.col("_tm_tag") == F.col("_tm_t")), "left")
-    own = F.coalesce("_tm_kept", F.array().cast("array<int>"))
+    both, text = _with_ledger(docs, width, percent), column(docs, "text")
+    kept, fewer = F.col("_tm_kept"), F.size("_tm_kept") < F.col("_tm_n")
     blank = lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) == 0
-    had = F.size(F.filter(F.split("text", "\n", -1), lambda x: ~blank(x))) > 0
 
     def rebuilt(lines: Column) -> Column:
         blanks = F.filter(F.transform(lines, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
-        return F.array_join(F.transform(F.array_sort(F.array_union(own, blanks)), lambda i: F.get(lines, i)), "\n")
+        return F.array_join(F.transform(F.array_sort(F.array_union(kept, blanks)), lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(had, let(F.split("text", "\n", -1), rebuilt)).otherwise(F.col("text"))
-    made = {"text": text} | ({"n_chars": F.when(F.col("text").isNotNull(), F.length(text).cast("long")).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return both.where((F.size(own) > 0) | ~F.coalesce(had, F.lit(False))).select(*[made.get(c, docs[c]).alias(c) for c in docs.columns])
+    left = F.when(fewer, let(F.split(text, "\n", -1), rebuilt)).otherwise(text)
+    made = {"text": left} | ({"n_chars": F.when(fewer, F.length(left).cast("long")).otherwise(column(docs, "n_chars"))} if "n_chars" in docs.columns else {})
+    return both.where((F.size("_tm_kept") > 0) | (F.col("_tm_n") == 0)).select(*[made.get(c, column(docs, c)).alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, finalize, hash_words, window_hashes
+from .common import WordHashes, column, cut, finalize, hash_words, window_hashes
 from .components import connected_components
 
 ROWS, BANDS = 5, 36
@@ -249,11 +249,11 @@ def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     marks = cut(rows.agg(F.bool_or("stays").alias("_tm_stays"), F.count("*").alias("_tm_n")).where("NOT _tm_stays OR _tm_n > 1"), "marks")
     keyed = docs.withColumn("_tm_h", F.xxhash64("text"))
     same = (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id"))
-    left = keyed.join(marks, same, "left_anti").select(*[keyed[c] for c in docs.columns])
+    left = keyed.join(marks, same, "left_anti").select(*[column(keyed, c) for c in docs.columns])
     repeated = marks.where("_tm_stays")
     n = repeated.count()
     if not n:
         return left
     several = keyed.join(F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated, same, "left_semi")
-    one = several.groupBy("doc_id", "_tm_h").agg(F.first(F.struct(*[keyed[c] for c in docs.columns])).alias("_tm_row"))
-    return left.unionByName(one.select(*[F.col("_tm_row")[c].alias(c) for c in docs.columns]))
+    one = several.groupBy("doc_id", "_tm_h").agg(F.first(F.struct(*[column(keyed, c) for c in docs.columns])).alias("_tm_row"))
+    return left.unionByName(one.select(*[F.col("_tm_row").getField(c).alias(c) for c in docs.columns]))

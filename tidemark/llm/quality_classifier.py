@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD_TABLE, cut
+from .common import FOLD_TABLE, column, cut
 
 BITS = 18
 TRAIN_ROWS = 20_000
@@ -165,4 +165,4 @@ def accept(docs: DataFrame, labels: DataFrame, reject: float = REJECT, model: Mo
     """The rows of docs that the classifier keeps, with their own columns."""
     out = posteriors(docs, labels, model).where(F.col("posterior") >= reject).select(F.col("_key.doc_id").alias("_tm_id"), F.col("_key.h").alias("_tm_g")).distinct()
     keyed = docs.withColumns({"_tm_h": F.xxhash64("text")})
-    return keyed.join(out, (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return keyed.join(out, (F.col("_tm_h") == F.col("_tm_g")) & F.col("doc_id").eqNullSafe(F.col("_tm_id")), "left_anti").select(*[column(docs, c) for c in docs.columns])
