@@ -2,18 +2,20 @@
 
 A document's own evidence is the log odds of a hashed naive Bayes model plus a few shape features, trained here by logistic
 regression on labelled rows. Expected bad counts of sites come from grouped aggregation: a host's rate is shrunk toward the
-global rate, a path's (host and language) toward its host's, each with a prior strength fitted by moments from the spread
-between groups. A document's posterior is its evidence at its path's shrunk rate. Sparse sites so lean on the prior above.
+global rate, a path's toward its host's, each with a prior strength fitted by moments: the spread within groups over the
+spread between them. A document's prior is its path's shrunk rate without the document itself, so that its own evidence counts
+once; its posterior is the evidence at that prior. Sparse sites so lean on the prior above. The documents have no url: the host
+is their source, and the finest site below it is the source's part in one language.
 
-Only aggregates reach the driver: one row a hash bucket of the model (2**BITS at most) and a few sums for the priors;
-site tables stay distributed and join back by key, a hot host being one row of its side.
-
-Training reads at most TRAIN_ROWS labelled documents, chosen by a hash of doc_id: a documented bound. Everything else, the
-scores and the sites' counts, covers all rows.
+Training reads at most TRAIN_ROWS labelled documents, chosen by a hash of doc_id: a documented bound. Their features, at most
+2**BITS numbers a document, reach the driver as Arrow columns and stay arrays of 4 bytes a feature; so do a few sums for the
+priors. Everything else, the scores and the sites' counts, covers all rows and stays distributed; site tables join back by
+key, a hot host being one row of its side.
 
 Defined cases: a null or empty text has only its shape as evidence; null hosts and paths form groups of their own; labels
-that repeat count each time; without labels, or of one class only, the evidence is 0 and the prior global; an empty table
-gives no rows; other columns pass through `accept` untouched.
+that repeat count each time; without labels, or of one class only, the evidence is 0 and the prior global; equal posteriors get
+equal verdicts; repeated rows get a row each; a null doc_id is classified but never a training row; an empty table gives no
+rows; other columns pass through `accept` untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ BITS = 18
 TRAIN_ROWS = 20_000
 REJECT = 0.5  # posterior of being bad, from which a document goes
 EPOCHS = 8
-LEAST_COUNT = 50  # labelled documents with a bucket's words, for the bucket to have a weight
+LEAST_SHARE = 0.0025  # of the labelled documents that a bucket's words must be in, for the bucket to have a weight
 PREFIXES = (4, 5)
 SHAPES = 8
 
@@ -76,26 +78,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
         for b in batches:
             got = [features(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([g[0] for g in got], type=pa.list_(pa.int32())), pa.array([g[1] for g in got], type=pa.list_(pa.float64()))], names=["doc_id", "bad", "w", "s"])
+            own = pa.array([np.unique(np.array(g[0], dtype=np.int32)) for g in got], type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), own, pa.array([g[1] for g in got], type=pa.list_(pa.float64()))], names=["doc_id", "bad", "w", "s"])
 
-    rows = sample.select("doc_id", "text", "bad").mapInArrow(lean, "doc_id long, bad boolean, w array<int>, s array<double>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["bad"]))
-    bad = sum(r["bad"] for r in rows)
+    got = sample.select("doc_id", "text", "bad").mapInArrow(lean, "doc_id long, bad boolean, w array<int>, s array<double>").toArrow().combine_chunks()
+    order = np.lexsort((got.column("bad").to_numpy(), got.column("doc_id").to_numpy())) if len(got) else []
+    y = got.column("bad").to_numpy().astype(np.float64)
     words, shapes = np.zeros(1 << BITS), np.zeros(SHAPES)
-    if not rows or bad in (0, len(rows)):
+    if not len(got) or not 0 < y.sum() < len(y):
         return Model(words, shapes, 0.0)
+    w, s = (got.column(c).combine_chunks() for c in ("w", "s"))
+    ends, at, own = w.offsets.to_numpy(), w.values.to_numpy(), s.values.to_numpy().reshape(-1, SHAPES)
+    frequent = np.bincount(at, minlength=1 << BITS) >= max(1, LEAST_SHARE * len(y))
+    data = [(x[frequent[x]], own[i], y[i]) for i in order for x in [at[ends[i] : ends[i + 1]]]]
+    del got, w
     gw, gs, bias, gb = np.full(1 << BITS, 1e-2), np.full(SHAPES, 1e-2), 0.0, 1e-2
     rng = np.random.default_rng(8)
-    seen = np.zeros(1 << BITS, dtype=np.int64)
-    for r in rows:
-        seen[np.unique(r["w"])] += 1
-    least = min(LEAST_COUNT, max(1, len(rows) // 100))  # small samples have few words that often
-    data = [(at[seen[at] >= least], np.array(r["s"]), float(r["bad"])) for r in rows for at in [np.array(r["w"], dtype=np.int64)]]
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
-            at, s, y = data[i]
+            at, s, good = data[i]
             z = words[at].sum() + shapes @ s + bias
-            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
+            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - good
             if abs(g) < 1e-3:
                 continue
             gw[at] += g * g
@@ -104,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             shapes -= 0.1 * g * s / np.sqrt(gs)
             gb += g * g
             bias -= 0.1 * g / math.sqrt(gb)
-    prior = math.log(bad / (len(rows) - bad))
-    return Model(words.astype(np.float32), shapes, bias - prior)
+    return Model(words.astype(np.float32), shapes, bias - math.log(y.sum() / (len(y) - y.sum())))
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
@@ -127,32 +129,38 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength by moments: how many documents' worth of evidence the level above gets for its groups."""
-    n, within, k = F.sum("n"), F.sum(F.col("n") * F.pow(F.col("b") / F.col("n") - mean, 2)), F.count("*")
-    total, spread, count = groups.agg(n, within, k).first()
-    if not count or count < 2 or not 0 < mean < 1:
+    """Prior strength by moments, from groups' sums b of p, q of p squared and counts n: variance within groups over variance between them."""
+    n, b, q = (F.col(c) for c in ("n", "b", "q"))
+    total, within, spread, squares, count = groups.agg(F.sum(n), F.sum(q - b * b / n), F.sum(n * F.pow(b / n - mean, 2)), F.sum(n.cast("double") * n), F.count("*")).first()
+    if not count or count < 2 or total <= count:
         return 100.0
-    noise = mean * (1 - mean)
-    between = max(0.0, (spread - (count - 1) * noise) / total)
-    return min(1e4, max(10.0, noise / between)) if between > 1e-9 else 1e4
+    noise = max(0.0, within / (total - count))
+    between = (spread - (count - 1) * noise) / (total - squares / total)
+    return min(1e4, max(1.0, noise / between)) if between > 1e-9 else 1e4
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """_key, host, path, evidence, path_rate (the shrunk prior) and posterior of being bad, for every row of docs."""
-    scored = cut(evidence(docs, model or fit(docs, labels)), "evidence")
+    """_key, host, path, evidence, host_rate, path_rate (the shrunk prior) and posterior of being bad, for every row of docs."""
+    return shrink(cut(evidence(docs, model or fit(docs, labels)), "evidence"))
+
+
+def shrink(scored: DataFrame) -> DataFrame:
+    """Rows with a host, a path and an evidence get host_rate, path_rate and posterior: the empirical Bayes step."""
     capped = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("evidence")))
-    alone = scored.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-capped)))
-    paths = cut(alone.groupBy("host", "path").agg(F.sum("p").alias("b"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    scored = scored.withColumn("_e", capped).withColumn("_p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_e"))))
+    paths = cut(scored.groupBy("host", "path").agg(F.sum("_p").alias("b"), F.sum(F.col("_p") * F.col("_p")).alias("q"), F.count("*").alias("n")), "paths")
+    hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "bqn"])
     b, n = hosts.agg(F.sum("b"), F.sum("n")).first()
     mean = (b / n) if n else 0.5
     s_host, s_path = strength(hosts, mean), strength(paths, mean)
-    rates = hosts.select(F.col("host").alias("_h"), ((F.col("b") + mean * s_host) / (F.col("n") + s_host)).alias("host_rate"))
-    shrunk = paths.join(rates, F.col("host").eqNullSafe(F.col("_h"))).select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", ((F.col("b") + F.col("host_rate") * s_path) / (F.col("n") + s_path)).alias("path_rate"))
+    sites = paths.join(hosts.select(F.col("host").alias("_g"), F.col("b").alias("_hb"), F.col("n").alias("_hn")), F.col("host").eqNullSafe(F.col("_g"))).select(F.col("host").alias("_h"), F.col("path").alias("_q"), F.col("b").alias("_pb"), F.col("n").alias("_pn"), "_hb", "_hn")
+    both = scored.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_q")))
+    # the row's own share is taken out of either level
+    host_rate = (F.col("_hb") - F.col("_p") + mean * s_host) / (F.col("_hn") - 1 + s_host)
+    rated = both.withColumn("host_rate", host_rate).withColumn("path_rate", (F.col("_pb") - F.col("_p") + F.col("host_rate") * s_path) / (F.col("_pn") - 1 + s_path))
     safe = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("path_rate")))
-    both = scored.join(shrunk, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    odds = capped + F.log(safe / (F.lit(1.0) - safe))
-    return both.select("_key", "host", "path", "evidence", "host_rate", "path_rate", (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("posterior"))
+    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_e") + F.log(safe / (F.lit(1.0) - safe)))))
+    return rated.select("_key", "host", "path", "evidence", "host_rate", "path_rate", posterior.alias("posterior"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, reject: float = REJECT, model: Model | None = None) -> DataFrame:
