@@ -1,11 +1,12 @@
 """The corpus pipeline: quality classifier, line dedup, near-dedup, decontamination, SentencePiece ids.
 
-Each stage works on all that the one before it kept, and is an operator of tidemark.llm with its production parameters.
+Each stage works on all that the one before it kept, and is an operator of tidemark.llm with its production parameters. Nulls,
+empty and long texts, ties, repeated rows, empty tables and extra columns are treated as each operator's docstring says; of
+rows that repeat a doc_id and a text near dedup leaves one.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, line_join, minmax_dedup, piece_codec, quality_classifier
@@ -38,6 +39,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that they decode to."""
+    import public_tokenizers
+
     return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id", "n_tokens", "ids", "decoded"))
 
 
