@@ -68,6 +68,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Logistic regression by AdaGrad on a bounded sample of labelled rows; bad: low quality or toxic."""
     import numpy as np
+    import pyarrow as pa
 
     marked = labels.select(F.col("doc_id").alias("_id"), (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad")).where(F.col("_id").isNotNull())
     some = marked.orderBy(F.xxhash64("_id"), "_id", "bad").limit(TRAIN_ROWS)
@@ -81,17 +82,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             own = pa.array([np.unique(np.array(g[0], dtype=np.int32)) for g in got], type=pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), own, pa.array([g[1] for g in got], type=pa.list_(pa.float64()))], names=["doc_id", "bad", "w", "s"])
 
-    got = sample.select("doc_id", "text", "bad").mapInArrow(lean, "doc_id long, bad boolean, w array<int>, s array<double>").toArrow().combine_chunks()
+    got = sample.select("doc_id", "text", "bad").mapInArrow(lean, "doc_id long, bad boolean, w array<int>, s array<double>").toArrow()
     order = np.lexsort((got.column("bad").to_numpy(), got.column("doc_id").to_numpy())) if len(got) else []
     y = got.column("bad").to_numpy().astype(np.float64)
     words, shapes = np.zeros(1 << BITS), np.zeros(SHAPES)
     if not len(got) or not 0 < y.sum() < len(y):
         return Model(words, shapes, 0.0)
-    w, s = (got.column(c).combine_chunks() for c in ("w", "s"))
-    ends, at, own = w.offsets.to_numpy(), w.values.to_numpy(), s.values.to_numpy().reshape(-1, SHAPES)
-    frequent = np.bincount(at, minlength=1 << BITS) >= max(1, LEAST_SHARE * len(y))
-    data = [(x[frequent[x]], own[i], y[i]) for i in order for x in [at[ends[i] : ends[i + 1]]]]
-    del got, w
+    own = np.concatenate([c.flatten().to_numpy() for c in got.column("s").chunks]).reshape(-1, SHAPES)
+    seen = np.zeros(1 << BITS, dtype=np.int64)
+    for c in got.column("w").chunks:
+        seen += np.bincount(c.flatten().to_numpy(), minlength=1 << BITS)
+    frequent = seen >= max(1, LEAST_SHARE * len(y))
+    ends, kept = [np.zeros(1, np.int64)], []
+    for c in got.column("w").chunks:  # a chunk's features at a time, so that the whole is held once
+        at = c.flatten().to_numpy()
+        stays = np.concatenate([[0], np.cumsum(frequent[at], dtype=np.int64)])
+        ends.append(ends[-1][-1] + stays[c.offsets.to_numpy()[1:] - c.offsets.to_numpy()[0]])
+        kept.append(at[frequent[at]])
+    del got
+    pa.default_memory_pool().release_unused()
+    ends, kept = np.concatenate(ends), np.concatenate(kept)
+    data = [(kept[ends[i] : ends[i + 1]], own[i], y[i]) for i in order]
     gw, gs, bias, gb = np.full(1 << BITS, 1e-2), np.full(SHAPES, 1e-2), 0.0, 1e-2
     rng = np.random.default_rng(8)
     for _ in range(EPOCHS):
