@@ -15,6 +15,7 @@ query asks for; else it is encoded like any other text.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from array import array
@@ -31,6 +32,7 @@ GROUP_TOKENS = 1 << 22  # tokens held by a task until their table is made
 CHECKPOINT = 128  # steps of LANES ids
 END_ID = 0
 PUNCTUATION = string.punctuation
+WIDE = re.compile(r" \s")
 LOW = 1 << 31
 BLOCK = "n_tokens:bigint,doc_ids:array<bigint>,doc_tokens:array<int>,states:binary,words:binary,marks:binary,crc32:bigint"
 FORMAT = f"file int, part int, first_token long, n_tokens long, table_ids binary, table_freqs binary, blocks array<struct<{BLOCK}>>"
@@ -134,8 +136,11 @@ def decode_ids(row: dict, table: Table, part: int | None = None):
 
 
 class Chunks(dict):
-    """ids of text chunks as bytes. A chunk begins at a space before a non-space, where the pre-tokenizer always cuts, so
-    chunks can be encoded apart; each is encoded by the library once while it is remembered."""
+    """ids of text chunks as bytes, by the chunk without its leading space. A chunk begins at a space before a non-space, where
+    the pre-tokenizer always cuts, so chunks can be encoded apart; each is encoded by the library once while it is remembered.
+
+    The pre-tokenizer also parts letters, the punctuation after them and a line feed before letters. A chunk of these alone, in
+    ASCII and without an apostrophe, is encoded by parts, so that a word is remembered whatever follows it."""
 
     def __init__(self, path: str, added: bool = False, most: int = 600_000):
         import os
@@ -146,30 +151,50 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added
+        self.merged = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.most, self.old = most, {}
-        shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}  # of the byte-level pre-tokenizer; other bytes stand for themselves
+        self.most, self.old, self.starts, self.marks = most, {}, {}, {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def letters(self, pretoken: str) -> bytes:
+        """One pre-token of ASCII letters, a space before them written as the byte-level alphabet does: the model's merges alone."""
+        return array("I", [t.id for t in self.merged(pretoken)]).tobytes()
+
+    def _kept(self, known: dict, key: str, make) -> bytes:
+        if key not in known:
+            if len(known) >= self.most // 4:
+                known.clear()
+            known[key] = make(key)
+        return known[key]
+
+    def _parts(self, chunk: str) -> bytes | None:
+        out = []
+        for i, line in enumerate(chunk.split("\n")):
+            stem = line.rstrip(PUNCTUATION)
+            if not stem.isalpha():
+                return None
+            if i:
+                out.append(self._kept(self.marks, "\n", self.whole))
+                out.append(self._kept(self.starts, stem, self.letters))
+            else:
+                out.append(self[stem] if len(stem) < len(chunk) else self.letters("\u0120" + stem))
+            if len(stem) < len(line):
+                out.append(self._kept(self.marks, line[len(stem) :], self.whole))
+        return b"".join(out)
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:  # two generations: what is in use moves on, the rest is forgotten
             self.old = dict(self)
             self.clear()
         ids = self.old.get(chunk)
+        if ids is None and chunk.isascii() and "'" not in chunk:
+            ids = self._parts(chunk)
         if ids is None:
-            # The pre-tokenizer parts a space and letters from the punctuation after them, so words are remembered without it.
-            stem = chunk.rstrip(PUNCTUATION)
-            if len(stem) < 2 or stem[0] != " " or not stem[1:].isalpha() or max(stem) >= "\u0250":
-                ids = self.whole(chunk)
-            elif len(stem) < len(chunk):
-                ids = self[stem] + self[chunk[len(stem) :]]
-            else:  # one pre-token: the model's merges alone, on its bytes as the byte-level alphabet writes them
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(stem.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-        self[chunk] = ids
+            ids = self.whole(" " + chunk)
+        if len(chunk) < 256:  # so that the memory has a bound
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -177,10 +202,10 @@ class Chunks(dict):
             return b""
         if any(t in text for t in self.added):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        if "" in rest or any(map(str.isspace, [x[0] for x in rest])):
+        if text[-1] == " " or WIDE.search(text):
             return self.whole(text)  # runs of spaces: their cut depends on what follows
-        return self[first] + b"".join(map(self.__getitem__, [" " + x for x in rest]))
+        first, *rest = text.split(" ")
+        return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
 
 _CHUNKS: dict[tuple[str, bool], Chunks] = {}
