@@ -63,6 +63,15 @@ def fragments(h, width: int):
     return best[first], first, np.diff(first, append=n) + width - 1
 
 
+def minimisers(h, start, width: int):
+    """Minimisers of the windows that begin at start."""
+    import numpy as np
+
+    gram = min(GRAM, width)
+    g = window_hashes(h, gram)
+    return np.minimum.reduce([g[start + k] for k in range(width - gram + 1)])
+
+
 def fragment_hashes(h, start, length):
     """Hashes of the fragments' word sequences, from sums of words times powers of a constant."""
     import numpy as np
@@ -260,7 +269,7 @@ def _with_list(docs: DataFrame, lists: DataFrame, how: str, column: str) -> Data
 
 def earliest(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
     """mini, frag and least: the least doc_id of each of the windows of fragments (mini, frag, at), by backward search in their shards."""
-    lists = cut(one.groupBy(F.col("at.doc_id").alias("d"), F.col("at.place").bitwiseAND(TAG).alias("t")).agg(F.collect_list(F.shiftright("at.place", 32).cast("int")).alias("want")), "wanted")
+    lists = cut(one.groupBy(F.col("at.doc_id").alias("d"), F.col("at.place").bitwiseAND(TAG).alias("t")).agg(F.collect_list(F.shiftright("at.place", 24)).alias("want")), "wanted")
 
     def send(batches):
         import numpy as np
@@ -270,15 +279,16 @@ def earliest(docs: DataFrame, one: DataFrame, width: int) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 h = hash_words(text.split(), _KNOWN)
-                got = fragments(h, width)
-                if got is None:
+                # another text of this doc_id and tag has other fragments; what doesn't fit in this one is left out
+                place = want.values.to_numpy()
+                start, length = place >> 8, place & 255
+                fits = start + length <= len(h)
+                start, length = start[fits], length[fits]
+                if not len(start):
                     continue
-                mini, start, length = got
-                mine = np.flatnonzero(np.isin(start, want.values.to_numpy()))  # another text of this doc_id and tag has other starts
-                frag = fragment_hashes(h, start, length)
-                mini, start, length, frag = mini[mine], start[mine], length[mine], frag[mine]
+                mini, frag = minimisers(h, start, width), fragment_hashes(h, start, length)
                 at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-                for o, v in zip(out, (mini.view(np.int64) >> np.int64(16), frag.view(np.int64), np.full(len(mine), doc_id, dtype=np.int64), h[at], length), strict=True):
+                for o, v in zip(out, (mini.view(np.int64) >> np.int64(16), frag.view(np.int64), np.full(len(start), doc_id, dtype=np.int64), h[at], length), strict=True):
                     o.append(v)
             if out[0]:
                 ends = np.cumsum(np.concatenate(out[4])) * 8
