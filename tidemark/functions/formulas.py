@@ -44,6 +44,10 @@ def quality_raw(roe: Column, margin: Column, accrual: Column) -> Column:
     return roe * 0.45 + margin * 0.35 + accrual * 0.20
 
 
+def chart_score(technical: Column, momentum: Column) -> Column:
+    return technical * 0.7 + momentum * 0.3
+
+
 #: For each measure the scores below ascending bounds, and from the last bound on.
 BELOW: dict[str, list[tuple[float, int]]] = {
     "per": [(5, 70), (15, 85), (25, 65), (40, 40), (float("inf"), 20)],
