@@ -44,6 +44,11 @@ def quality_raw(roe: Column, margin: Column, accrual: Column) -> Column:
     return roe * 0.45 + margin * 0.35 + accrual * 0.20
 
 
+def risk_fraction(risk_pct: Column, per_trade: float = 0.00155, most: float = 0.15) -> Column:
+    """Share of capital at risk: the budget a trade or, for a narrow stop, the position's cap times the stop's percent."""
+    return F.when(risk_pct > 0, F.least(F.lit(per_trade), most * risk_pct / 100)).otherwise(0.0)
+
+
 def chart_score(technical: Column, momentum: Column) -> Column:
     return technical * 0.7 + momentum * 0.3
 
@@ -108,7 +113,7 @@ def reward_risk(direction: Column, entry: Column, stop: Column, target: Column)
     return F.when(risk > 0, F.when(direction == "long", long).otherwise(short))
 
 
-def position_size(equity: Column, entry: Column, stop: Column, fx: Column, risk: float = 0.01, most: float = 0.2) -> Column:
+def position_size(equity: Column, entry: Column, stop: Column, fx: Column, risk: float = 0.00155, most: float = 0.15) -> Column:
     """Whole shares within a risk budget and a share of equity."""
     by_risk = F.try_divide(equity * risk, (entry - stop) * fx)
     by_size = F.try_divide(equity * most, entry * fx)

@@ -121,3 +121,105 @@ def graham(eps: Column, growth_pct: Column, yield_pct: Column, conservative: boo
 def having_all(frame: DataFrame, key: list[str], kind: str, kinds: int) -> DataFrame:
     """Keys that occur with every one of a number of kinds."""
     return frame.groupBy(*key).agg(F.count_distinct(kind).alias("_k")).where(F.col("_k") == kinds).select(*key)
+
+
+def _from_last(bars: DataFrame, n: int) -> DataFrame:
+    """The last n closes of each ticker with _k, 1 for the last."""
+    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    return bars.where("close IS NOT NULL").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+
+
+def daily_frames(bars: DataFrame, ts: str = "ts") -> DataFrame:
+    """ticker and daily: whether the median number of bars a calendar date is one at most."""
+    return bars.groupBy("ticker", F.to_date(ts).alias("_d")).agg(F.count("*").alias("_n")).groupBy("ticker").agg((F.median("_n") <= 1).alias("daily"))
+
+
+def liquid(bars: DataFrame, days: int, least: float) -> DataFrame:
+    """ticker, mean_volume and keeps over the last calendar days before the panel's end; a ticker without bars there is kept."""
+    end = bars.agg(F.max("date").alias("_end"))
+    own = bars.join(F.broadcast(end))  # one row
+    g = own.groupBy("ticker").agg(F.avg(F.when(F.col("date") >= F.date_sub("_end", days), F.col("volume"))).alias("mean_volume"))
+    return g.withColumn("keeps", F.coalesce(F.col("mean_volume") >= least, F.lit(True)))
+
+
+def quintile_curves(returns: DataFrame) -> DataFrame:
+    """Cumulative percent of each quintile of returns (date, quintile, ret in percent), and of long_short: the fifth less the first on days that have both."""
+    legs = returns.groupBy("date").agg(F.max(F.when(F.col("quintile") == 5, F.col("ret"))).alias("_5"), F.max(F.when(F.col("quintile") == 1, F.col("ret"))).alias("_1"))
+    spread = legs.select("date", F.lit("long_short").alias("leg"), (F.col("_5") - F.col("_1")).alias("ret")).where("ret IS NOT NULL")
+    every = returns.select("date", F.concat(F.lit("Q"), F.col("quintile").cast("string")).alias("leg"), "ret").unionByName(spread)
+    x, w = 1 + F.col("ret") / 100, Window.partitionBy("leg").orderBy("date")
+    # a running product from logarithms; a loss of over 100 percent turns its sign, one of 100 percent ends it
+    sign = F.when(F.count_if(x < 0).over(w) % 2 == 1, -1.0).otherwise(1.0)
+    grown = F.when(F.count_if(x == 0).over(w) > 0, 0.0).otherwise(sign * F.exp(F.coalesce(F.sum(F.when(x != 0, F.log(F.abs(x)))).over(w), F.lit(0.0))))
+    return every.select("date", "leg", (grown * 100 - 100).alias("cum"))
+
+
+def discard_rate(orders: DataFrame, by: list[str]) -> DataFrame:
+    """n (orders not filled, filled or short of cash), nofill, cash_short, censored and the percent not filled; null without orders."""
+    is_ = lambda *x: F.count_if(F.col("outcome").isin(*x))
+    g = orders.groupBy(*by).agg(is_("nofill", "filled", "cash_short").alias("n"), is_("nofill").alias("nofill"), is_("cash_short").alias("cash_short"), is_("censored").alias("censored"))
+    return g.withColumn("rate", F.when(F.col("n") > 0, F.col("nofill") / F.col("n") * 100))
+
+
+def net_expectancy(trades: DataFrame, by: list[str], cost_bp: float) -> DataFrame:
+    """Mean r of filled trades after a one-way cost, and the cost in basis points at which it is zero."""
+    g = trades.groupBy(*by).agg(F.avg(F.col("r") - F.col("r_cost_per_bp") * cost_bp).alias("net"), F.try_divide(F.avg("r"), F.avg("r_cost_per_bp")).alias("breakeven_bp"))
+    return g
+
+
+def labels(bars: DataFrame, horizon: int = 20, threshold_pct: float = 0.0) -> DataFrame:
+    """bars with label: 1 if the return to the horizon-th bar ahead is over the threshold, else 0; null at the end."""
+    ahead = (F.lead("close", horizon).over(Window.partitionBy("ticker").orderBy("date")) / F.col("close") - 1) * 100
+    return bars.withColumn("label", F.when(ahead.isNotNull(), (ahead > threshold_pct).cast("double")))
+
+
+def relative_strength(bars: DataFrame, market: DataFrame, spans: tuple[int, ...] = (21, 63, 126)) -> DataFrame:
+    """Per ticker and span n: percent return over the last n closes, the market's over its own last n, and their difference."""
+    every = F.explode(F.array(*map(F.lit, spans))).alias("span")
+    own = _from_last(bars, max(spans)).groupBy("ticker").agg(F.max_by("close", -F.col("_k")).alias("last"), F.count("*").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_k", "close"))).alias("_c"))
+    back = own.select("ticker", "last", "_n", "_c", every).withColumn("_k", F.least("span", F.col("_n") - 1)).where("_k > 0")
+    mine = back.select("ticker", "span", ((F.col("last") / F.try_element_at("_c", F.col("_k")) - 1) * 100).alias("ret"))
+    m = _from_last(market.withColumn("ticker", F.lit("")), max(spans)).agg(F.map_from_entries(F.collect_list(F.struct("_k", "close"))).alias("_m"))
+    both = mine.join(F.broadcast(m)).withColumn("market_ret", (F.try_element_at("_m", F.lit(1)) / F.try_element_at("_m", F.col("span")) - 1) * 100)  # one row
+    return both.select("ticker", "span", "ret", "market_ret", (F.col("ret") - F.col("market_ret")).alias("strength"))
+
+
+def momentum_table(bars: DataFrame) -> DataFrame:
+    """Per ticker the percent returns over 21, 63, 126 and 252 closes and the mean score of the last three there are; 50 without any."""
+    at = lambda n: F.max(F.when(F.col("_k") == n, F.col("close")))
+    spans = (21, 63, 126, 252)
+    last = _from_last(bars, 252).groupBy("ticker").agg(at(1).alias("_1"), *[at(n).alias(f"_c{n}") for n in spans])
+    rets = last.select("ticker", *[((F.col("_1") - F.col(f"_c{n}")) / F.col(f"_c{n}") * 100).alias(f"m{n}") for n in spans])
+    # The scores of a return above each bound, and at or below the last one.
+    bands = [(30, 90), (15, 75), (5, 65), (0, 55), (-10, 40), (-20, 25)]
+
+    def score(v: Column) -> Column:
+        out = F.when(v.isNull(), F.lit(None).cast("int"))
+        for bound, points in bands:
+            out = out.when(v > bound, points)
+        return out.otherwise(10)
+
+    scores = F.filter(F.array(*[score(F.col(f"m{n}")) for n in spans[1:]]), lambda x: x.isNotNull())
+    mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(scores), F.lit(0))
+    return rets.withColumn("score", F.coalesce(mean, F.lit(50.0)))
+
+
+def board(bars: DataFrame, spark: int = 22) -> DataFrame:
+    """Per ticker with two closes or more: the last one, its percent change and the last spark closes, oldest first."""
+    own = _from_last(bars, spark).groupBy("ticker").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "close"))).alias("_s")).where("_n > 1")
+    s = F.transform("_s", lambda x: x["close"])
+    last, before = F.element_at(s, -1), F.element_at(s, -2)
+    return own.select("ticker", last.alias("last"), F.when(before != 0, (last - before) / before * 100).otherwise(0.0).alias("change_pct"), s.alias("closes"))
+
+
+def audit(names: DataFrame, bars: DataFrame) -> DataFrame:
+    """Names of a universe that stand in it twice or more (duplicate) or have no close in the panel (dead)."""
+    alive = bars.where("close IS NOT NULL").select("ticker").distinct().withColumn("_a", F.lit(True))
+    g = names.groupBy("ticker").agg(F.count("*").alias("n")).join(alive, "ticker", "left")
+    return g.select("ticker", (F.col("n") > 1).alias("duplicate"), F.col("_a").isNull().alias("dead")).where("duplicate OR dead")
+
+
+def day_gaps(scores: DataFrame, slugs: int) -> DataFrame:
+    """Per date: tickers, and those dropped as they lack some of the slugs."""
+    own = scores.groupBy("date", "ticker").agg(F.count_distinct(F.when(F.col("score").isNotNull(), F.col("slug"))).alias("_k"))
+    return own.groupBy("date").agg(F.count("*").alias("tickers"), F.count_if(F.col("_k") < slugs).alias("dropped"))

@@ -212,3 +212,90 @@ def j13_live_over_backfill(spark, sf):
     first = e.agg(F.min("event_type").alias("_first"))  # one row
     own = e.join(F.broadcast(first)).select(F.to_date("ts").alias("date"), "event_id", (F.col("event_type") == F.col("_first")).alias("live"))
     return joins.live_over_backfill(own.where("live"), own.where("NOT live"))
+
+
+@register("""WITH n AS (SELECT event_type AS ticker, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT ticker, median(n) <= 1 AS daily FROM n GROUP BY 1""")
+def p12_daily_frames(spark, sf):
+    return rep.daily_frames(src.table(spark, sf, "events").withColumnRenamed("event_type", "ticker"))
+
+
+@register(f"{BARS}, e AS (SELECT max(date) AS e FROM b), g AS (SELECT ticker, avg(volume) FILTER (WHERE date >= e - 30) AS mean_volume FROM b, e GROUP BY 1) SELECT ticker, round(mean_volume, 6) AS mean_volume, coalesce(mean_volume >= 100, true) AS keeps FROM g")
+def y52_liquid(spark, sf):
+    return rounded(rep.liquid(src.bars_daily(spark, sf), 30, 100.0))
+
+
+@register(f"""{BARS}, r AS (SELECT date, ticker, close, (lead(close, 5) OVER ({O}) / close - 1) AS f, row_number() OVER ({O}) AS k FROM b), q AS (SELECT date, ntile(5) OVER (PARTITION BY date ORDER BY close, ticker) AS quintile, f FROM r WHERE f IS NOT NULL AND date >= DATE '1998-06-01'),
+m AS (SELECT date, quintile, avg(f) / 20 AS ret FROM q GROUP BY 1, 2), l AS (SELECT date, 'long_short' AS leg, max(ret) FILTER (WHERE quintile = 5) - max(ret) FILTER (WHERE quintile = 1) AS ret FROM m GROUP BY 1),
+e AS (SELECT date, 'Q' || CAST(quintile AS VARCHAR) AS leg, ret FROM m UNION ALL SELECT * FROM l WHERE ret IS NOT NULL)
+SELECT date, leg, round(product(1 + ret / 100) OVER (PARTITION BY leg ORDER BY date) * 100 - 100, 5) AS cum FROM e""")
+def c7_quintile_curves(spark, sf):
+    own = Window.partitionBy("ticker").orderBy("date")
+    r = src.bars_daily(spark, sf).withColumn("f", F.lead("close", 5).over(own) / F.col("close") - 1).where("f IS NOT NULL AND date >= DATE '1998-06-01'")
+    q = r.withColumn("quintile", F.ntile(5).over(Window.partitionBy("date").orderBy("close", "ticker")))
+    return rounded(rep.quintile_curves(q.groupBy("date", "quintile").agg((F.avg("f") / 20).alias("ret"))), 5)
+
+
+_OUTCOMES = "CASE o_orderkey % 5 WHEN 0 THEN 'nofill' WHEN 1 THEN 'cash_short' WHEN 2 THEN 'censored' ELSE 'filled' END"
+
+
+@register(f"""WITH o AS (SELECT o_orderpriority AS line, {_OUTCOMES} AS outcome FROM orders), g AS (SELECT line, count(*) FILTER (WHERE outcome != 'censored') AS n, count(*) FILTER (WHERE outcome = 'nofill') AS nofill, count(*) FILTER (WHERE outcome = 'cash_short') AS cash_short, count(*) FILTER (WHERE outcome = 'censored') AS censored FROM o GROUP BY 1)
+SELECT *, round(nofill / n * 100, 6) AS rate FROM g""")
+def a17_discard_rate(spark, sf):
+    o = src.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("line"), F.expr(_OUTCOMES).alias("outcome"))
+    return rounded(rep.discard_rate(o, ["line"]))
+
+
+@register("WITH t AS (SELECT event_type AS line, (value - 50) / 10 AS r, 0.001 * (1 + user_id % 5) AS c FROM events WHERE value IS NOT NULL) SELECT line, round(avg(r - c * 6), 6) AS net, round(avg(r) / avg(c), 4) AS breakeven_bp FROM t GROUP BY 1")
+def a19_net_expectancy(spark, sf):
+    e = src.table(spark, sf, "events").where("value IS NOT NULL")
+    t = e.select(F.col("event_type").alias("line"), ((F.col("value") - 50) / 10).alias("r"), (F.lit(0.001) * (1 + F.col("user_id") % 5)).alias("r_cost_per_bp"))
+    return rounded(rep.net_expectancy(t, ["line"], 6.0), breakeven_bp=4)
+
+
+@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN b > 0 THEN round(least(0.00155::DOUBLE, 0.15 * b / 100), 8) ELSE 0 END AS fraction FROM x")
+def f18_risk_fraction(spark, sf):
+    return rounded(_numbers(spark, sf).select("id", fm.risk_fraction(F.col("b")).alias("fraction")), 8)
+
+
+@register(f"{BARS}, l AS (SELECT ticker, date, (lead(close, 20) OVER ({O}) / close - 1) * 100 AS f FROM b) SELECT ticker, date, CASE WHEN f IS NOT NULL THEN (f > 1)::INT::DOUBLE END AS label FROM l")
+def i10_labels(spark, sf):
+    return rep.labels(src.bars_daily(spark, sf), 20, 1.0).select("ticker", "date", "label")
+
+
+@register(f"""{BARS}, m AS (SELECT date, sum(close) AS close FROM b GROUP BY date), k AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM b), mk AS (SELECT close, row_number() OVER (ORDER BY date DESC) AS k FROM m),
+s AS (SELECT ticker, span, least(span, least(max(n), 126) - 1) AS back FROM k, (VALUES (21), (63), (126)) v(span) GROUP BY ticker, span),
+r AS (SELECT s.ticker, span, (a.close / z.close - 1) * 100 AS ret, (SELECT max(close) FILTER (WHERE k = 1) / max(close) FILTER (WHERE k = span) - 1 FROM mk) * 100 AS market_ret FROM s JOIN k a ON a.ticker = s.ticker AND a.k = 1 JOIN k z ON z.ticker = s.ticker AND z.k = back)
+SELECT ticker, span, round(ret, 5) AS ret, round(market_ret, 5) AS market_ret, round(ret - market_ret, 5) AS strength FROM r""")
+def w32_relative_strength(spark, sf):
+    bars = src.bars_daily(spark, sf)
+    return rounded(rep.relative_strength(bars, bars.groupBy("date").agg(F.sum("close").alias("close"))), 5)
+
+
+def _band(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} > 30 THEN 90 WHEN {c} > 15 THEN 75 WHEN {c} > 5 THEN 65 WHEN {c} > 0 THEN 55 WHEN {c} > -10 THEN 40 WHEN {c} > -20 THEN 25 ELSE 10 END"
+
+
+@register(f"""{BARS}, k AS (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM b), g AS (SELECT ticker, {', '.join(f'(max(close) FILTER (WHERE k = 1) / max(close) FILTER (WHERE k = {n}) - 1) * 100 AS m{n}' for n in (21, 63, 126, 252))} FROM k GROUP BY ticker)
+SELECT ticker, {', '.join(f'round(m{n}, 5) AS m{n}' for n in (21, 63, 126, 252))}, round(coalesce(list_avg(list_filter([{_band('m63')}, {_band('m126')}, {_band('m252')}], lambda x: x IS NOT NULL)), 50), 5) AS score FROM g""")
+def w29_momentum_table(spark, sf):
+    return rounded(rep.momentum_table(src.bars_daily(spark, sf)), 5)
+
+
+@register(f"""{BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM b), g AS (SELECT ticker, count(*) AS n, max(close) FILTER (WHERE k = 1) AS a, max(close) FILTER (WHERE k = 2) AS z, string_agg(CAST(CAST(round(close * 100, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY date) FILTER (WHERE k <= 22) AS cents FROM k GROUP BY ticker)
+SELECT ticker, round(a, 5) AS last, round((a - z) / z * 100, 5) AS change_pct, cents FROM g WHERE n > 1""")
+def y40_board(spark, sf):
+    cents = F.array_join(F.transform("closes", lambda x: fm.rnd(x * 100, 0).cast("long").cast("string")), ",")
+    return rounded(rep.board(src.bars_daily(spark, sf)).withColumn("cents", cents).drop("closes"), 5)
+
+
+@register(f"{BARS}, u AS (SELECT n_name AS ticker FROM nation UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT r_name || '_X' FROM region), g AS (SELECT ticker, count(*) > 1 AS duplicate, ticker NOT IN (SELECT ticker FROM b) AS dead FROM u GROUP BY 1) SELECT * FROM g WHERE duplicate OR dead")
+def y12_audit(spark, sf):
+    n = src.table(spark, sf, "nation")
+    names = n.select(F.col("n_name").alias("ticker")).union(n.where("n_nationkey % 4 = 0").select("n_name")).union(src.table(spark, sf, "region").select(F.concat("r_name", F.lit("_X"))))
+    return rep.audit(names, src.bars_daily(spark, sf))
+
+
+@register("WITH k AS (SELECT CAST(ts AS DATE) AS date, user_id % 10 AS ticker, count(DISTINCT CASE WHEN value IS NOT NULL THEN event_type END) AS k FROM events GROUP BY 1, 2) SELECT date, count(*) AS tickers, count(*) FILTER (WHERE k < 3) AS dropped FROM k GROUP BY 1")
+def a35_day_gaps(spark, sf):
+    e = src.table(spark, sf, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 10).alias("ticker"), F.col("event_type").alias("slug"), F.col("value").alias("score"))
+    return rep.day_gaps(e, 3)
