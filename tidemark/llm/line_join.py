@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import column, cut, let, pick
 from .components import connected_components
 
-BUCKETS = 18  # bits; the counts are 2**18 small numbers whatever the input
+BUCKETS = 16  # bits; the counts are 2**16 small numbers whatever the input, a literal that plans and their descriptions hold
 LEVELS = 1.75  # levels for a doubling of the count
 PLACE_BITS = 24  # of a word's place in its line, below rarity and word hash in a long; longer lines send all tokens
 SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
