@@ -48,6 +48,18 @@ def test_rsi_macd_and_adx_follow_pandas(bars):
     assert 0 <= column(simulate.adx(bars), "adx")[-1] <= 100
 
 
+def test_recurrence_carries_over_blocks_and_nulls(spark):
+    draw = random.Random(4)
+    known = [None if i in (0, 1, 700) or draw.random() < 0.1 else (float("nan") if i == 50 else draw.gauss(0, 5)) for i in range(1500)]
+    known[329:333] = [None] * 4
+    frame = spark.createDataFrame([("A", i, v) for i, v in enumerate(known)] + [("B", 0, None), ("B", 1, None)], "ticker string, date int, v double")
+    for alpha in (0.5, 1 / 14, 0.99, 1.0):
+        want = pd.Series(known, dtype="float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
+        got = column(simulate.ewm(frame, "v", alpha, "y"), "y")
+        assert got[:2] == [None, None] and got[2:] == pytest.approx(list(want[2:]), rel=1e-9, abs=1e-12)
+        assert column(simulate.ewm(frame, "v", alpha, "y"), "y", "B") == [None, None]
+
+
 def test_windows_need_their_rows(bars):
     close = pd.Series(column(bars, "close"))
     got = column(ind.bollinger(bars), "upper")

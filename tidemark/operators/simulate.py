@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,18 +87,25 @@ def threshold_positions(frame: DataFrame, signal: str, buy: float, sell: float)
 
 
 def ewm(bars: DataFrame, column: str, alpha: float, out: str, order: str = "date") -> DataFrame:
-    """First-order recurrence y = (1 - alpha) y + alpha x per ticker, from the first value; nulls keep the last value.
-
-    A ticker's bars go through one Arrow group in time order: a window fold would be quadratic in a ticker's length."""
-    schema = bars.withColumn(out, F.lit(None).cast("double")).schema
-
-    def apply(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{out: pd.Series(pdf[column], dtype="float64").ewm(alpha=alpha, adjust=False, ignore_na=True).mean()})
-
-    return bars.groupBy("ticker").applyInPandas(apply, schema)
+    """First-order recurrence y = (1 - alpha) y + alpha x per ticker, from the first value; nulls and NaN keep the last value.
+
+    With a = 1 - alpha, y is a**k times the running sum of alpha x / a**k within a block of known values; a block is as long as
+    a**k takes to fall to 1e-100, so that the end of the block before is the only carry that a double can show."""
+    a = 1 - alpha
+    w = Window.partitionBy("ticker").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    if a <= 0:
+        return bars.withColumn(out, F.last(x, ignorenulls=True).over(w))
+    size = max(1, int(math.log(1e100) / -math.log(a)))
+    k = F.count(x).over(w) - 1  # of the last known value
+    b = bars.withColumn("_k", k).withColumns({"_b": F.floor(F.col("_k") / size), "_i": F.pmod("_k", F.lit(size))})
+    within = Window.partitionBy("ticker", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    term = F.when(F.col("_k") == 0, x).otherwise(x * alpha) / F.pow(F.lit(a), "_i")
+    b = b.withColumn("_y", F.pow(F.lit(a), "_i") * F.sum(term).over(within))
+    # a row without a value after a block's end finds that end itself, at a weight of 1e-100
+    carry = F.last(F.when(F.col("_i") == size - 1, F.col("_y")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    y = F.col("_y") + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(a), F.col("_i") + 1)
+    return b.withColumn(out, F.when(F.col("_k") >= 0, y)).drop("_k", "_b", "_i", "_y")
 
 
 def rsi(bars: DataFrame, period: int = 14, order: str = "date") -> DataFrame:

@@ -194,24 +194,36 @@ def b20_trailing_stop(spark, sf):
     return simulate.trailing_stop(src.bars_daily(spark, sf)).select(*KEYS, "peak", "stopped")
 
 
-_RSI = f"""{BARS}, d AS (SELECT ticker, date, close - lag(close) OVER ({O}) AS d FROM b),
-l AS (SELECT ticker, max(date) AS date, list(greatest(d, 0.0) ORDER BY date) FILTER (WHERE d IS NOT NULL) AS g, list(greatest(-d, 0.0) ORDER BY date) FILTER (WHERE d IS NOT NULL) AS s FROM d GROUP BY ticker),
-e AS (SELECT ticker, date, list_reduce(g, lambda a, y: a * (1 - 1.0 / 14) + y / 14) AS g, list_reduce(s, lambda a, y: a * (1 - 1.0 / 14) + y / 14) AS s FROM l)
+RECURSIVE = BARS.replace("WITH ", "WITH RECURSIVE ", 1)
+_RSI = f"""{RECURSIVE}, d AS MATERIALIZED (SELECT ticker, date, row_number() OVER ({O}) - 1 AS k, close - lag(close) OVER ({O}) AS d FROM b),
+e AS (SELECT ticker, date, k, NULL::DOUBLE AS g, NULL::DOUBLE AS s FROM d WHERE k = 0
+UNION ALL SELECT d.ticker, d.date, d.k, coalesce(e.g * (1 - 1.0::DOUBLE / 14) + greatest(d.d, 0) / 14, greatest(d.d, 0)), coalesce(e.s * (1 - 1.0::DOUBLE / 14) + greatest(-d.d, 0) / 14, greatest(-d.d, 0)) FROM e JOIN d ON d.ticker = e.ticker AND d.k = e.k + 1)
 SELECT ticker, date, round(100 - 100 / (1 + g / CASE WHEN s = 0 THEN 1e-10 ELSE s END), 5) AS rsi FROM e"""
 
+_MACD = f"""{RECURSIVE}, d AS MATERIALIZED (SELECT ticker, date, row_number() OVER ({O}) AS k, close FROM b),
+e AS (SELECT ticker, date, k, close AS f, close AS s, 0.0::DOUBLE AS g FROM d WHERE k = 1
+UNION ALL SELECT ticker, date, k, f, s, g + 0.2::DOUBLE * (f - s - g) FROM (SELECT d.ticker, d.date, d.k, e.f + 2.0::DOUBLE / 13 * (d.close - e.f) AS f, e.s + 2.0::DOUBLE / 27 * (d.close - e.s) AS s, e.g FROM e JOIN d ON d.ticker = e.ticker AND d.k = e.k + 1))
+SELECT ticker, date, round(f - s, 5) AS macd, round(g, 5) AS signal, round(f - s - g, 5) AS histogram FROM e"""
+
+_ADX = f"""{RECURSIVE}, c AS (SELECT *, row_number() OVER ({O}) AS k, lag(close) OVER ({O}) AS q, high - lag(high) OVER ({O}) AS up, lag(low) OVER ({O}) - low AS down FROM b),
+d AS MATERIALIZED (SELECT ticker, date, k, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m, greatest(high - low, abs(high - q), abs(low - q)) AS t FROM c),
+e AS (SELECT ticker, date, k, p, m, t, NULL::DOUBLE AS x FROM d WHERE k = 1
+UNION ALL SELECT ticker, date, k, p, m, t, CASE WHEN p + m > 0 AND t > 0 THEN coalesce(x + (100 * abs(p - m) / (p + m) - x) / 14, 100 * abs(p - m) / (p + m)) ELSE x END
+FROM (SELECT d.ticker, d.date, d.k, e.p + (d.p - e.p) / 14 AS p, e.m + (d.m - e.m) / 14 AS m, e.t + (d.t - e.t) / 14 AS t, e.x FROM e JOIN d ON d.ticker = e.ticker AND d.k = e.k + 1))
+SELECT ticker, date, round(CASE WHEN t > 0 THEN 100 * p / t END, 5) AS plus_di, round(CASE WHEN t > 0 THEN 100 * m / t END, 5) AS minus_di, round(x, 5) AS adx FROM e"""
+
 
 @register(_RSI)
 def w3_rsi(spark, sf):
-    last = simulate.rsi(src.bars_daily(spark, sf)).groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("rsi", "date").alias("rsi"))
-    return rounded(last, 5)
+    return rounded(simulate.rsi(src.bars_daily(spark, sf)).select(*KEYS, "rsi"), 5)
 
 
-@register()
+@register(_MACD)
 def w4_macd(spark, sf):
     return rounded(simulate.macd(src.bars_daily(spark, sf)).select(*KEYS, "macd", "signal", "histogram"), 5)
 
 
-@register()
+@register(_ADX)
 def w8_adx(spark, sf):
     return rounded(simulate.adx(src.bars_daily(spark, sf)).select(*KEYS, "plus_di", "minus_di", "adx"), 5)
 
@@ -381,7 +393,7 @@ def j10_forward_returns(spark, sf):
     return rounded(joins.forward_returns(src.bars_daily(spark, sf), 20).select(*KEYS, "forward"))
 
 
-_PLANS = f"""n AS (SELECT *, row_number() OVER ({O}) - 1 AS pos FROM b), pl AS (SELECT ticker || ':' || pos AS plan_id, ticker, pos AS start_pos, round(close * 0.99, 6) AS entry_low, round(close * 1.01, 6) AS entry_high, round(close * 0.97, 6) AS stop, round(close * 1.06, 6) AS target, 2.0 AS rr FROM n WHERE pos % 20 = 0),
+_PLANS = f"""n AS (SELECT *, row_number() OVER ({O}) - 1 AS pos FROM b), pl AS (SELECT ticker || ':' || pos AS plan_id, ticker, pos AS start_pos, round(close * 0.99, 6) AS entry_low, round(close * 1.01, 6) AS entry_high, round(close * 0.97, 6) AS stop, round(close * 1.06, 6) AS target, 2.0 AS rr FROM n),
 fl AS (SELECT p.plan_id, min(n.pos) AS fill_pos FROM pl p JOIN n ON n.ticker = p.ticker AND n.pos > p.start_pos AND n.pos <= p.start_pos + 20 AND n.low <= p.entry_high GROUP BY 1),
 ex AS (SELECT p.plan_id, f.fill_pos, min(CASE WHEN n.low <= p.stop THEN n.pos END) AS sp, min(CASE WHEN n.high >= p.target THEN n.pos END) AS hp FROM pl p JOIN fl f USING (plan_id) JOIN n ON n.ticker = p.ticker AND n.pos >= f.fill_pos AND n.pos < f.fill_pos + 40 GROUP BY 1, 2),
 tr AS (SELECT p.*, e.fill_pos, CASE WHEN e.fill_pos IS NULL THEN 'nofill' WHEN sp IS NOT NULL AND (hp IS NULL OR sp <= hp) THEN 'loss' WHEN hp IS NOT NULL THEN 'win' ELSE 'timeout' END AS outcome, CASE WHEN sp IS NOT NULL AND (hp IS NULL OR sp <= hp) THEN sp WHEN hp IS NOT NULL THEN hp END AS exit_pos FROM pl p LEFT JOIN ex e USING (plan_id))"""
@@ -390,7 +402,7 @@ tr AS (SELECT p.*, e.fill_pos, CASE WHEN e.fill_pos IS NULL THEN 'nofill' WHEN s
 def _plans(spark, sf):
     n = simulate.numbered(src.bars_daily(spark, sf))
     c = F.col("close")
-    plans = n.where("pos % 20 = 0").select(F.concat_ws(":", "ticker", F.col("pos").cast("string")).alias("plan_id"), "ticker", F.col("pos").alias("start_pos"), F.lit("long").alias("direction"), rnd(c * 0.99, 6).alias("entry_low"), rnd(c * 1.01, 6).alias("entry_high"), rnd(c * 0.97, 6).alias("stop"), rnd(c * 1.06, 6).alias("target"), F.lit(2.0).alias("rr"))
+    plans = n.select(F.concat_ws(":", "ticker", F.col("pos").cast("string")).alias("plan_id"), "ticker", F.col("pos").alias("start_pos"), F.lit("long").alias("direction"), rnd(c * 0.99, 6).alias("entry_low"), rnd(c * 1.01, 6).alias("entry_high"), rnd(c * 0.97, 6).alias("stop"), rnd(c * 1.06, 6).alias("target"), F.lit(2.0).alias("rr"))
     return simulate.first_touch(plans, n)
 
 
@@ -406,7 +418,12 @@ def a15_trade_stats(spark, sf):
     return rounded(simulate.trade_stats(_plans(spark, sf), ["ticker"]))
 
 
-@register()
+_WALK = BARS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _PLANS + """, o AS MATERIALIZED (SELECT plan_id, ticker, start_pos, outcome, CAST(CASE outcome WHEN 'loss' THEN -1.0 WHEN 'win' THEN rr ELSE 0.0 END AS DOUBLE) AS r,
+greatest(start_pos + 1, coalesce(exit_pos, fill_pos + 40, start_pos + 20) + 3) AS free FROM tr),
+k AS (SELECT * FROM o WHERE start_pos = 0 UNION ALL SELECT o.* FROM k JOIN o ON o.ticker = k.ticker AND o.start_pos = k.free) SELECT plan_id, ticker, start_pos, outcome, r FROM k"""
+
+
+@register(_WALK)
 def b9_cooldown(spark, sf):
     return simulate.cooled_down(_plans(spark, sf)).select("plan_id", "ticker", "start_pos", "outcome", "r")
 
