@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -160,6 +161,37 @@ def test_licences(spark):
     assert "apache-2.0" in got[0].labels and got[1].base_labels == "mit" and got[3].labels == "" and 0 <= got[5].score <= 1
 
 
+def test_licences_against_brute_force(spark):
+    draw = random.Random(3)
+    phrases = [*licence_scan.BASE, *[t for _, t, _ in licence_scan.TEMPLATES], *[k for _, _, k in licence_scan.TEMPLATES]]
+    vocabulary = sorted({w for p in phrases for w in p.split()})
+    rows = [(i, " ".join(" ".join(draw.choice(phrases).split()[draw.randint(0, 2) :]) if draw.random() < 0.4 else draw.choice([*vocabulary, "other"]) for _ in range(draw.randint(0, 30)))) for i in range(150)]
+    rows += [rows[0], (None, rows[1][1]), (200, "the of " * 40_000 + "cc by " * 3000 + "apache license version 2 0"), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = [folded(t) for _, t in rows]
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in x for x in map(set, texts)))) + 1e-9 for w in vocabulary}
+
+    def brute(w):
+        n_base, labels, base, best = [], set(), set(), 0.0
+        for label, template, key, is_base in [(v, k, k, True) for k, v in licence_scan.BASE.items()] + [(*t, False) for t in licence_scan.TEMPLATES]:
+            t, k = template.split(), key.split()
+            at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+            for i in range(len(w) - len(k) + 1):
+                if w[i] == k[0] and w[i : i + len(k)] == k:
+                    score = sum(idf[x] for j, x in enumerate(t) if 0 <= i - at + j < len(w) and w[i - at + j] == x) / sum(idf[x] for x in t)
+                    best = max(best, min(1.0, score))
+                    if is_base:
+                        n_base.append(i)
+                        base.add(label)
+                    if is_base or score >= licence_scan.MATCH:
+                        labels.add(label)
+        return (len(w), len(n_base), min(n_base, default=None), max(n_base, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(best, 9))
+
+    got = [(r.doc_id, (*r[1:7], round(r.score, 9))) for r in licence_scan.scan_licences(docs).collect()]
+    want = [(d, brute(w)) for (d, _), w in zip(rows, texts, strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_decontamination_of_short_items_and_cleaning(spark):
     bench = spark.createDataFrame([(1, "One two three"), (2, " ".join(f"q{i}" for i in range(14))), (3, None), (4, "..."), (1, "one two three")], "item_id long, text string")
     body = " ".join(f"q{i}" for i in range(2, 13))

@@ -1,15 +1,17 @@
 """Operator 1, license scans: a positional rare-token index of licence templates.
 
-The corpus' document frequencies of the licence words give their IDF. The index has, for each template, its mandatory key
-phrase, anchored at the phrase's word of highest IDF, and postings (word, template, place) for all its words. A file's words
-are looked up once; each occurrence of an anchor proposes a start, the posting of the next rarest key word must agree on
-it by relative position, and the whole key phrase is then verified. The verified start is scored by the IDF-weighted share
-of the template's words that stand at their relative places; a template of MATCH or more adds its label.
-
-Since every occurrence of a key phrase holds its anchor, and every anchor is looked up, no place is missed.
-
-Defined cases: a null or empty text has no words, no labels and score 0; ties in IDF go to the earlier word; repeated rows
-get a row each; an empty table gives no rows; other columns aren't read.
+The corpus' document frequencies of the licence words give their IDF, and words are numbered by falling IDF. The index maps a
+word to its postings (template, place), where a template is posted under the RARE words of highest IDF in its mandatory key
+phrase. A file's words of the index are looked up from the highest IDF down. The rarest word of a template proposes starts, its
+place in the file less that in the template; the postings of the next ones are intersected with them by relative position. A
+template of which all postings agree has its whole key phrase verified at the starts that are left. The verified start is
+scored by the IDF-weighted share of the template's words that stand at their relative places; a template of MATCH or more adds
+its label.
+
+Every occurrence of a key phrase holds all words that its template is posted under, so no place is missed.
+
+Defined cases: a null or empty text has no words, no labels and score 0; ties in IDF go to the word first in alphabetical order;
+repeated rows and a null doc_id get a row each; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import FOLD_TABLE, pick
 
 MATCH = 0.85
+RARE = 3  # words of a key phrase that its template is posted under
 
 #: Base phrases and their labels.
 BASE = {
@@ -76,22 +79,41 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
 
 
 class Index:
-    """Templates by word: ids of words, anchors and postings."""
+    """Postings by word; word numbers from 1 up by falling IDF, 0 for words of no licence."""
 
     def __init__(self, frequency: dict[str, int], n_docs: int):
         import numpy as np
 
-        self.number = {w.encode(): i + 1 for i, w in enumerate(sorted(frequency))}
-        self.idf = np.zeros(len(self.number) + 1)
-        for w, n in frequency.items():
-            self.idf[self.number[w.encode()]] = math.log((1 + n_docs) / (1 + n)) + 1e-9
-        self.templates = []
+        order = sorted(frequency, key=lambda w: (frequency[w], w))
+        self.number = {w.encode(): i for i, w in enumerate(order, 1)}
+        self.idf = np.array([0.0, *[math.log((1 + n_docs) / (1 + frequency[w])) + 1e-9 for w in order]])
+        self.templates, self.postings = [], {}
         for label, words, key, base in _templates():
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-            ids, k = np.array([self.number[w.encode()] for w in words], dtype=np.int32), len(key)
-            rare = sorted(range(k), key=lambda i: (-self.idf[ids[at + i]], i))[:2]  # noqa: B023
-            self.templates.append((label, base, ids, at, ids[at : at + k], rare))
-        self.anchors = frozenset(int(t[4][t[5][0]]) for t in self.templates)
+            ids = np.array([self.number[w.encode()] for w in words], dtype=np.int32)
+            rare = sorted((int(ids[at + i]), i) for i in range(len(key)))[:RARE]
+            for word, place in rare:
+                self.postings.setdefault(word, []).append((len(self.templates), place))
+            self.templates.append((label, base, ids, at, ids[at : at + len(key)], len(rare)))
+        self.posted, self.rarest = np.zeros(len(self.idf), dtype=bool), np.zeros(len(self.idf), dtype=bool)
+        self.posted[list(self.postings)] = True
+        self.rarest[[int(key.min()) for *_, key, _ in self.templates]] = True
+
+    def proposed(self, ids) -> dict:
+        """Starts, by template, on which all its postings agree; a start is that of the key phrase in the file's word numbers."""
+        import numpy as np
+
+        if not self.rarest[ids].any():  # no template has all its postings
+            return {}
+        at = np.flatnonzero(self.posted[ids])
+        own, starts, agreed = ids[at], {}, {}
+        for word in np.unique(own).tolist():
+            places = at[own == word]
+            for t, place in self.postings[word]:
+                begin = places - place
+                starts[t] = np.intersect1d(starts[t], begin, assume_unique=True) if t in starts else begin
+                agreed[t] = agreed.get(t, 0) + 1
+        return {t: begin[(begin >= 0) & (begin + len(self.templates[t][4]) <= len(ids))] for t, begin in starts.items() if agreed[t] == self.templates[t][5] and len(begin)}
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """(n_base, first, last, base labels, all labels, score) of a text's words."""
@@ -100,18 +122,10 @@ class Index:
         import numpy as np
 
         ids = np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.int32, count=len(words))
-        places = np.flatnonzero(ids)
-        postings, starts, base, labels, best = ids[places], [], set(), set(), 0.0
-        present = self.anchors.intersection(postings.tolist()) if len(places) else ()
-        for label, is_base, template, at, key, rare in self.templates if present else ():
-            if int(key[rare[0]]) not in present:
-                continue
-            begin = places[postings == key[rare[0]]] - rare[0]
-            begin = begin[(begin >= 0) & (begin + len(key) <= len(ids))]
-            if len(rare) > 1:
-                begin = begin[ids[begin + rare[1]] == key[rare[1]]]
-            if len(begin):
-                begin = begin[(ids[begin[:, None] + np.arange(len(key))] == key).all(axis=1)]
+        starts, base, labels, best = [], set(), set(), 0.0
+        for t, begin in self.proposed(ids).items():
+            label, is_base, template, at, key, _ = self.templates[t]
+            begin = begin[(ids[begin[:, None] + np.arange(len(key))] == key).all(axis=1)]
             if not len(begin):
                 continue
             around = (begin - at)[:, None] + np.arange(len(template))
