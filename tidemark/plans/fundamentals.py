@@ -106,7 +106,8 @@ def f3_quality_formulas(spark, sf):
     return p.select("p_partkey", fx.accrual_quality(F.col("fcf"), F.col("ni")).alias("accrual"), fx.earnings_yield(F.col("fcf")).alias("yield"), fx.cost_grade(F.col("px"), F.col("px") - F.col("fcf")).alias("grade"))
 
 
-@register()
+@register(f"""{FACTS} SELECT ticker, "end", filed, round(revenue, 2) AS val FROM f WHERE month("end") != 12
+UNION ALL SELECT ticker, max("end"), max(filed), round(sum(revenue) - sum(CASE WHEN month("end") != 12 THEN revenue END), 2) FROM f GROUP BY ticker, year("end") HAVING count(*) = 4""")
 def x3_derived_q4(spark, sf):
     """Quarters whose fourth is hidden behind an annual fact, derived again."""
     q = src.facts_quarterly(spark, sf).select("ticker", F.add_months(F.date_add("end", 1), -3).alias("start"), "end", F.col("revenue").alias("val"), "filed", F.lit("10-Q").alias("form"))
