@@ -69,19 +69,17 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
 HOT_PARTS = 2000
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, then=None) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """rows joined with groups, one row a key, by key; a key with more than a 2000th of all rows is joined in parts.
 
     size: groups' column with a key's number of rows; their sum is total at most, so that hot keys number 2000 at most, and
-    these alone are broadcast. spread: a long of rows that deals a hot key's rows over its parts. then: takes the joined rows
-    grouped by key and part and aggregates them, before anything of a hot key meets in one task."""
+    these alone are broadcast. spread: a long of rows that deals a hot key's rows over its parts."""
     most = max(1, total // HOT_PARTS)
     parts = F.ceil(F.col(size) / F.lit(most)).cast("int")
     hot = F.broadcast(groups.where(F.col(size) > most).select(key, parts.alias("_parts")))
     dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     each = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    joined = dealt.join(each, [key, "_part"])
-    return joined.drop("_part") if then is None else then(joined.groupBy(key, "_part"))
+    return dealt.join(each, [key, "_part"]).drop("_part")
 
 
 class WordHashes(dict):

@@ -8,8 +8,9 @@ was seen years ago is still a hit. Both streams are exactly-once from their chec
 goes on where the last batch ended.
 
 A digest that more than one row has is a hit, and hits are checked by their full bytes: the least and the greatest text
-under a digest are aggregated, with partial aggregation before the shuffle, and are the same if and only if all its texts
-are those at the locator. Where they differ, the digest's rows are told apart by whole texts.
+under a digest are the same if and only if all its texts are the one at the locator. They are aggregated over all rows, so
+that a task hands on at most one text for each digest, however many copies it read; a join that leaves out digests of one
+row would send every text through the shuffle, copies too. Where they differ, the rows are told apart by whole texts.
 
 A digest's size is known from the state, so a hot one is dealt out: rows over a 2000th of all are at most 2000 digests,
 which are broadcast with their number of parts, and each part is joined by itself.
@@ -32,6 +33,7 @@ FILES_A_BATCH = 1000  # so that a lost batch costs a bounded piece of work
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition sets aside some MB of disk
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -106,10 +108,8 @@ def verdicts(spark: SparkSession, path: str, home: str, digest: Callable[[Column
     known = groups(spark, home, rows)
     total = known.agg(F.sum("n")).first()[0] or 0
     out = spread_join(rows, known, "digest", "n", total, spread=F.xxhash64("file", "row"))
-    hits = known.where("n > 1").select("digest", "n")
     texts = _digests(docs, digest, normal(column(docs, "text")).alias("text"))
-    same = spread_join(texts, hits, "digest", "n", total, spread=F.xxhash64("file", "row"), then=lambda x: x.agg(F.min("text").alias("low"), F.max("text").alias("high")))
-    differ = cut(same.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("digest"), "differ")
+    differ = cut(texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low != high").select("digest"), "differ")
     columns = ["doc_id", "keep_id", F.col("n").alias("group_size"), ((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "digest"]
     if differ.isEmpty():
         return out.select(*columns)
