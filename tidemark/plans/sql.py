@@ -18,6 +18,14 @@ FACTS = """WITH who AS (SELECT c_custkey, n_name AS ticker, n_nationkey, c_acctb
    SELECT ticker, n_nationkey, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS "end", round(sum(o_totalprice), 2) AS revenue,
      round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0.0 END) - 0.3 * sum(o_totalprice), 4) AS net_income
    FROM orders JOIN who ON o_custkey = c_custkey GROUP BY 1, 2, 3) q JOIN sh ON q.ticker = sh.ticker)"""
+COMPANY = """co AS (SELECT n_name AS ticker, n_nationkey, CAST(o_orderdate AS DATE) AS od, o_totalprice::DECIMAL(18, 2) AS x, o_orderstatus AS st, left(o_orderpriority, 1) AS pr
+   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+ cf AS (SELECT ticker, "end", CAST("end" + CAST(30 + n_nationkey + CASE WHEN (year("end") * 4 + quarter("end")) % 5 = 0 THEN 200 ELSE 0 END AS INTEGER) AS DATE) AS filed, rev AS revenue,
+   coalesce(f, 0.0::DOUBLE) - rev * 0.3::DOUBLE AS net_income, u * 0.4::DOUBLE AS operating_income, f * 0.25::DOUBLE AS operating_cash_flow, l * 0.1::DOUBLE AS capex FROM (
+   SELECT ticker, n_nationkey, CAST(date_trunc('quarter', od) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS "end", sum(x)::DOUBLE AS rev, sum(CASE WHEN st = 'F' THEN x END)::DOUBLE AS f,
+     sum(CASE WHEN pr IN ('1', '2') THEN x END)::DOUBLE AS u, sum(CASE WHEN pr = '5' THEN x END)::DOUBLE AS l FROM co GROUP BY 1, 2, 3)),
+ cy AS (SELECT ticker, CAST(make_date(CAST(y + 1 AS INTEGER), 1, 1) + CAST(n_nationkey AS INTEGER) AS DATE) AS filed, shares, coalesce(m, 0.0::DOUBLE) * 0.5::DOUBLE - a * 0.09::DOUBLE AS equity FROM (
+   SELECT ticker, n_nationkey, year(od) AS y, count(*) AS shares, sum(CASE WHEN pr = '3' THEN x END)::DOUBLE AS m, sum(x)::DOUBLE AS a FROM co GROUP BY 1, 2, 3))"""
 O = "PARTITION BY ticker ORDER BY date"
 
 

@@ -62,6 +62,30 @@ def facts_quarterly(spark: SparkSession, folder: str) -> DataFrame:
     return q.join(F.broadcast(shares), "ticker").select("ticker", "end", F.date_add("end", F.col("n_nationkey") + 30).alias("filed"), "revenue", "net_income", "equity", "shares")
 
 
+def company_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """ticker, end, filed, revenue, net_income, operating_income, operating_cash_flow, capex by quarter and nation.
+
+    Items that no order of the quarter speaks of are null, and every fifth quarter is filed 200 days late. Prices have cents: sums are exact."""
+    who = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("ticker"), "n_nationkey")
+    o = table(spark, folder, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    end = F.last_day(F.add_months(F.to_date(F.date_trunc("quarter", "o_orderdate")), 2))
+    total = lambda when: F.sum(F.when(when, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double")
+    first = F.left("o_orderpriority", F.lit(1))
+    q = o.groupBy("ticker", "n_nationkey", end.alias("end")).agg(total(F.lit(True)).alias("revenue"), total(F.col("o_orderstatus") == "F").alias("_f"), total(first.isin("1", "2")).alias("_u"), total(first == "5").alias("_l"))
+    late = F.when((F.year("end") * 4 + F.quarter("end")) % 5 == 0, 200).otherwise(0)
+    f = F.coalesce("_f", F.lit(0.0))
+    return q.select("ticker", "end", F.date_add("end", F.col("n_nationkey") + 30 + late).alias("filed"), "revenue", (f - F.col("revenue") * 0.3).alias("net_income"), (F.col("_u") * 0.4).alias("operating_income"), (F.col("_f") * 0.25).alias("operating_cash_flow"), (F.col("_l") * 0.1).alias("capex"))
+
+
+def company_years(spark: SparkSession, folder: str) -> DataFrame:
+    """ticker, filed, shares, equity by year and nation, filed in the next January or February; equity may be negative."""
+    who = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("ticker"), "n_nationkey")
+    o = table(spark, folder, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    y = o.groupBy("ticker", "n_nationkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("shares"), F.sum(F.when(F.left("o_orderpriority", F.lit(1)) == "3", price)).cast("double").alias("_m"), F.sum(price).cast("double").alias("_all"))
+    return y.select("ticker", F.date_add(F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)), F.col("n_nationkey")).alias("filed"), "shares", (F.coalesce("_m", F.lit(0.0)) * 0.5 - F.col("_all") * 0.09).alias("equity"))
+
+
 def read_bars(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars of a Parquet panel; ticker and date predicates reach the scan."""
     bars = spark.read.parquet(path)
