@@ -127,16 +127,6 @@ def regime_weights(base: DataFrame, ics: DataFrame, floor: float = 0.005) -> Dat
     return both.select("regime", "factor", F.when(total > 0, F.col("_w") / total).otherwise(0.0).alias("weight"))
 
 
-def trailing_percentile(events: DataFrame, day: str, value: str, days: int = 250, least: int = 20) -> DataFrame:
-    """Share of the events of the days before (the day itself not counted) with a smaller or equal value; null for small pools."""
-    w = Window.orderBy(F.unix_date(day)).rangeBetween(-days, -1)
-    pool = F.collect_list(value).over(w)
-    # the pool is bounded by the days' number of events; a market files some thousands a year
-    f = events.withColumn("_pool", pool)
-    share = F.size(F.filter("_pool", lambda x: x <= F.col(value))) / F.size("_pool")
-    return f.withColumn("percentile", F.when(F.size("_pool") >= least, share)).drop("_pool")
-
-
 def consolidate(reports: DataFrame, by: list[str], buy: float = 65, sell: float = 40) -> DataFrame:
     """Weighted mean, votes and agreement of the analysts' scores (columns score and weight) per key."""
     verdict = F.when(F.col("score") >= buy, "buy").when(F.col("score") <= sell, "sell").otherwise("neutral")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,40 +80,12 @@ def decay_z(returns: DataFrame, mean: float, sd: float, window: int = 60) -> Dat
     return f.withColumn("p", normal_cdf(F.col("z")))
 
 
-def deflated_sharpe(observed: float, trials: int, n: int, skew: float = 0.0, kurtosis: float = 3.0) -> float:
-    """Probability that a Sharpe ratio is above the best of as many trials of no skill."""
-    from statistics import NormalDist
-
-    nd, gamma = NormalDist(), 0.5772156649015329
-    best = (1 - gamma) * nd.inv_cdf(1 - 1 / trials) + gamma * nd.inv_cdf(1 - 1 / (trials * math.e)) if trials > 1 else 0.0
-    sd = math.sqrt(max(1e-12, (1 - skew * observed + (kurtosis - 1) / 4 * observed**2) / max(1, n - 1)))
-    return nd.cdf((observed - best * sd) / sd)
-
-
-def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p of a 2x2 table, by log factorials."""
-    lf = lambda k: math.lgamma(k + 1)
-    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
-    logp = lambda x: lf(r1) + lf(r2) + lf(c1) + lf(n - c1) - lf(n) - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x)
-    seen = logp(a)
-    return min(1.0, sum(math.exp(p) for x in range(max(0, c1 - r2), min(r1, c1) + 1) if (p := logp(x)) <= seen + 1e-7))
-
-
-def monte_carlo(spark: SparkSession, start: float, mu: float, sigma: float, days: int = 60, sims: int = 500, seed: int = 7) -> DataFrame:
-    """day and percentiles of geometric Brownian paths; draws are hashed by (seed, path, day), so they can be redone."""
-    grid = spark.range(sims).withColumnRenamed("id", "sim").withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "sim", "day"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+def monte_carlo(starts: DataFrame, days: int = 60, sims: int = 500, seed: int = 7) -> DataFrame:
+    """ticker, day and percentiles of geometric Brownian paths of each row (ticker, start, mu, sigma); draws are hashed by
+    (seed, ticker, path, day), so a lost task redraws the same ones."""
+    grid = starts.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))).withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "ticker", "sim", "day"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     z = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * math.pi * u(1))
-    path = F.sum((mu - sigma * sigma / 2) + sigma * z).over(Window.partitionBy("sim").orderBy("day"))
-    p = grid.withColumn("price", start * F.exp(path))
-    return p.groupBy("day").agg(*[F.percentile("price", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)])
-
-
-def bisect_irr(monthly: float, n: int, equity: float) -> float:
-    """Yearly rate at which n deposits grow to the equity, by 200 halvings."""
-    low, high = -0.99, 1.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        grown = monthly * n if abs(mid) < 1e-12 else monthly * ((1 + mid) ** n - 1) / mid * (1 + mid)
-        low, high = (mid, high) if grown < equity else (low, mid)
-    return (1 + (low + high) / 2) ** 12 - 1
+    path = F.sum(F.col("mu") - F.col("sigma") * F.col("sigma") / 2 + F.col("sigma") * z).over(Window.partitionBy("ticker", "sim").orderBy("day"))
+    p = grid.withColumn("price", F.col("start") * F.exp(path))
+    return p.groupBy("ticker", "day").agg(*[F.percentile("price", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)])

@@ -29,12 +29,11 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_day: str, right_da
     Rows meet by day bucket, three buckets wide, so the join is an equi-join."""
     width = max(1, tolerance_days)
     bucket = lambda c: F.floor(F.unix_date(F.col(c)) / width)
-    lft = left.withColumn("_id", F.monotonically_increasing_id())
-    probe = lft.select("_id", F.col(key).alias("_k"), F.col(left_day).alias("_d"), F.explode(F.array(*[bucket(left_day) + i for i in (-1, 0, 1)])).alias("_b"))
+    probe = left.select(F.col(key).alias("_k"), F.col(left_day).alias("_d")).distinct().withColumn("_b", F.explode(F.array(*[bucket("_d") + i for i in (-1, 0, 1)])))
     side = right.where(F.col(right_day).isNotNull()).select(F.col(key).alias("_k"), F.col(right_day).alias("_rd"), F.col(value).alias("_v"), bucket(right_day).alias("_b"))
     near = probe.join(side, ["_k", "_b"]).withColumn("_gap", F.abs(F.datediff("_d", "_rd"))).where(F.col("_gap") <= tolerance_days)
-    best = near.groupBy("_id").agg(F.min(F.struct("_gap", "_rd", "_v")).alias("_best"))
-    return lft.join(best, "_id", "left").select(*left.columns, F.col("_best._v").alias(value), F.col("_best._rd").alias(right_day))
+    best = near.groupBy("_k", "_d").agg(F.min(F.struct("_gap", "_rd", "_v")).alias("_best"))
+    return left.join(best, (F.col(key) == F.col("_k")) & (F.col(left_day) == F.col("_d")), "left").select(*left.columns, F.col("_best._v").alias(value), F.col("_best._rd").alias(right_day))
 
 
 def calendar(bars: DataFrame) -> DataFrame:

@@ -474,6 +474,10 @@ def i1_block_bootstrap(spark, sf):
 
 @register()
 def i8_monte_carlo(spark, sf):
+    """Paths of each ticker from its last close, with the drift and deviation of its daily logarithmic returns."""
     from ..operators.inference import monte_carlo
 
-    return rounded(monte_carlo(spark, 100.0, 0.0003, 0.02))
+    b = src.bars_daily(spark, sf)
+    b = b.withColumn("_r", F.log(F.col("close") / F.lag("close").over(ind.by_time())))
+    starts = b.groupBy("ticker").agg(F.max_by("close", "date").alias("start"), (F.avg("_r") + F.var_samp("_r") / 2).alias("mu"), F.stddev_samp("_r").alias("sigma"))
+    return rounded(monte_carlo(starts))
