@@ -273,3 +273,16 @@ def test_empty_tables(spark):
     assert token_files.tokenize_to_files(docs, P.path("byte_bpe_50k.json")).count() == 0
     assert quality_classifier.accept(docs, labels).count() == 0
     assert decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_cleaning_and_shards_keep_columns_of_any_name(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"before {passage} after and then some more words follow here", 5, "x", 9, "s", 3), (2, None, 6, "y", 8, "t", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `_rest` string, size int, shard string, slot int")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    got = sorted(decontaminate.clean(docs, bench, drop_share=0.9).collect(), key=lambda x: x.doc_id)
+    assert got[0].asDict() == dict(zip(docs.columns, rows[0])) | {"text": "before after and then some more words follow here"}
+    assert got[1].asDict() == dict(zip(docs.columns, rows[1]))
+    out = histogram_sort.histogram_sort(docs, 2)
+    assert out.columns == ["doc_id", "text", "a.b", "_rest", "input_size", "input_shard", "input_slot", "size", "text_crc32", "shard", "slot"]
+    assert {(x.doc_id, x["a.b"], x.input_size, x.input_shard, x.input_slot, x.size) for x in out.collect()} == {(1, 5, 9, "s", 3, len(rows[0][1]) + 1), (2, 6, 8, "t", 4, 1)}

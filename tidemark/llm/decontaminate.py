@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_WORD, cut, fold, let, pick, words_of
+from .common import FOLDED_WORD, column, cut, fold, let, pick, words_of
 
 BROADCAST_WINDOWS = 2_000_000  # rows of about 100 bytes
 MOST_BITS = 26  # 8 MB of screen at most
@@ -138,7 +138,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, drop_share: fl
     share = F.aggregate("_s", F.lit(0), lambda n, x: n + x["b"] - x["a"]) / F.col("_n")
     names = docs.columns
     rest = [c for c in names if c not in ("doc_id", "text")]
-    flat = docs.select("doc_id", "text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"), F.xxhash64("doc_id", "text").alias("_k"))
+    flat = docs.select("doc_id", "text", F.struct(*[column(docs, c).alias(c) for c in rest]).alias("_rest") if rest else F.lit(None).alias("_rest"), F.xxhash64("doc_id", "text").alias("_k"))
     both = flat.join(found, (F.col("_k") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").where(F.col("_s").isNull() | (share < drop_share))
     either = FOLDED_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 

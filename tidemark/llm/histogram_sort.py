@@ -9,7 +9,8 @@ thousand a round, reach the driver.
 
 Defined cases: a null text has size 1, the crc of the empty text and groups with other nulls; a null doc_id sorts first;
 repeated rows keep a slot each; an empty table gives no rows. A group of equal texts stays in one shard unless that would
-leave the tolerance; a group larger than a shard is split by doc_id, and rows of equal or null doc_ids anyhow. Extra columns pass through untouched.
+leave the tolerance; a group larger than a shard is split by doc_id, and rows of equal or null doc_ids anyhow. Extra columns pass through; those named
+as one of the four that are added keep their values as input_size, input_text_crc32, input_shard or input_slot.
 """
 
 from __future__ import annotations
@@ -149,4 +150,5 @@ def histogram_sort(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, n
     dealt = keys.join(plan, "_cell")
     w = Window.partitionBy("_cell").orderBy("_h", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
     out = dealt.withColumn("slot", F.col("_offset") + F.row_number().over(w) - F.lit(1).cast("long"))
-    return out.select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in own if c not in ("size", "text_crc32", "shard", "slot")], "size", "text_crc32", "shard", "slot")
+    added = ("size", "text_crc32", "shard", "slot")
+    return out.select("doc_id", "text", *[F.col("_rest")[c].alias(f"input_{c}" if c in added else c) for c in own], *added)
