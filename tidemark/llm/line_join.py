@@ -37,6 +37,7 @@ PLACE_BITS = 24  # of a word's place in its line, below rarity and word hash in
 SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
 BROADCAST_ROWS = 300_000
 BROADCAST_TOKENS = 1_000_000  # rows of 8 bytes
+BROADCAST_HEADS = 200_000  # rows of five numbers
 GROUP = 256
 BLOCK = 256
 LAST = (1 << 63) - 1
@@ -176,13 +177,13 @@ def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, perc
     """doc_id and place of those classes (doc_id, place, prefix) that an earlier one is similar to."""
     tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    few = shared.count() <= BROADCAST_TOKENS
-    members = cut(tokens.join(F.broadcast(shared) if few else shared, "t"), "members")
+    n_shared = shared.count()
+    members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
     sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), levels, width), "sets")
     at = F.array_position("tokens", F.col("t")).cast("int") - 1
     placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")), "placed")
     head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f")).select("t", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
-    linked = placed.join(F.broadcast(head) if few else head, "t").where(_earlier(F.col("d"), F.col("p")))
+    linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
     near = verified(linked, sets, percent)
     open_ = placed.join(near, ["doc_id", "place"], "left_anti")
     small = F.col("c").between(3, GROUP)
