@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import reports as rep
@@ -42,3 +43,24 @@ def test_publishable_needs_growth(spark):
 def test_candidates_keep_ties_in_order_and_one_to_sell(spark):
     r = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "ticker string, s double").withColumn("date", F.lit(1))
     assert sorted((x.side, x.ticker) for x in rep.candidates(r, "s", ["date"], 1).collect()) == [("buy", "a"), ("sell", "b")]
+
+
+def test_paired_differences_without_spread(spark):
+    rows = [("up", 1.0, 2.0), ("up", 2.0, 3.0), ("same", 1.0, 1.0), ("same", 2.0, 2.0), ("one", 1.0, 9.0), ("mixed", 1.0, 2.0), ("mixed", 1.0, 0.0), ("gap", None, 1.0), ("gap", 1.0, 2.0)]
+    got = {x.k: x for x in rep.paired_difference(spark.createDataFrame(rows, "k string, a double, b double"), "a", "b", ["k"]).collect()}
+    assert {k: (x.t, x.verdict) for k, x in got.items()} == {"up": (999.0, "better"), "same": (0.0, "noise"), "one": (None, "too few"), "mixed": (0.0, "noise"), "gap": (None, "too few")}
+    assert got["up"].wins_pct == 100.0 and got["mixed"].wins_pct == 50.0
+
+
+def test_slippage_takes_a_measured_percentile_and_adds_round_trips(spark):
+    from tidemark.operators import ledger
+
+    rows = [("entry", "buy", 100.0, 100 + x / 100) for x in (2.0, 4.0)] + [("stop_exit", "sell", 100.0, 100 - x / 100) for x in (6.0, 8.0)] + [("entry", "buy", 100.0, None)]
+    rows += [("many", "buy", 100.0, 100 + x / 100) for x in (5.0, 1.0, 2.0, 2.0, 3.0, 4.0, 6.0, 7.0, 8.0, 9.0, 10.0)]
+    got = ledger.slippage(spark.createDataFrame(rows, "leg string, side string, ref double, fill double"), ["leg"])
+    s = {x.leg: x for x in got.collect()}
+    assert (s["entry"].n, s["entry"].median_bp, s["entry"].p90_bp) == (2, pytest.approx(3.0), pytest.approx(2.0))
+    assert s["many"].p90_bp == pytest.approx(8.0)  # the ninth of eleven
+    trips = {x.exit_leg: x for x in ledger.round_trips(got).collect()}
+    assert (trips["stop_exit"].bp, trips["stop_exit"].r) == (pytest.approx(10.0), pytest.approx(1 / 3))
+    assert ledger.round_trips(got.where("leg != 'entry'")).count() == 0

@@ -97,10 +97,23 @@ def score_buckets(signals: DataFrame, edges: tuple[float, ...] = (0, 60, 70, 80,
 
 
 def slippage(fills: DataFrame, by: list[str]) -> DataFrame:
-    """Slippage in basis points (positive costs) of filled legs: count, median, mean, 90th percentile and maximum."""
+    """Slippage in basis points (positive costs) of filled legs: count, median, mean, 90th percentile and maximum.
+
+    The percentile is a measured value, the int(0.9 n)-th in order, or the first: found from counts of distinct values."""
     bp = F.when(F.col("side") == "buy", F.col("fill") / F.col("ref") - 1).otherwise(1 - F.col("fill") / F.col("ref")) * 1e4
     f = fills.where("fill IS NOT NULL AND ref > 0").withColumn("_bp", bp)
-    return f.groupBy(*by).agg(F.count("*").alias("n"), F.median("_bp").alias("median_bp"), F.avg("_bp").alias("mean_bp"), F.percentile("_bp", F.lit(0.9)).alias("p90_bp"), F.max("_bp").alias("max_bp"))
+    g = f.groupBy(*by).agg(F.count("*").alias("n"), F.median("_bp").alias("median_bp"), F.avg("_bp").alias("mean_bp"), F.max("_bp").alias("max_bp"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_bp"))
+    ranked = f.groupBy(*by, "_bp").agg(F.count("*").alias("_c")).withColumn("_upto", upto).join(g.select(*by, "n"), by)
+    p90 = ranked.where(F.col("_upto") >= F.greatest(F.lit(1), F.floor(F.col("n") * 0.9))).groupBy(*by).agg(F.min("_bp").alias("p90_bp"))
+    return g.join(p90, by).select(*by, "n", "median_bp", "mean_bp", "p90_bp", "max_bp")
+
+
+def round_trips(legs: DataFrame, leg: str = "leg", entry: str = "entry", risk_pct: float = 0.30) -> DataFrame:
+    """exit leg, bp and r: the medians of the entry and of each exit leg added, and by a stop's distance in percent; none for legs without fills."""
+    first = legs.where(F.col(leg) == entry).agg(F.first("median_bp").alias("_entry"))  # one row
+    both = legs.where(F.col(leg) != entry).crossJoin(F.broadcast(first)).withColumn("bp", F.col("median_bp") + F.col("_entry")).where("bp IS NOT NULL")
+    return both.select(F.col(leg).alias("exit_leg"), "bp", (F.col("bp") / 1e4 / (risk_pct / 100)).alias("r"))
 
 
 def concentration(weights: DataFrame) -> DataFrame:

@@ -79,11 +79,14 @@ def delistings_by_year(members: DataFrame, last_bars: DataFrame) -> DataFrame:
 
 
 def paired_difference(frame: DataFrame, a: str, b: str, by: list[str], bound: float = 2.0) -> DataFrame:
-    """n, means, mean difference with its standard error, t and whether it is more than noise, of periods that have both."""
+    """n, means and their standard errors, mean difference with its own, the share of periods that b wins, t and a verdict, of periods that have both.
+
+    Differences that are all the same have a t of 999 with their sign, or 0; fewer than two are too few."""
     both = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.col(b) - F.col(a))
-    g = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg("_d").alias("diff"), (F.stddev_samp("_d") / F.sqrt(F.count("*"))).alias("se"))
-    t = F.when(F.col("se") > 0, F.col("diff") / F.col("se"))
-    return g.withColumn("t", t).withColumn("verdict", F.when(t > bound, "better").when(t < -bound, "worse").otherwise("noise"))
+    se = lambda x: F.stddev_samp(x) / F.sqrt(F.count("*"))
+    g = both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg("_d").alias("diff"), se("_d").alias("se"), se(a).alias("se_a"), se(b).alias("se_b"), (F.count_if(F.col("_d") > 0) / F.count("*") * 100).alias("wins_pct"))
+    g = g.withColumn("t", F.when(F.col("se") > 0, F.col("diff") / F.col("se")).when(F.col("n") >= 2, F.signum("diff") * 999))
+    return g.withColumn("verdict", F.when(F.col("n") < 2, "too few").when(F.col("t") >= bound, "better").when(F.col("t") <= -bound, "worse").otherwise("noise"))
 
 
 def candidates(ranked: DataFrame, score: str, by: list[str], top: int, tie: str = "ticker") -> DataFrame:
@@ -143,15 +146,17 @@ def liquid(bars: DataFrame, days: int, least: float) -> DataFrame:
 
 
 def quintile_curves(returns: DataFrame) -> DataFrame:
-    """Cumulative percent of each quintile of returns (date, quintile, ret in percent), and of long_short: the fifth less the first on days that have both."""
+    """date, leg, cum: cumulative percent of each quintile of returns (date, quintile, ret in percent), and of long_short, the fifth less
+    the first on days that have both; sign and log_grown: of what 1 has grown to, which hold where cum leaves the range of doubles."""
     legs = returns.groupBy("date").agg(F.max(F.when(F.col("quintile") == 5, F.col("ret"))).alias("_5"), F.max(F.when(F.col("quintile") == 1, F.col("ret"))).alias("_1"))
     spread = legs.select("date", F.lit("long_short").alias("leg"), (F.col("_5") - F.col("_1")).alias("ret")).where("ret IS NOT NULL")
     every = returns.select("date", F.concat(F.lit("Q"), F.col("quintile").cast("string")).alias("leg"), "ret").unionByName(spread)
     x, w = 1 + F.col("ret") / 100, Window.partitionBy("leg").orderBy("date")
     # a running product from logarithms; a loss of over 100 percent turns its sign, one of 100 percent ends it
-    sign = F.when(F.count_if(x < 0).over(w) % 2 == 1, -1.0).otherwise(1.0)
-    grown = F.when(F.count_if(x == 0).over(w) > 0, 0.0).otherwise(sign * F.exp(F.coalesce(F.sum(F.when(x != 0, F.log(F.abs(x)))).over(w), F.lit(0.0))))
-    return every.select("date", "leg", (grown * 100 - 100).alias("cum"))
+    sign = F.when(F.count_if(x == 0).over(w) > 0, 0).when(F.count_if(x < 0).over(w) % 2 == 1, -1).otherwise(1)
+    own = every.withColumns({"sign": sign, "log_grown": F.sum(F.when(x != 0, F.log(F.abs(x)))).over(w)})
+    grown = F.col("sign") * F.exp(F.coalesce("log_grown", F.lit(0.0)))
+    return own.select("date", "leg", (grown * 100 - 100).alias("cum"), "sign", "log_grown")
 
 
 def discard_rate(orders: DataFrame, by: list[str]) -> DataFrame:

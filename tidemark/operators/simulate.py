@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CHUNK = 64  # ids that a step of the cooldown walk may copy
+
+
 def numbered(bars: DataFrame, order: str = "date") -> DataFrame:
     return bars.withColumn("pos", F.row_number().over(Window.partitionBy("ticker").orderBy(order)) - 1)
 
@@ -53,9 +56,14 @@ def cooled_down(trades: DataFrame, cooldown: int = 3, fill_window: int = 20, hol
     start = F.col("start_pos").cast("long")
     lands = F.coalesce(F.col("exit_pos"), F.col("fill_pos") + hold_window, start + fill_window).cast("long") if {"fill_pos", "exit_pos"} <= set(trades.columns) else start
     one = trades.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(start.alias("start_pos"), "plan_id", F.greatest(start + 1, lands + cooldown).alias("free")))).alias("p"))
-    none = F.struct(F.lit(-(1 << 30)).cast("long").alias("free"), F.array().cast(f"array<{trades.schema['plan_id'].dataType.simpleString()}>").alias("ids"))
-    step = lambda s, x: F.when(x["start_pos"] >= s["free"], F.struct(x["free"].alias("free"), F.concat(s["ids"], F.array(x["plan_id"])).alias("ids"))).otherwise(s)
-    taken = one.select(F.explode(F.aggregate("p", none, step)["ids"]).alias("plan_id"))
+    ids = f"array<{trades.schema['plan_id'].dataType.simpleString()}>"
+    none = F.struct(F.lit(-(1 << 30)).cast("long").alias("free"), F.array().cast(ids).alias("ids"), F.array().cast(f"array<{ids}>").alias("full"))
+    # A step copies the ids taken since the last full chunk only, so that a long walk doesn't copy all of them again and again.
+    fresh = lambda s, x: F.struct(x["free"].alias("free"), F.array(x["plan_id"]).alias("ids"), F.array_append(s["full"], s["ids"]).alias("full"))
+    add = lambda s, x: F.struct(x["free"].alias("free"), F.array_append(s["ids"], x["plan_id"]).alias("ids"), s["full"].alias("full"))
+    step = lambda s, x: F.when(x["start_pos"] < s["free"], s).when(F.size(s["ids"]) >= CHUNK, fresh(s, x)).otherwise(add(s, x))
+    walked = F.aggregate("p", none, step, lambda s: F.array_append(s["full"], s["ids"]))
+    taken = one.select(F.explode(walked).alias("ids")).select(F.explode("ids").alias("plan_id"))
     return trades.join(taken, "plan_id", "left_semi")
 
 

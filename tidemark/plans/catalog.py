@@ -45,7 +45,7 @@ def rounded(frame: DataFrame, digits: int = 6, **own: int) -> DataFrame:
 
 
 def _load() -> None:
-    from . import company, fundamentals, inference, learned, ledgers, outcomes, panel, reports, structure  # noqa: F401  they register their queries
+    from . import company, fundamentals, inference, learned, ledgers, outcomes, panel, reports, scores, structure  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import formulas as fx
 from ..operators import edgar, joins
 from ..sources import tables as src
 from .catalog import register, rounded
@@ -92,20 +91,6 @@ _LADDERS = {
 }
 
 
-@register("WITH p AS (SELECT p_partkey, CAST(p_size - 3 AS DOUBLE) AS v FROM part) SELECT p_partkey, v, " + ", ".join(f"{q} AS {k}" for k, q in _LADDERS.items()) + " FROM p")
-def f9_ladders(spark, sf):
-    v = F.col("v")
-    return src.table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 3).cast("double").alias("v")).select("p_partkey", "v", *[fx.ladder(k, v).alias(k) for k in _LADDERS])
-
-
-@register("""WITH p AS (SELECT p_partkey, p_size - 10.0 AS fcf, p_size - 5.0 AS ni, p_retailprice AS px FROM part)
-SELECT p_partkey, CASE WHEN ni <= 0 THEN 50.0 WHEN fcf <= 0 THEN 0.0 ELSE least(100.0, greatest(0.0, fcf / ni * 50)) END AS accrual, CASE WHEN fcf > 0 THEN 100.0 / fcf ELSE 0.0 END AS yield,
-CASE WHEN px > 0 AND (px - fcf) / px >= 0 THEN CASE WHEN abs(fcf) / px * 100 > 2.34 THEN 'A' WHEN abs(fcf) / px * 100 > 1.75 THEN 'B' WHEN abs(fcf) / px * 100 > 1.34 THEN 'C' ELSE 'D' END END AS grade FROM p""")
-def f3_quality_formulas(spark, sf):
-    p = src.table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 10.0).alias("fcf"), (F.col("p_size") - 5.0).alias("ni"), F.col("p_retailprice").alias("px"))
-    return p.select("p_partkey", fx.accrual_quality(F.col("fcf"), F.col("ni")).alias("accrual"), fx.earnings_yield(F.col("fcf")).alias("yield"), fx.cost_grade(F.col("px"), F.col("px") - F.col("fcf")).alias("grade"))
-
-
 @register(f"""{FACTS} SELECT ticker, "end", filed, round(revenue, 2) AS val FROM f WHERE month("end") != 12
 UNION ALL SELECT ticker, max("end"), max(filed), round(sum(revenue) - sum(CASE WHEN month("end") != 12 THEN revenue END), 2) FROM f GROUP BY ticker, year("end") HAVING count(*) = 4""")
 def x3_derived_q4(spark, sf):

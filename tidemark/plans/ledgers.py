@@ -63,12 +63,25 @@ def a13_score_buckets(spark, sf):
     return rounded(ledger.score_buckets(_signals(spark, sf)))
 
 
-@register("""WITH f AS (SELECT user_id % 3 AS leg, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100.0 AS ref, 100 + value / 1000 AS fill FROM events),
-b AS (SELECT leg, CASE WHEN side = 'buy' THEN fill / ref - 1 ELSE 1 - fill / ref END * 1e4 AS bp FROM f WHERE fill IS NOT NULL) SELECT leg, count(*) AS n, round(median(bp), 5) AS median_bp, round(avg(bp), 5) AS mean_bp, round(quantile_cont(bp, 0.9), 5) AS p90_bp, round(max(bp), 5) AS max_bp FROM b GROUP BY leg""")
-def a18_slippage(spark, sf):
+_LEGS = """WITH f AS (SELECT CASE user_id % 3 WHEN 0 THEN 'entry' WHEN 1 THEN 'stop_exit' ELSE 'market_exit' END AS leg, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 100.0 AS ref, 100 + value / 1000 AS fill FROM events),
+b AS (SELECT leg, CASE WHEN side = 'buy' THEN fill / ref - 1 ELSE 1 - fill / ref END * 1e4 AS bp FROM f WHERE fill IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY bp) AS k, count(*) OVER (PARTITION BY leg) AS n FROM b)"""
+
+
+def _legs(spark, sf):
     e = src.table(spark, sf, "events")
-    f = e.select((F.col("user_id") % 3).alias("leg"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(100.0).alias("ref"), (100 + F.col("value") / 1000).alias("fill"))
-    return rounded(ledger.slippage(f, ["leg"]), 5)
+    leg = F.when(F.col("user_id") % 3 == 0, "entry").when(F.col("user_id") % 3 == 1, "stop_exit").otherwise("market_exit")
+    f = e.select(leg.alias("leg"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(100.0).alias("ref"), (100 + F.col("value") / 1000).alias("fill"))
+    return ledger.slippage(f, ["leg"])
+
+
+@register(f"""{_LEGS} SELECT leg, count(*) AS n, round(median(bp), 5) AS median_bp, round(avg(bp), 5) AS mean_bp, round(max(bp) FILTER (k = greatest(1, floor(n * 0.9))), 5) AS p90_bp, round(max(bp), 5) AS max_bp FROM o GROUP BY leg""")
+def a18_slippage(spark, sf):
+    return rounded(_legs(spark, sf), 5)
+
+
+@register(f"""{_LEGS}, m AS (SELECT leg, median(bp) AS m FROM o GROUP BY leg) SELECT m.leg AS exit_leg, round(m.m + e.m, 5) AS bp, round((m.m + e.m) / 1e4 / 0.003, 5) AS r FROM m JOIN m e ON e.leg = 'entry' WHERE m.leg != 'entry'""")
+def a18_round_trips(spark, sf):
+    return rounded(ledger.round_trips(_legs(spark, sf)), 5)
 
 
 @register("""WITH v AS (SELECT CAST(ts AS DATE) AS date, event_id % 101 * 1.0 AS score, value - 50 AS ret FROM events WHERE value IS NOT NULL), d AS (SELECT date, count(*) FILTER (WHERE (score >= 65 AND ret > 0) OR (score <= 40 AND ret < 0)) AS h, count(*) FILTER (WHERE score >= 65 OR score <= 40) AS n,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fm
-from ..operators import edgar, joins
+from ..operators import joins
 from ..operators import reports as rep
 from ..sources import tables as src
 from .catalog import register, rounded
@@ -97,8 +97,8 @@ def a3_delistings(spark, sf):
 
 
 @register("""WITH p AS (SELECT event_type AS kind, CAST(ts AS DATE) AS date, avg(value) FILTER (WHERE user_id % 2 = 0) AS a, avg(value) FILTER (WHERE user_id % 2 = 1) AS b FROM events GROUP BY 1, 2), d AS (SELECT *, b - a AS d FROM p WHERE a IS NOT NULL AND b IS NOT NULL),
-g AS (SELECT kind, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS diff, stddev_samp(d) / sqrt(count(*)) AS se FROM d GROUP BY kind)
-SELECT kind, n, round(mean_a, 5) AS mean_a, round(mean_b, 5) AS mean_b, round(diff, 5) AS diff, round(se, 5) AS se, round(diff / se, 5) AS t, CASE WHEN diff / se > 2 THEN 'better' WHEN diff / se < -2 THEN 'worse' ELSE 'noise' END AS verdict FROM g""")
+g AS (SELECT kind, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(d) AS diff, stddev_samp(d) / sqrt(count(*)) AS se, stddev_samp(a) / sqrt(count(*)) AS se_a, stddev_samp(b) / sqrt(count(*)) AS se_b, count(*) FILTER (d > 0) / count(*) * 100 AS wins FROM d GROUP BY kind)
+SELECT kind, n, round(mean_a, 5) AS mean_a, round(mean_b, 5) AS mean_b, round(diff, 5) AS diff, round(se, 5) AS se, round(se_a, 5) AS se_a, round(se_b, 5) AS se_b, round(wins, 5) AS wins_pct, round(t, 5) AS t, CASE WHEN n < 2 THEN 'too few' WHEN t >= 2 THEN 'better' WHEN t <= -2 THEN 'worse' ELSE 'noise' END AS verdict FROM (SELECT *, CASE WHEN se > 0 THEN diff / se WHEN n >= 2 THEN sign(diff) * 999 END AS t FROM g)""")
 def a7_paired_difference(spark, sf):
     e = src.table(spark, sf, "events")
     half = lambda k: F.avg(F.when(F.col("user_id") % 2 == k, F.col("value")))
@@ -147,65 +147,6 @@ def u3_having_all(spark, sf):
     return rep.having_all(src.table(spark, sf, "events"), ["user_id"], "event_type", 5)
 
 
-_X = "c_custkey AS id, (c_custkey % 17) * 1.0::DOUBLE AS a, (c_custkey % 23 - 5) * 1.0::DOUBLE AS b"
-
-
-def _numbers(spark, sf):
-    return src.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 17).cast("double").alias("a"), (F.col("c_custkey") % 23 - 5).cast("double").alias("b"))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer), k AS (SELECT id, a / 17 AS w, a + 1 AS win, abs(b) AS loss FROM x) SELECT id, CASE WHEN loss = 0 OR w <= 0 THEN 0 ELSE round(least(0.25::DOUBLE, greatest(0.0::DOUBLE, (w * (win / loss) - (1 - w)) / (win / loss)) * 0.5), 6) END AS kelly FROM k")
-def f16_kelly(spark, sf):
-    loss = F.abs("b")
-    guarded = fm.kelly(F.col("a") / 17, F.col("a") + 1, F.when(loss > 0, loss))
-    return rounded(_numbers(spark, sf).select("id", F.when(loss == 0, 0.0).otherwise(guarded).alias("kelly")))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN a * 6 <= 65 THEN 0 ELSE round(0.3 + 0.7 * least((a * 6 - 65) / 35, 1.0::DOUBLE), 6) END AS weight FROM x")
-def f17_strength(spark, sf):
-    return rounded(_numbers(spark, sf).select("id", fm.strength_weight(F.col("a") * 6, 65.0).alias("weight")))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN 20 - (a + 10) > 0 THEN round((30 + b - 20) / (20 - (a + 10)), 6) END ELSE CASE WHEN a + 10 - 20 > 0 THEN round((20 - (30 + b)) / (a + 10 - 20), 6) END END AS rr FROM x")
-def f20_reward_risk(spark, sf):
-    side = F.when(F.col("id") % 2 == 0, "long").otherwise("short")
-    return rounded(_numbers(spark, sf).select("id", fm.reward_risk(side, F.lit(20.0), F.col("a") + 10, F.col("b") + 30).alias("rr")))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN b > 0 AND a > 0 THEN round(power(b, 1 / a) - 1, 6) END AS cagr FROM x")
-def f22_cagr(spark, sf):
-    return rounded(_numbers(spark, sf).select("id", fm.cagr(F.col("b"), F.col("a")).alias("cagr")))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN a * 6 >= 65 THEN 'buy' WHEN a * 6 <= 40 THEN 'sell' ELSE 'neutral' END AS verdict FROM x")
-def p9_verdicts(spark, sf):
-    return _numbers(spark, sf).select("id", fm.verdict(F.col("a") * 6).alias("verdict"))
-
-
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, round(a * 0.4 + b * 0.3 + (a + b) * 0.3, 6) AS value_raw, round(a * 0.45 + b * 0.35 + (a - b) * 0.2, 6) AS quality_raw, round(a * 0.7 + b * 0.3, 6) AS chart_score FROM x")
-def f4_raw_scores(spark, sf):
-    a, b = F.col("a"), F.col("b")
-    return rounded(_numbers(spark, sf).select("id", fm.value_raw(a, b, a + b).alias("value_raw"), fm.quality_raw(a, b, a - b).alias("quality_raw"), fm.chart_score(a, b).alias("chart_score")))
-
-
-@register("SELECT c_custkey AS id, c_custkey % 1000 / 10.0::DOUBLE AS x FROM customer")
-def g6_percent(spark, sf):
-    c = src.table(spark, sf, "customer")
-    shown = F.concat(F.lit("+"), F.format_number((F.col("c_custkey") % 1000 / 10.0).cast("double"), 1), F.lit("%"))
-    return c.select(F.col("c_custkey").alias("id"), fm.parse_percent(shown).alias("x"))
-
-
-_ITEMS = ("net_income", "cash_flow", "assets", "debt", "current_assets", "current_liabilities", "shares", "revenue")
-
-
-@register("WITH s AS (SELECT c_custkey AS id, " + ", ".join(f"1 + c_custkey % {7 + i} AS {c}, 1 + c_custkey % {11 + i} AS {c}_prior" for i, c in enumerate(_ITEMS)) + """ FROM customer) SELECT id, CAST((net_income > 0)::INT + (cash_flow > 0)::INT + (net_income / assets > net_income_prior / assets_prior)::INT + (cash_flow > net_income)::INT
- + (debt / assets <= debt_prior / assets_prior)::INT + (current_assets / current_liabilities > current_assets_prior / current_liabilities_prior)::INT + (shares <= shares_prior)::INT + (revenue / assets > revenue_prior / assets_prior)::INT AS INT) AS f_score FROM s""")
-def f12_piotroski(spark, sf):
-    k = F.col("c_custkey")
-    own = [c for i, n in enumerate(_ITEMS) for c in ((1 + k % (7 + i)).alias(n), (1 + k % (11 + i)).alias(f"{n}_prior"))]
-    return edgar.piotroski(src.table(spark, sf, "customer").select(k.alias("id"), *own)).select("id", F.col("f_score").cast("int").alias("f_score"))
-
-
 @register("WITH l AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT CAST(ts AS DATE) AS date, event_id, event_type = (SELECT min(event_type) FROM events) AS live FROM events WHERE event_type = (SELECT min(event_type) FROM events) OR CAST(ts AS DATE) NOT IN (SELECT date FROM l)")
 def j13_live_over_backfill(spark, sf):
     e = src.table(spark, sf, "events")
@@ -224,15 +165,16 @@ def y52_liquid(spark, sf):
     return rounded(rep.liquid(src.bars_daily(spark, sf), 30, 100.0))
 
 
-@register(f"""{BARS}, r AS (SELECT date, ticker, close, (lead(close, 5) OVER ({O}) / close - 1) AS f, row_number() OVER ({O}) AS k FROM b), q AS (SELECT date, ntile(5) OVER (PARTITION BY date ORDER BY close, ticker) AS quintile, f FROM r WHERE f IS NOT NULL AND date >= DATE '1998-06-01'),
+@register(f"""{BARS}, r AS (SELECT date, ticker, close, (lead(close, 5) OVER ({O}) / close - 1) AS f FROM b), q AS (SELECT date, ntile(5) OVER (PARTITION BY date ORDER BY close, ticker) AS quintile, f FROM r WHERE f IS NOT NULL),
 m AS (SELECT date, quintile, avg(f) / 20 AS ret FROM q GROUP BY 1, 2), l AS (SELECT date, 'long_short' AS leg, max(ret) FILTER (WHERE quintile = 5) - max(ret) FILTER (WHERE quintile = 1) AS ret FROM m GROUP BY 1),
-e AS (SELECT date, 'Q' || CAST(quintile AS VARCHAR) AS leg, ret FROM m UNION ALL SELECT * FROM l WHERE ret IS NOT NULL)
-SELECT date, leg, round(product(1 + ret / 100) OVER (PARTITION BY leg ORDER BY date) * 100 - 100, 5) AS cum FROM e""")
+e AS (SELECT date, 'Q' || CAST(quintile AS VARCHAR) AS leg, 1 + ret / 100 AS x FROM m UNION ALL SELECT date, leg, 1 + ret / 100 FROM l WHERE ret IS NOT NULL)
+SELECT date, leg, CASE WHEN count(*) FILTER (x = 0) OVER w > 0 THEN 0 WHEN count(*) FILTER (x < 0) OVER w % 2 = 1 THEN -1 ELSE 1 END AS sign, round(sum(CASE WHEN x != 0 THEN ln(abs(x)) END) OVER w, 6) AS log_grown FROM e WINDOW w AS (PARTITION BY leg ORDER BY date)""")
 def c7_quintile_curves(spark, sf):
+    """All dates; the table's returns are so large that only the curve's logarithm and sign stay within doubles."""
     own = Window.partitionBy("ticker").orderBy("date")
-    r = src.bars_daily(spark, sf).withColumn("f", F.lead("close", 5).over(own) / F.col("close") - 1).where("f IS NOT NULL AND date >= DATE '1998-06-01'")
+    r = src.bars_daily(spark, sf).withColumn("f", F.lead("close", 5).over(own) / F.col("close") - 1).where("f IS NOT NULL")
     q = r.withColumn("quintile", F.ntile(5).over(Window.partitionBy("date").orderBy("close", "ticker")))
-    return rounded(rep.quintile_curves(q.groupBy("date", "quintile").agg((F.avg("f") / 20).alias("ret"))), 5)
+    return rounded(rep.quintile_curves(q.groupBy("date", "quintile").agg((F.avg("f") / 20).alias("ret"))).select("date", "leg", "sign", "log_grown"))
 
 
 _OUTCOMES = "CASE o_orderkey % 5 WHEN 0 THEN 'nofill' WHEN 1 THEN 'cash_short' WHEN 2 THEN 'censored' ELSE 'filled' END"
@@ -252,11 +194,6 @@ def a19_net_expectancy(spark, sf):
     return rounded(rep.net_expectancy(t, ["line"], 6.0), breakeven_bp=4)
 
 
-@register(f"WITH x AS (SELECT {_X} FROM customer) SELECT id, CASE WHEN b > 0 THEN round(least(0.00155::DOUBLE, 0.15 * b / 100), 8) ELSE 0 END AS fraction FROM x")
-def f18_risk_fraction(spark, sf):
-    return rounded(_numbers(spark, sf).select("id", fm.risk_fraction(F.col("b")).alias("fraction")), 8)
-
-
 @register(f"{BARS}, l AS (SELECT ticker, date, (lead(close, 20) OVER ({O}) / close - 1) * 100 AS f FROM b) SELECT ticker, date, CASE WHEN f IS NOT NULL THEN (f > 1)::INT::DOUBLE END AS label FROM l")
 def i10_labels(spark, sf):
     return rep.labels(src.bars_daily(spark, sf), 20, 1.0).select("ticker", "date", "label")

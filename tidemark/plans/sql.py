@@ -26,6 +26,13 @@ COMPANY = """co AS (SELECT n_name AS ticker, n_nationkey, CAST(o_orderdate AS DA
      sum(CASE WHEN pr IN ('1', '2') THEN x END)::DOUBLE AS u, sum(CASE WHEN pr = '5' THEN x END)::DOUBLE AS l FROM co GROUP BY 1, 2, 3)),
  cy AS (SELECT ticker, CAST(make_date(CAST(y + 1 AS INTEGER), 1, 1) + CAST(n_nationkey AS INTEGER) AS DATE) AS filed, shares, coalesce(m, 0.0::DOUBLE) * 0.5::DOUBLE - a * 0.09::DOUBLE AS equity FROM (
    SELECT ticker, n_nationkey, year(od) AS y, count(*) AS shares, sum(CASE WHEN pr = '3' THEN x END)::DOUBLE AS m, sum(x)::DOUBLE AS a FROM co GROUP BY 1, 2, 3))"""
+STATEMENTS = """sy AS (SELECT n_name AS ticker, year(CAST(o_orderdate AS DATE)) AS year, o_totalprice::DECIMAL(18, 2) AS x, o_orderstatus AS st, left(o_orderpriority, 1) AS pr
+   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+ sx AS (SELECT ticker, year, sum(x)::DOUBLE AS revenue, sum(CASE WHEN st = 'F' THEN x END)::DOUBLE AS f, sum(CASE WHEN pr = '1' THEN x END)::DOUBLE AS p1, sum(CASE WHEN pr = '2' THEN x END)::DOUBLE AS p2,
+   sum(CASE WHEN pr = '3' THEN x END)::DOUBLE AS p3, sum(CASE WHEN pr = '4' THEN x END)::DOUBLE AS p4, sum(CASE WHEN pr = '5' THEN x END)::DOUBLE AS p5, count(*) AS shares FROM sy GROUP BY 1, 2),
+ st AS (SELECT ticker, year, revenue, f - revenue * 0.45::DOUBLE AS net_income, f * 0.25::DOUBLE AS cash_flow, p1 * 0.4::DOUBLE AS operating_income, p5 * 0.1::DOUBLE AS capex, p3 + p4 AS assets, p5 * 0.5::DOUBLE AS debt,
+   p1 AS current_assets, p2 AS current_liabilities, p2 * 0.03::DOUBLE AS interest, p3 - p2 * 0.8::DOUBLE AS equity, shares FROM sx),
+ yc AS (SELECT ticker, year(date) AS year, arg_max(close, date) AS close, min(low) AS low, max(high) AS high FROM b GROUP BY 1, 2)"""
 O = "PARTITION BY ticker ORDER BY date"
 
 

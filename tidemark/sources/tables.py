@@ -86,6 +86,20 @@ def company_years(spark: SparkSession, folder: str) -> DataFrame:
     return y.select("ticker", F.date_add(F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)), F.col("n_nationkey")).alias("filed"), "shares", (F.coalesce("_m", F.lit(0.0)) * 0.5 - F.col("_all") * 0.09).alias("equity"))
 
 
+def company_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of a nation's fiscal years from sums over its orders by priority and status; those that no order speaks of are null."""
+    who = table(spark, folder, "customer").join(F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("ticker"))
+    o = table(spark, folder, "orders").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    price, first = F.col("o_totalprice").cast("decimal(18,2)"), F.left("o_orderpriority", F.lit(1))
+    total = lambda when: F.sum(F.when(when, price)).cast("double")
+    y = o.groupBy("ticker", F.year("o_orderdate").alias("year")).agg(total(F.lit(True)).alias("revenue"), total(F.col("o_orderstatus") == "F").alias("_f"), *[total(first == str(i)).alias(f"_{i}") for i in range(1, 6)], F.count("*").alias("shares"))
+    c = F.col
+    return y.select(
+        "ticker", "year", "revenue", (c("_f") - c("revenue") * 0.45).alias("net_income"), (c("_f") * 0.25).alias("cash_flow"), (c("_1") * 0.4).alias("operating_income"), (c("_5") * 0.1).alias("capex"),
+        (c("_3") + c("_4")).alias("assets"), (c("_5") * 0.5).alias("debt"), c("_1").alias("current_assets"), c("_2").alias("current_liabilities"), (c("_2") * 0.03).alias("interest"), (c("_3") - c("_2") * 0.8).alias("equity"), "shares",
+    )
+
+
 def read_bars(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars of a Parquet panel; ticker and date predicates reach the scan."""
     bars = spark.read.parquet(path)
