@@ -133,16 +133,17 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     return ewm(b, "macd", 2 / (signal + 1), "signal").withColumn("histogram", F.col("macd") - F.col("signal"))
 
 
-def adx(bars: DataFrame, period: int = 14) -> DataFrame:
-    """Directional indicators and their index with Wilder's averages; null where a divisor is 0."""
+def adx(bars: DataFrame, period: int = 14, epsilon: float | None = None) -> DataFrame:
+    """Directional indicators and their index with Wilder's averages; null where a divisor is 0, or with epsilon added to divisors."""
+    over = F.try_divide if epsilon is None else lambda a, b: a / (b + epsilon)
     w = Window.partitionBy("ticker").orderBy("date")
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     prev = F.lag("close").over(w)
     b = bars.withColumns({"_p": F.when((up > down) & (up > 0), up).otherwise(0.0), "_m": F.when((down > up) & (down > 0), down).otherwise(0.0), "_t": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))})
     for c in ("_p", "_m", "_t"):
         b = ewm(b, c, 1 / period, f"{c}a")
-    b = b.withColumns({"plus_di": 100 * F.try_divide(F.col("_pa"), F.col("_ta")), "minus_di": 100 * F.try_divide(F.col("_ma"), F.col("_ta"))})
-    b = b.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
+    b = b.withColumns({"plus_di": 100 * over(F.col("_pa"), F.col("_ta")), "minus_di": 100 * over(F.col("_ma"), F.col("_ta"))})
+    b = b.withColumn("_dx", 100 * over(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
     return ewm(b, "_dx", 1 / period, "adx").drop("_p", "_m", "_t", "_pa", "_ma", "_ta", "_dx")
 
 
