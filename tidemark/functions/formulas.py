@@ -23,6 +23,13 @@ def known(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's correlation of the pairs that have both values; null where a side doesn't move, which corr() raises at."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def earnings_yield(per: Column) -> Column:
     return F.when(known(per) > 0, 100.0 / per).otherwise(0.0)
 

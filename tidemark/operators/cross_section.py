@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formulas import correlation
+
 #: Production factor weights.
 WEIGHTS = {"momentum": 0.30, "value": 0.25, "quality": 0.25, "low_vol": 0.20}
 MEAN, SIGMA, LOW, HIGH = 50.0, 15.0, 20.0, 80.0
@@ -61,7 +63,7 @@ def spearman_ic(frame: DataFrame, score: str, forward: str, by: list[str], least
     """by, n and ic: rank correlation per key; keys of fewer than `least` pairs or a constant side go."""
     f = frame.where(F.col(score).isNotNull() & F.col(forward).isNotNull())
     ranked = f.withColumns({"_a": average_rank(score, by), "_b": average_rank(forward, by)})
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("ic"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_a", "_b").alias("ic"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb"))
     return out.where((F.col("n") >= least) & (F.col("_sa") > 0) & (F.col("_sb") > 0)).drop("_sa", "_sb")
 
 

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formulas import correlation
 from ..functions.special import student_p
 
 SINGULAR = 1e-12  # of the product of the diagonal
@@ -86,7 +87,7 @@ def residual_ic(frame: DataFrame, by: list[str], signal: str, controls: list[str
     b = fit(z, by, signal, controls, least=least).select(*by, "n", "alpha", *[f"b_{c}" for c in controls]).where("alpha IS NOT NULL")
     left = z.join(b, by).withColumn("_left", F.col(signal) - F.col("alpha") - sum((F.col(f"b_{c}") * F.col(c) for c in controls), F.lit(0.0)))
     ranked = left.select(*by, "n", average_rank("_left", by).alias("_a"), average_rank(forward, by).alias("_b"))
-    return ranked.groupBy(*by).agg(F.first("n").alias("n"), F.corr("_a", "_b").alias("ic"))
+    return ranked.groupBy(*by).agg(F.first("n").alias("n"), correlation("_a", "_b").alias("ic"))
 
 
 def recovered_weights(scores: DataFrame, by: list[str], parts: list[str], blend: str, most: float, least: int = 20) -> DataFrame:

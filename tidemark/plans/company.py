@@ -31,14 +31,17 @@ def _ttm(item: str, low: int = 1) -> str:
     return f"CASE WHEN count({item}) FILTER ({four}) = 4 THEN list_reduce(list_prepend(0.0::DOUBLE, list({item} ORDER BY no) FILTER ({four})), lambda s, x: s + x) END"
 
 
-@register(f"""{KNOWN}, {_quarters('<=')}, t AS (SELECT ticker, date, {', '.join(f'{_ttm(x)} AS {x}' for x in company.ITEMS)} FROM kn GROUP BY 1, 2),
+#: The ratios of each bar as they were known, not rounded yet.
+RATIOS = f"""{KNOWN}, {_quarters('<=')}, t AS (SELECT ticker, date, {', '.join(f'{_ttm(x)} AS {x}' for x in company.ITEMS)} FROM kn GROUP BY 1, 2),
 la AS (SELECT ticker, arg_max(shares, filed) AS sh FROM cy GROUP BY 1),
 j AS (SELECT b.ticker, b.date, b.close, t.*EXCLUDE (ticker, date), coalesce(sy.shares, sh) AS shares, equity, operating_cash_flow - capex AS fcf
-  FROM b LEFT JOIN t ON t.ticker = b.ticker AND t.date = b.date LEFT JOIN sy ON sy.ticker = b.ticker AND sy.date = b.date LEFT JOIN la ON la.ticker = b.ticker)
-SELECT ticker, date, close, round(CASE WHEN close > 0 AND shares > 0 AND net_income > 0 THEN least(close / (net_income / shares), 200.0) END, 6) AS pe,
-  round(CASE WHEN revenue > 0 THEN operating_income / revenue * 100 END, 6) AS margin, round(CASE WHEN equity > 0 THEN net_income / equity * 100 END, 6) AS roe,
-  round(CASE WHEN close > 0 AND shares > 0 THEN fcf / (close * shares) * 100 END, 6) AS fcf_yield,
-  round(CASE WHEN net_income > 0 AND fcf IS NOT NULL THEN CASE WHEN fcf <= 0 THEN 0.0 ELSE least(100.0, fcf / net_income * 50) END END, 6) AS accrual_q FROM j""")
+  FROM b LEFT JOIN t ON t.ticker = b.ticker AND t.date = b.date LEFT JOIN sy ON sy.ticker = b.ticker AND sy.date = b.date LEFT JOIN la ON la.ticker = b.ticker),
+rt AS (SELECT ticker, date, close, CASE WHEN close > 0 AND shares > 0 AND net_income > 0 THEN least(close / (net_income / shares), 200.0) END AS pe,
+  CASE WHEN revenue > 0 THEN operating_income / revenue * 100 END AS margin, CASE WHEN equity > 0 THEN net_income / equity * 100 END AS roe, CASE WHEN close > 0 AND shares > 0 THEN fcf / (close * shares) * 100 END AS fcf_yield,
+  CASE WHEN net_income > 0 AND fcf IS NOT NULL THEN CASE WHEN fcf <= 0 THEN 0.0 ELSE least(100.0, fcf / net_income * 50) END END AS accrual_q FROM j)"""
+
+
+@register(f"""{RATIOS} SELECT ticker, date, close, {', '.join(f'round({x}, 6) AS {x}' for x in ('pe', 'margin', 'roe', 'fcf_yield', 'accrual_q'))} FROM rt""")
 def j1_pit_ratios(spark, sf):
     return rounded(company.ratios(src.bars_daily(spark, sf).select("ticker", "date", "close"), *_parts(spark, sf)))
 
