@@ -7,36 +7,57 @@ rows that repeat a doc_id and a text near dedup leaves one.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, line_join, minmax_dedup, piece_codec, quality_classifier
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, recorded, release
+
+_left: list[str] = []  # folders of intermediate tables of the stage before
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _stage(f):
+    """A stage's result is written before the next stage begins, which therefore deletes what the one before left on its way, unless its docs still read it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left, docs)
+        with recorded(_left):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, for low quality or toxicity, go."""
     return quality_classifier.accept(docs, _table(spark, sf_dir, "labels"))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; so do documents of which nothing is left."""
     return line_join.dedup_lines(docs, width=5, percent=80)
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
     return minmax_dedup.dedup(docs, width=5, percent=80)
 
 
+@_stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly such passages go."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that they decode to."""
     import public_tokenizers
@@ -52,9 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents; each is written and read again, as the next reads its input more than once."""
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs, name)
+            written: list[str] = []
+            with recorded(written):
+                docs = cut(docs, name)
+            release(spark, before)
+            before = written
     return docs

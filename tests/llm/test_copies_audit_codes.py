@@ -177,3 +177,24 @@ def test_codes_of_few_or_no_rows(spark):
     rows = [(i, [float(i)] * 8, None) for i in range(3)]
     assert result(vector_codes.compress(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"))) == codes(rows)
     assert vector_codes.compress(spark.createDataFrame([], "vec_id long, embedding array<float>, label string")).collect() == []
+
+
+def test_intermediate_tables_are_deleted_but_for_what_is_read(spark):
+    import os
+
+    from tidemark.llm.common import cut, recorded, release
+
+    made, inner = [], []
+    with recorded(made):
+        a = cut(spark.range(3), "a")
+        with recorded(inner):
+            b = cut(spark.range(4), "b")
+    outside = cut(spark.range(5), "c")
+    at = lambda f: f.removeprefix("file://")
+    assert len(made) == 2 and len(inner) == 1
+    release(spark, made, a.where("id > 0"))
+    assert len(made) == 1 and a.count() == 3 and not os.path.exists(at(inner[0]))
+    release(spark, inner)  # what is gone already is no matter
+    release(spark, made)
+    assert made == inner == [] and outside.count() == 5
+    assert b is not None

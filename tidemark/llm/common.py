@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -34,9 +35,39 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+_recorded: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(made: list[str]):
+    """Notes the folders that cut() makes meanwhile in made, so that release() can delete them once all that reads them is done."""
+    _recorded.append(made)
+    try:
+        yield
+    finally:
+        _recorded.pop()
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that cut() made; of the store that it lies in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, made: list[str], *read_by: DataFrame) -> None:
+    """Deletes the folders of made and forgets them, but for those that some DataFrame still reads."""
+    used = {f.rsplit("/", 2)[0].split("tidemark-")[-1] for df in read_by if made for f in df.inputFiles()}
+    for folder in [f for f in made if f.split("tidemark-")[-1] not in used]:
+        drop(spark, folder)
+        made.remove(folder)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that lost executors only cost the stage at hand."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
+    folder = work_dir(df.sparkSession)
+    for made in _recorded:
+        made.append(folder)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, let, pick
+from .common import column, cut, let, pick, recorded, release
 from .components import connected_components
 
 BUCKETS = 16  # bits; the counts are 2**16 small numbers whatever the input, a literal that plans and their descriptions hold
@@ -173,15 +173,24 @@ def family_matches(members: DataFrame, gone: DataFrame, sets: DataFrame, percent
     return asks.join(blocks, ["fam", "i"]).where(hit).select("doc_id", "place").distinct()
 
 
-def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
-    """doc_id and place of those classes (doc_id, place, prefix) that an earlier one is similar to."""
-    tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
+def _placed(docs: DataFrame, tokens: DataFrame, levels: Column, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """Tokens (doc_id, place, t) of two classes or more with their count c, the class's size n and the token's place i in it; the classes' full sets; and how many tokens there are."""
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     n_shared = shared.count()
     members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
     sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), levels, width), "sets")
     at = F.array_position("tokens", F.col("t")).cast("int") - 1
     placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")), "placed")
+    return placed, sets, n_shared
+
+
+def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+    """doc_id and place of those classes (doc_id, place, prefix) that an earlier one is similar to."""
+    tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
+    passing: list[str] = []  # tables that placed is made of, deleted when it has been written
+    with recorded(passing):
+        placed, sets, n_shared = _placed(docs, tokens, levels, width)
+    release(docs.sparkSession, passing, placed, sets)
     head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f")).select("t", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
     linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
     near = verified(linked, sets, percent)
