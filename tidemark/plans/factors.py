@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas as fm
 from ..operators import company, factors
+from ..operators import cross_section as xs
+from ..operators import indicators as ind
 from ..operators import reports as rep
 from ..sources import tables as src
 from .catalog import register, rounded
 from .company import RATIOS, _parts
+from .panel import _score_sql
 from .sql import O, rows
 
 DAY = "OVER (PARTITION BY date)"
@@ -74,3 +79,43 @@ def c8_definitions(spark, sf):
     pairs = wide.select("date", F.inline(F.array(F.struct(F.lit("momentum").alias("factor"), F.col("mom_3m").alias("a"), F.col("mom_12_1").alias("b")), F.struct(F.lit("low_vol").alias("factor"), F.col("low_vol").alias("a"), F.col("low_vol_252").alias("b")))))
     out = rep.paired_difference(pairs, "a", "b", ["factor"])
     return rounded(out.select("factor", "n", "mean_a", "mean_b", "diff", "se", "wins_pct", "t", "verdict"), t=4)
+
+
+SCANNED = ("momentum", "value", "quality", "low_vol")
+
+
+def _scan_sql() -> str:
+    chain, source = "", "sz"
+    for f in SCANNED:
+        chain += f", {_score_sql(source, 'k', f'{f}_raw', f'a_{f}')}, {_score_sql(f'a_{f}', 'k, sector', f'{f}_raw', f'g_{f}')}"
+        source = f"g_{f}"
+    own = ", ".join(f"CASE WHEN count(*) OVER (PARTITION BY sector) >= 3 THEN score_g_{f} ELSE score_a_{f} END AS {f}" for f in SCANNED)
+    weighed = " + ".join(f"{f} * {xs.WEIGHTS[f]!r}" for f in SCANNED)
+    return f"""{RATIOS}, sx AS (SELECT ticker, sector, date, volume, coalesce((lag(close, 20) OVER ({O}) / lag(close, 251) OVER ({O}) - 1) * 100, 0.0) AS mom, close / lag(close) OVER ({O}) - 1 AS r, max(date) OVER () AS today FROM b),
+sy2 AS (SELECT *, stddev_samp(r) OVER {rows(252)} * sqrt(252) * 100 AS vol, avg(CASE WHEN date >= today - 30 THEN volume END) OVER (PARTITION BY ticker) AS loud, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM sx),
+sz AS (SELECT sy2.ticker, sector, 1 AS k, round(mom, 6) AS momentum_raw, round(greatest(0.0, 100 - coalesce(vol, 100.0)), 6) AS low_vol_raw, round(CASE WHEN pe > 0 THEN 100.0 / pe ELSE 0.0 END * 0.4 / 0.7 + coalesce(fcf_yield, 0.0) * 0.3 / 0.7, 6) AS value_raw,
+  round(coalesce(roe, 0.0) * 0.45 + coalesce(margin, 0.0) * 0.35 + coalesce(accrual_q, 50.0) * 0.2, 6) AS quality_raw FROM sy2 LEFT JOIN rt ON rt.ticker = sy2.ticker AND rt.date = sy2.date WHERE rn = 1 AND coalesce(loud >= 10, true)){chain},
+sc AS (SELECT ticker, sector, {own} FROM {source}), cp AS (SELECT *, {weighed} AS composite FROM sc)
+SELECT ticker, sector, {', '.join(f'round({f}, 4) AS {f}' for f in SCANNED)}, round(composite, 4) AS composite, (row_number() OVER (ORDER BY round(composite, 6) DESC, ticker))::INTEGER AS rank FROM cp"""
+
+
+@register(_scan_sql())
+def c17_full_scan(spark, sf):
+    """The scan of the last bars: momentum, value and quality as filed and low volatility, scored within sectors of three names or more, among names that are traded enough."""
+    bars = src.bars_daily(spark, sf)
+    known = company.ratios(bars.select("ticker", "date", "close"), *_parts(spark, sf)).drop("close")
+    b = ind.volatility(ind.momentum(bars))
+    last = b.groupBy("ticker", "sector").agg(F.max(F.struct("date", "momentum", "vol")).alias("l")).select("ticker", "sector", F.lit(1).alias("k"), "l.*")
+    keeps = rep.liquid(bars, 30, 10.0).where("keeps").select("ticker")
+    own = last.join(keeps, "ticker", "left_semi").join(known, ["ticker", "date"], "left")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    raw = own.select(
+        "ticker", "sector", "k", fm.rnd("momentum", 6).alias("momentum_raw"), fm.rnd(F.greatest(F.lit(0.0), 100 - F.coalesce("vol", F.lit(100.0))), 6).alias("low_vol_raw"),
+        fm.rnd(fm.earnings_yield(F.col("pe")) * factors.EARNINGS + zero(F.col("fcf_yield")) * factors.CASH, 6).alias("value_raw"),
+        fm.rnd(fm.quality_raw(zero(F.col("roe")), zero(F.col("margin")), F.coalesce("accrual_q", F.lit(50.0))), 6).alias("quality_raw"),
+    )
+    for f in SCANNED:
+        raw = xs.sector_score(raw, f"{f}_raw", ["k"], "sector", f)
+    c = raw.withColumn("composite", fm.rnd(sum((F.col(f) * xs.WEIGHTS[f] for f in SCANNED), F.lit(0.0)), 6))
+    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.col("composite").desc(), "ticker")))  # a row a name
+    return rounded(ranked.select("ticker", "sector", *SCANNED, "composite", "rank"), 4)
