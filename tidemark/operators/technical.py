@@ -141,8 +141,8 @@ def part_ics(bars: DataFrame, horizon: int = 20, skip: int = 20, least: int = 20
     A ticker's first bars are skipped; with too few left, or a part that never moves, ic is 0. Weights are the ics' sizes in
     proportion, at least 3 percent before they are made to sum to 1."""
     ahead = (F.lead("close", horizon).over(by_time()) / F.col("close") - 1) * 100
-    b = parts(bars, plain=True).withColumns({"_f": ahead, "_k": F.row_number().over(by_time())}).where(F.col("_f").isNotNull() & (F.col("_k") > skip))
-    g = b.groupBy("ticker").agg(F.count("*").alias("_n"), *[correlation(f"part_{x}", "_f").alias(x) for x in PARTS])
+    b = parts(bars, plain=True).withColumns({"_f": ahead, "_k": F.row_number().over(by_time())}).withColumn("_f", F.when(F.col("_k") > skip, F.col("_f")))
+    g = b.groupBy("ticker").agg(F.count("_f").alias("_n"), *[correlation(f"part_{x}", "_f").alias(x) for x in PARTS])
     long = g.select("ticker", F.inline(F.array(*[F.struct(F.lit(x).alias("part"), F.when((F.col("_n") > least) & ~F.isnan(x), F.col(x)).alias("ic")) for x in PARTS]))).withColumn("ic", F.coalesce("ic", F.lit(0.0)))
     w = Window.partitionBy("ticker")  # nine rows
     size = F.greatest(F.abs("ic"), F.lit(0.001))

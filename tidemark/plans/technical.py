@@ -83,11 +83,11 @@ def w24_last_scores(spark, sf):
     return rounded(s.groupBy("ticker").agg(F.max(F.struct(*names)).alias("l")).select("ticker", "l.*"), 4)
 
 
-_ICS = ", ".join(f"corr(part_{x}, fwd) AS c_{x}" for x in technical.PARTS)
+_ICS = ", ".join(f"corr(part_{x}, CASE WHEN k > 20 THEN fwd END) AS c_{x}" for x in technical.PARTS)
 
 
 @register(f"""{_STATE}, pl AS (SELECT ticker, date, {_parts(True)}, (lead(close, 20) OVER ({O}) / close - 1) * 100 AS fwd, row_number() OVER ({O}) AS k FROM i5),
-g AS (SELECT ticker, count(*) AS n, {_ICS} FROM pl WHERE fwd IS NOT NULL AND k > 20 GROUP BY ticker),
+g AS (SELECT ticker, count(CASE WHEN k > 20 THEN fwd END) AS n, {_ICS} FROM pl GROUP BY ticker),
 l AS ({' UNION ALL '.join(f"SELECT ticker, '{x}' AS part, coalesce(CASE WHEN n > 20 AND NOT isnan(c_{x}) THEN c_{x} END, 0.0) AS ic FROM g" for x in technical.PARTS)}),
 s AS (SELECT *, greatest(greatest(abs(ic), 0.001) / sum(greatest(abs(ic), 0.001)) OVER (PARTITION BY ticker), 0.03) AS s FROM l) SELECT ticker, part, round(ic, 5) AS ic, round(s / sum(s) OVER (PARTITION BY ticker), 5) AS weight FROM s""")
 def w33_part_ics(spark, sf):
