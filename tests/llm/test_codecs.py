@@ -50,6 +50,24 @@ def test_token_query_follows_the_library_on_added_tokens(spark, tmp_path):
         start += len(ids)
 
 
+def test_rows_without_a_doc_id_are_dealt_over_files(spark, tmp_path):
+    texts = [f"text {i} of many" for i in range(4000)]
+    docs = spark.createDataFrame([(None, x) for x in texts] + [(7, "last")], "doc_id long, text string")
+    out, joins_small_ones = f"{tmp_path}/tokens", "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joins_small_ones, "false")
+    try:
+        got = token_files.tokenize_to_files(docs, P.path("byte_bpe_50k.json"), out, ("doc_id", "start", "n_tokens", "ids")).orderBy("start").collect()
+    finally:
+        spark.conf.unset(joins_small_ones)
+    assert spark.read.parquet(out).select("file").distinct().count() > 1
+    assert len(got) == 4001 and got[-1].doc_id == 7 and got[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert sorted(t.decode(r.ids[:-1]) for r in got) == sorted([*texts, "last"])
+
+
 @pytest.mark.parametrize("n", [1, 4096, 4097, 700_000])
 def test_blocks_decode_whole_and_from_checkpoints(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50_000) - 1

@@ -8,7 +8,7 @@ lanes; a block whose ids don't match its crc32 raises. Files are written by Spar
 store, and a lost task is simply redone.
 
 Defined cases: a null text is encoded as an empty one, which is the end id alone; a null doc_id sorts first; documents with
-equal doc_ids keep a row each (ordered by text); an empty table makes files without blocks; other columns aren't read. The
+equal doc_ids keep a row each (ordered by the text's hash, then the text); an empty table makes files without blocks; other columns aren't read. The
 text of an added token, such as an end marker, is that token where added is set, which is the library's default and what the
 query asks for; else it is encoded like any other text.
 """
@@ -263,7 +263,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, added: bool = F
                     yield from flush()
         yield from flush()
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The text's hash parts rows that share a doc_id, or have none, so that many of them don't have to be one task and one file.
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = pick(docs, "doc_id", "text").repartitionByRange(*place[:2]).sortWithinPartitions(*place)
     ordered.mapInArrow(encode, FORMAT).write.parquet(out)
 
 
