@@ -45,7 +45,7 @@ def rounded(frame: DataFrame, digits: int = 6, **own: int) -> DataFrame:
 
 
 def _load() -> None:
-    from . import company, factors, fundamentals, inference, learned, ledgers, operations, outcomes, panel, reports, scores, structure, technical  # noqa: F401  they register their queries
+    from . import company, factors, fundamentals, inference, learned, ledgers, operations, outcomes, panel, reports, scores, structure, technical, trade_plans  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
