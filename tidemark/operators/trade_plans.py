@@ -174,9 +174,9 @@ def entry_rules(plans: DataFrame, bars: DataFrame, fill_window: int = 15, hold_w
     n = F.max("pos").over(Window.partitionBy("ticker"))
     b = bars.withColumn("_n", n)
     opens = b.select("ticker", (F.col("pos") - 1).alias("start_pos"), F.col("open").alias("_next"))
-    p = plans.where(F.col("valid") & (F.col("start_pos") >= from_pos)).join(opens, ["ticker", "start_pos"])
+    # A plan is dear to draw and is read by the walk, the setups and every rule; and a filter on it would be pushed into what draws it.
+    p = cut(plans).where(F.col("valid") & (F.col("start_pos") >= from_pos)).join(opens, ["ticker", "start_pos"])
     long = F.col("direction") == "long"
-    p = cut(p)  # a plan is dear to draw and is read by the walk, the setups and every rule
     first = first_touch(p.select("plan_id", "ticker", "start_pos", "direction", "entry_low", "entry_high", "stop", "target", "rr"), bars, fill_window, hold_window)
     first = cut(first)  # the walk reads it twice
     setups = p.join(cooled_down(first, cooldown, fill_window, 0).select("plan_id"), "plan_id", "left_semi")

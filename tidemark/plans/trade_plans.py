@@ -70,7 +70,9 @@ SELECT plan_id, direction, outcome, fill_pos, exit_pos, fill_price, exit_price,
 def b8_placeable_fills(spark, sf):
     """Outcomes of all valid plans at prices that could be had: the zone's near edge or a better open, exits at the line or the open."""
     n = simulate.numbered(src.bars_daily(spark, sf))
-    t = simulate.first_touch(cut(_plans(spark, sf).where("valid")), n)  # the plans are read twice.withColumn("limit", F.when(F.col("direction") == "long", F.col("entry_high")).otherwise(F.col("entry_low")))
+    # The plans are read twice, and a filter on them would otherwise be pushed into what draws them.
+    t = simulate.first_touch(cut(_plans(spark, sf)).where("valid"), n)
+    t = t.withColumn("limit", F.when(F.col("direction") == "long", F.col("entry_high")).otherwise(F.col("entry_low")))
     return rounded(tp.placeable(t, n, "limit").select("plan_id", "direction", "outcome", "fill_pos", "exit_pos", "fill_price", "exit_price", "r"), r=5)
 
 
