@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import line_join, quality_classifier
 
@@ -110,3 +111,20 @@ def test_pipeline_keeps_what_its_stages_keep(spark, sf):
     kept = {x.doc_id for x in pipe.quality(spark, docs, sf).select("doc_id").collect()}
     assert set(ids) <= kept and len(ids) > 0.3 * docs.count()
     assert all(x.n_tokens == len(x.ids) for x in out)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from tidemark.llm.common import SHUFFLES, cut
+
+    dirs = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before, was = files(), spark.conf.get(SHUFFLES)
+    out = cut(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("c")), "counts")
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(SHUFFLES) == was and out.count() == 5000

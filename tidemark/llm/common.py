@@ -36,6 +36,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 _recorded: list[list[str]] = []
+SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextlib.contextmanager
@@ -62,13 +63,25 @@ def release(spark: SparkSession, made: list[str], *read_by: DataFrame) -> None:
         made.remove(folder)
 
 
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Meanwhile Spark deletes a query's shuffle files when it ends; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLES)
+    spark.conf.set(SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES, before)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that lost executors only cost the stage at hand."""
+    """Writes df as Parquet to the shared folder and reads it back, so that lost executors only cost the stage at hand; the shuffles of the write are deleted once it is done."""
     folder = work_dir(df.sparkSession)
     for made in _recorded:
         made.append(folder)
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
