@@ -128,3 +128,19 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(SHUFFLES) == was and out.count() == 5000
+
+
+def test_groups_of_two_tokens_are_not_compared_with_one_another(spark, monkeypatch):
+    monkeypatch.setattr(line_join, "GROUP", 4)
+    rng, seen = random.Random(9), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    one, two = [word() + "x" * 40 for _ in range(5)], [word() + "y" * 40 for _ in range(5)]
+    texts = [" ".join([*p, *[word() for _ in range(30)]]) for p in (one, two) for _ in range(20)]
+    rows = list(enumerate([*texts, " ".join([*one, *two, *[word() for _ in range(30)]]), texts[3] + " more", texts[30] + " more"]))
+    write = line_join.cut
+    monkeypatch.setattr(line_join, "cut", lambda df, name="cut": seen.append((name, write(df, name))) or seen[-1][1])
+    got = {x.doc_id: x.kept_lines for x in line_join.line_counts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {i for i, _ in gone_lines(rows)} == {41, 42}
+    held = {name: df for name, df in seen}["named"]
+    sizes = [x["count"] for x in held.groupBy("t").count().collect()]
+    assert sizes and max(sizes) <= 22  # a line with both phrases doesn't make one family of all 43

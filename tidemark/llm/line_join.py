@@ -4,8 +4,8 @@ A line's tokens are its distinct runs of `width` words (fewer words: the whole l
 by doc_id and place in the text, has a Jaccard similarity of `percent` or more to it; what counts is the input, not what is
 left. Lines without words stay.
 
-1. Word counts over all texts, in hashed buckets of a fixed number, give rarity. Tokens are ordered by the count of their first
-   word's bucket, then by that word's hash, then by their own: a total order, which keeps the prefix filter exact.
+1. Tokens are ordered by the length of their first word in bytes, long ones first, as they are rarer; then by that word's hash,
+   then by their own: a total order, which keeps the prefix filter exact, and needs no count of words.
 2. A line gives its prefix, the n - ceil(n * percent) + 1 first tokens of that order, with all tokens that share the last one's
    first word. Repeated runs make n an upper bound, which only lengthens the prefix; if repeats leave fewer distinct tokens
    than the prefix must have, all tokens are sent. So the other tokens of a line are never hashed.
@@ -13,9 +13,9 @@ left. Lines without words stay.
 4. Only tokens that two classes or more have go on. Within a token each class is paired with the first one. Classes that
    have no earlier match yet are paired with the other earlier classes of their tokens, a token's group being of GROUP
    classes at most. The full sets, in that order, are read for these classes alone; pairs pass the length filter, the
-   positional filter of a shared token and then the Jaccard test.
-5. Larger groups are linked through their tokens to families, whose open classes are held against the family in blocks of
-   BLOCK token sets: exact, and its pairs never become rows.
+   positional filter of their first shared token and then the Jaccard test.
+5. In larger groups the classes still open are held against their token's blocks of BLOCK token sets, by the same filters:
+   exact, and their pairs never become rows.
 
 DataFrame expressions only. Tokens are compared by 64-bit hashes. Defined cases: null and empty texts have no lines with words
 and stay as they are; a null doc_id comes after all others; of equal lines in rows of one doc_id the smaller text hash is
@@ -29,11 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, cut, let, pick, recorded, release
-from .components import connected_components
 
-BUCKETS = 16  # bits; the counts are 2**16 small numbers whatever the input, a literal that plans and their descriptions hold
-LEVELS = 1.75  # levels for a doubling of the count
-PLACE_BITS = 24  # of a word's place in its line, below rarity and word hash in a long; longer lines send all tokens
+PLACE_BITS = 24  # of a word's place in its line, below length and word hash in a long; longer lines send all tokens
 SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
 BROADCAST_ROWS = 300_000
 BROADCAST_TOKENS = 1_000_000  # rows of 8 bytes
@@ -53,27 +50,22 @@ def _run(ws: Column, at: Column, width: int) -> Column:
     return F.xxhash64(*[F.get(ws, at + k if k else at) for k in range(width)])
 
 
-def _hash(ws: Column) -> Column:
-    """Hashes of the words; hash and rarity of a token's first word make its place in the order."""
-    return F.transform(ws, lambda w: F.xxhash64(w))
-
-
-def _rank(levels: Column, h: Column) -> Column:
-    """Rarity and part of the hash of a word above PLACE_BITS zero bits. levels: a byte for each bucket, as looking into a long array is slow."""
-    level = F.ascii(F.substring(levels, h.bitwiseAND((1 << BUCKETS) - 1).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.shiftleft(level.cast("long") - 1, 57).bitwiseOR(h.bitwiseAND(((1 << 57) - 1) ^ ((1 << PLACE_BITS) - 1)))
+def _rank(w: Column) -> Column:
+    """Shortness and part of the hash of a word above PLACE_BITS zero bits: long words are rare, and no pass over the texts counts them."""
+    short = F.lit(63) - F.least(F.octet_length(w), F.lit(63))
+    return F.shiftleft(short.cast("long"), 57).bitwiseOR(F.xxhash64(w).bitwiseAND(((1 << 57) - 1) ^ ((1 << PLACE_BITS) - 1)))
 
 
 def prefix_size(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + F.lit(1)).cast("int")
 
 
-def line_prefix(ws: Column, levels: Column, width: int, percent: int) -> Column:
+def line_prefix(ws: Column, width: int, percent: int) -> Column:
     """Token hashes that hold the prefix of a line's words; null for fewer words than width."""
     n = F.size(ws) - (width - 1)
     p = prefix_size(n, percent)
     every = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _run(ws, i, width)))
-    keys = F.sort_array(F.transform(_hash(F.slice(ws, 1, n)), lambda h, i: _rank(levels, h).bitwiseOR(i)))
+    keys = F.sort_array(F.transform(F.slice(ws, 1, n), lambda w, i: _rank(w).bitwiseOR(i)))
 
     def until(head: Column, last: Column) -> Column:
         at = F.transform(F.filter(head, lambda k: F.shiftrightunsigned(k, PLACE_BITS) <= last), lambda k: k.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"))
@@ -87,10 +79,10 @@ def line_prefix(ws: Column, levels: Column, width: int, percent: int) -> Column:
     return F.when(n >= 1, F.coalesce(F.when(n < 1 << PLACE_BITS, some), every))
 
 
-def line_tokens(ws: Column, levels: Column, width: int) -> Column:
+def line_tokens(ws: Column, width: int) -> Column:
     """All distinct token hashes of a line's words in the global order; one token for fewer words than width."""
     n = F.size(ws) - (width - 1)
-    ranked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_rank(levels, F.xxhash64(F.get(ws, i))).alias("r"), _run(ws, i, width).alias("t")))
+    ranked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_rank(F.get(ws, i)).alias("r"), _run(ws, i, width).alias("t")))
     return F.when(n >= 1, F.array_distinct(F.transform(F.sort_array(ranked), lambda x: x["t"]))).otherwise(F.array(F.xxhash64(F.lit(0), ws)))
 
 
@@ -106,32 +98,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return _named(docs).select("doc_id", "tag", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
-def word_rarity(docs: DataFrame) -> DataFrame:
-    """One row: for each bucket of words a byte, from 1 to 64, that grows with the logarithm of its count over all texts."""
-    words = pick(docs, "text").select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w"))
-    counts = words.select(F.xxhash64("w").bitwiseAND((1 << BUCKETS) - 1).cast("int").alias("at")).groupBy("at").agg(F.count("*").alias("c"))
-    level = F.char(F.least(F.lit(63), F.floor(F.log2(F.coalesce("c", F.lit(0)) + 1) * LEVELS)).cast("long") + 1)
-    full = docs.sparkSession.range(1 << BUCKETS).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    return full.agg(F.array_sort(F.collect_list(F.struct("at", level.alias("c")))).alias("r")).select(F.array_join("r.c", "").cast("binary").alias("levels"))
-
-
-def prefixes(docs: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of each line with words: doc_id, place (tag and line number), the hashes k1, k2 of its words and its prefix. A text's first line has a row in any case, without words k1 is null."""
     lines = lines_of(docs).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
     rated = lines.where((F.size("ws") > 0) | (_no() == 0))
     k1 = F.when(F.size("ws") > 0, F.xxhash64("ws"))
-    return rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), line_prefix(F.col("ws"), levels, width, percent).alias("prefix"))
+    return rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), line_prefix(F.col("ws"), width, percent).alias("prefix"))
 
 
-def _sets(docs: DataFrame, lines: DataFrame, levels: Column, width: int) -> DataFrame:
-    """doc_id, place and tokens of the given lines (doc_id, place), read from the texts again."""
+def _sets(docs: DataFrame, lines: DataFrame, width: int, repeats: bool) -> DataFrame:
+    """doc_id, place and tokens of the given lines (doc_id, place), read from the texts again. repeats: whether some rows of docs repeat a doc_id and a text."""
     wanted = cut(lines.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 32).alias("t")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("nos")), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = _named(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
     own = let(F.split("text", "\n", -1), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(ls, no).alias("line"))))
     found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
-    rated = found.select("doc_id", "place", line_tokens(F.col("ws"), levels, width).alias("tokens"))
-    return rated.dropDuplicates(["doc_id", "place"])  # repeated rows give the same line twice
+    rated = found.select("doc_id", "place", line_tokens(F.col("ws"), width).alias("tokens"))
+    return rated.dropDuplicates(["doc_id", "place"]) if repeats else rated  # repeated rows give the same line twice
 
 
 def _close(x: Column, y: Column, percent: int) -> Column:
@@ -142,11 +125,9 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _filters(percent: int) -> Column:
-    """Length and positional filters of a pair of n and m tokens that shares those at i and j."""
-    n, m, i, j = (F.col(c) for c in "nmij")
-    bound = F.least(i, j) + F.least(n - i, m - j)
-    return _sized(n, m, percent) & (bound * (100 + percent) >= (n + m) * percent)
+def _filters(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Length and positional filters of a pair of n and m tokens whose first shared ones, in the order of all, are those at i and j: no more than what follows can be shared."""
+    return _sized(n, m, percent) & (F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent)
 
 
 def _earlier(other_doc: Column, other_place: Column) -> Column:
@@ -155,41 +136,39 @@ def _earlier(other_doc: Column, other_place: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """doc_id and place of those of pairs (doc_id, place, d, p and the n, i, m, j of a shared token) whose full token sets are similar enough."""
-    one = pairs.where(_filters(percent)).select("doc_id", "place", "d", "p").distinct()
+    one = pairs.where(_filters(*(F.col(c) for c in "nimj"), percent)).select("doc_id", "place", "d", "p").distinct()
     both = one.join(sets.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(sets.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
     return cut(both.where(_close(F.col("x"), F.col("y"), percent)).select("doc_id", "place").distinct(), "verified")
 
 
-def family_matches(members: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those members (doc_id, place, and d, p that link them) not gone yet that are similar to an earlier line of their family."""
-    me, other = F.struct("doc_id", "place"), F.struct(F.col("d").alias("doc_id"), F.col("p").alias("place"))
-    families = connected_components(members.select(me.alias("a"), other.alias("b")).distinct())
-    named = cut(families.select(F.col("node.doc_id").alias("doc_id"), F.col("node.place").alias("place"), F.xxhash64("comp").alias("fam")).join(sets, ["doc_id", "place"]), "families")
-    open_ = named.join(gone, ["doc_id", "place"], "left_anti")
-    sizes = open_.groupBy("fam").agg(F.count("*").alias("_u")).join(named.groupBy("fam").agg(F.count("*").alias("_n")), "fam").where("_n > 1").select("fam", F.ceil(F.col("_n") / BLOCK).cast("int").alias("nb"))
-    blocks = named.join(F.broadcast(sizes) if sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else sizes, "fam").groupBy("fam", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("i")).agg(F.collect_list(F.struct("doc_id", "place", "tokens")).alias("block"))
-    asks = open_.join(sizes, "fam").select("fam", "doc_id", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"))
-    hit = F.exists("block", lambda x: F.when(_earlier(x["doc_id"], x["place"]) & _sized(F.size(x["tokens"]), F.size("tokens"), percent), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
-    return asks.join(blocks, ["fam", "i"]).where(hit).select("doc_id", "place").distinct()
+def block_matches(placed: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and place of those rows of placed not gone yet that are similar to an earlier line of one of their tokens, in blocks of a token's lines."""
+    nb = F.ceil(F.col("c") / BLOCK).cast("int")
+    named = cut(placed.join(sets, ["doc_id", "place"]).select("t", "doc_id", "place", "n", "i", "tokens", nb.alias("nb")), "named")
+    blocks = named.groupBy("t", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("b")).agg(F.collect_list(F.struct("doc_id", "place", "n", "i", "tokens")).alias("block"))
+    asks = named.join(gone, ["doc_id", "place"], "left_anti").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    alike = lambda x: _earlier(x["doc_id"], x["place"]) & _filters(F.col("n"), F.col("i"), x["n"], x["i"], percent)
+    hit = F.exists("block", lambda x: F.when(alike(x), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
+    return asks.join(blocks, ["t", "b"]).where(hit).select("doc_id", "place").distinct()
 
 
-def _placed(docs: DataFrame, tokens: DataFrame, levels: Column, width: int) -> tuple[DataFrame, DataFrame, int]:
-    """Tokens (doc_id, place, t) of two classes or more with their count c, the class's size n and the token's place i in it; the classes' full sets; and how many tokens there are."""
+def _placed(docs: DataFrame, tokens: DataFrame, width: int, percent: int, repeats: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Tokens (doc_id, place, t) of two classes or more within the prefix of the distinct ones, with their count c, the class's size n and the token's place i in it; the classes' full sets; and how many tokens there are."""
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     n_shared = shared.count()
     members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
-    sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), levels, width), "sets")
+    sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), width, repeats), "sets")
     at = F.array_position("tokens", F.col("t")).cast("int") - 1
-    placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")), "placed")
+    placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")).where(F.col("i") < prefix_size(F.col("n"), percent)), "placed")
     return placed, sets, n_shared
 
 
-def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, percent: int) -> DataFrame:
+def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeats: bool) -> DataFrame:
     """doc_id and place of those classes (doc_id, place, prefix) that an earlier one is similar to."""
     tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
     passing: list[str] = []  # tables that placed is made of, deleted when it has been written
     with recorded(passing):
-        placed, sets, n_shared = _placed(docs, tokens, levels, width)
+        placed, sets, n_shared = _placed(docs, tokens, width, percent, repeats)
     release(docs.sparkSession, passing, placed, sets)
     head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f")).select("t", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
     linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
@@ -198,9 +177,9 @@ def matched(docs: DataFrame, firsts: DataFrame, levels: Column, width: int, perc
     small = F.col("c").between(3, GROUP)
     other = placed.where(small).select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("i").alias("j"))
     near = near.unionByName(verified(open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent))
-    large = linked.where(F.col("c") > GROUP)
+    large = placed.where(F.col("c") > GROUP)
     if not large.isEmpty():
-        near = near.unionByName(family_matches(large, near, sets, percent))
+        near = near.unionByName(block_matches(large, near, sets, percent))
     return near.distinct()
 
 
@@ -210,12 +189,11 @@ def _no() -> Column:
 
 def ledger(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, tag, n (lines with words) and kept: the numbers of those that stay, ascending; a row for each two values of docs."""
-    # a literal of 2**BUCKETS bytes: as a column it would be copied into every line's row
-    levels = F.lit(bytes(word_rarity(docs).first()["levels"]))
-    lines = cut(prefixes(docs, levels, width, percent), "lines")
+    lines = cut(prefixes(docs, width, percent), "lines")
     firsts = cut(lines.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "prefix")).alias("l")).select("l.*"), "classes")
-    kept = firsts.select("doc_id", "place").join(matched(docs, firsts, levels, width, percent), ["doc_id", "place"], "left_anti")
     of = F.col("doc_id"), F.shiftright("place", 32).alias("tag")
+    repeats = not lines.where(_no() == 0).groupBy(*of).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    kept = firsts.select("doc_id", "place").join(matched(docs, firsts, width, percent, repeats), ["doc_id", "place"], "left_anti")
     stay = kept.groupBy(*of).agg(F.array_sort(F.collect_list(_no())).alias("kept"))
     copies = F.count_if(_no() == 0)  # rows that repeat a doc_id and a text give every line again
     sizes = lines.groupBy(*of).agg((F.count("k1") / copies).cast("long").alias("n"))
