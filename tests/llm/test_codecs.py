@@ -304,3 +304,28 @@ def test_cleaning_and_shards_keep_columns_of_any_name(spark):
     out = histogram_sort.histogram_sort(docs, 2)
     assert out.columns == ["doc_id", "text", "a.b", "_rest", "input_size", "input_shard", "input_slot", "size", "text_crc32", "shard", "slot"]
     assert {(x.doc_id, x["a.b"], x.input_size, x.input_shard, x.input_slot, x.size) for x in out.collect()} == {(1, 5, 9, "s", 3, len(rows[0][1]) + 1), (2, 6, 8, "t", 4, 1)}
+
+
+def test_only_holders_of_hot_minimisers_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(fm_substrings, "HOT_WORDS", 40)
+    r, read = random.Random(8), []
+    text = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    passage = text(60)
+    rows = [(i, f"{text(30)} {passage}" if i % 20 == 0 else text(80)) for i in range(200)]
+    cut_again = fm_substrings.single_windows
+    monkeypatch.setattr(fm_substrings, "hot_minimisers", lambda one: [x.mini for x in one.select("mini").distinct().collect()])
+    monkeypatch.setattr(fm_substrings, "single_windows", lambda docs, hot, width: read.append(docs.count()) or cut_again(docs, hot, width))
+    got = {x.doc_id: x.n_removed for x in fm_substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 13).collect()}
+    assert read == [10]
+    assert got == {i: 60 if i % 20 == 0 and i else 0 for i in range(200)}
+
+
+def test_ranks_of_a_wavelet_matrix():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    text = r.integers(0, 37, 500)
+    matrix = fm_substrings.WaveletMatrix(text, 6)
+    s, i = text[r.integers(0, 500, 300)], r.integers(0, 501, 300)
+    assert matrix.rank(s, i).tolist() == [int((text[:k] == c).sum()) for c, k in zip(s, i, strict=True)]
+    assert matrix.begin.tolist() == matrix.place(np.arange(len(matrix.begin)), np.zeros(len(matrix.begin), dtype=np.int64)).tolist()

@@ -12,7 +12,7 @@ consecutive windows with one minimiser travel as a fragment.
    the steps taken while an interval still holds two suffixes are the matching statistics, and intervals at full width
    yield the least doc_id of their suffixes' documents.
    A minimiser whose distinct fragments hold over HOT_WORDS words, such as a phrase with ever other words around it, has no
-   shard: its fragments are recut to single windows, which an aggregation compares by their hashes, however many there are.
+   shard: its fragments are recut, in the documents that have some, to single windows, which an aggregation compares by their hashes, however many there are.
 4. Windows found in a smaller doc_id go back to their documents, which drop the words they cover.
 
 Words are compared by 64-bit hashes. Defined cases: a null or empty text has no words; fewer words than the width make no
@@ -105,19 +105,22 @@ class WaveletMatrix:
             zeros = int(len(b) - b.sum())
             self.rows.append((words, ranks, zeros))
             s = np.concatenate([s[~b], s[b]])
+        every = np.arange(int(symbols.max(initial=0)) + 1)
+        self.begin = self.place(every, np.zeros_like(every))  # where a symbol's run begins; the same for every rank of it
 
     def rank(self, symbol, i):
-        """How often symbol[k] stands before place i[k], less the place where its run begins; vectorised."""
+        """How often symbol[k], one of the sequence, stands before place i[k]; vectorised."""
+        return self.place(symbol, i) - self.begin[symbol]
+
+    def place(self, symbol, i):
+        """Where place i[k] comes to lie below all bits of symbol[k]."""
         import numpy as np
 
-        begin = np.zeros_like(i)
         for (words, ranks, zeros), level in zip(self.rows, range(self.bits - 1, -1, -1), strict=True):
             one = (symbol >> level & 1).astype(bool)
             for_i = ranks[i >> 6] + np.bitwise_count(words[i >> 6] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
-            for_b = ranks[begin >> 6] + np.bitwise_count(words[begin >> 6] & ((np.uint64(1) << (begin & 63).astype(np.uint64)) - np.uint64(1)))
             i = np.where(one, zeros + for_i, i - for_i)
-            begin = np.where(one, zeros + for_b, begin - for_b)
-        return i - begin
+        return i
 
 
 class FMIndex:
@@ -230,11 +233,18 @@ def hot_minimisers(one: DataFrame) -> list[int]:
     return [r["mini"] for r in one.groupBy("mini").agg(words.alias("w")).where(F.col("w") > HOT_WORDS).select("mini").collect()]
 
 
-def single_windows(docs: DataFrame, hot: list[int], width: int) -> DataFrame:
-    """mini, frag, doc_id and place like shared_fragments, of the hot minimisers' windows, each a fragment of its own."""
+def holders(docs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """doc_id, text and tag of the documents that have some of the fragments (doc_id, place); no others need to be cut again."""
+    have = cut(fragments.select(F.col("doc_id").alias("d"), F.col("place").bitwiseAND(TAG).alias("t")).distinct(), "holders")
+    few = have.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _rows(docs).join(F.broadcast(have) if few else have, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left_semi")
+
+
+def single_windows(rows: DataFrame, hot: list[int], width: int) -> DataFrame:
+    """mini, frag, doc_id and place like shared_fragments, of the hot minimisers' windows in rows (doc_id, text, tag), each a fragment of its own."""
     import numpy as np
 
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
 
     def apply(batches):
         import pyarrow as pa
@@ -257,7 +267,7 @@ def single_windows(docs: DataFrame, hot: list[int], width: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["mini", "frag", "doc_id", "place"])
 
-    return cut(_rows(docs).where("doc_id IS NOT NULL").mapInArrow(apply, "mini long, frag long, doc_id long, place long"), "single")
+    return cut(rows.mapInArrow(apply, "mini long, frag long, doc_id long, place long"), "single")
 
 
 def _with_list(docs: DataFrame, lists: DataFrame, how: str, column: str) -> DataFrame:
@@ -333,7 +343,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, outputs: tuple[str, ...]
     hot = hot_minimisers(one)
     if hot:
         spread = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in hot], "mini long"))
-        single = single_windows(docs, hot, width)
+        single = single_windows(holders(docs, shared.join(spread, "mini")), hot, width)
         shared, one = shared.join(spread, "mini", "left_anti").unionByName(single), one.join(spread, "mini", "left_anti")
     found = earliest(docs, one, width)
     if hot:
