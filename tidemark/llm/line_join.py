@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, let, pick, recorded, release
+from .common import column, cut, let, pick, recorded, release, spread_join
 
 PLACE_BITS = 24  # of a word's place in its line, below length and word hash in a long; longer lines send all tokens
 SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
@@ -80,10 +80,16 @@ def line_prefix(ws: Column, width: int, percent: int) -> Column:
 
 
 def line_tokens(ws: Column, width: int) -> Column:
-    """All distinct token hashes of a line's words in the global order; one token for fewer words than width."""
+    """All distinct token hashes of a line's words, in the line's order; one token for fewer words than width."""
     n = F.size(ws) - (width - 1)
-    ranked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(_rank(F.get(ws, i)).alias("r"), _run(ws, i, width).alias("t")))
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sort_array(ranked), lambda x: x["t"]))).otherwise(F.array(F.xxhash64(F.lit(0), ws)))
+    runs = F.arrays_zip(*[F.slice(ws, k + 1, n) for k in range(width)])  # a struct hashes as its fields do
+    return F.when(n >= 1, F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))).otherwise(F.array(F.xxhash64(F.lit(0), ws)))
+
+
+def parities(tokens: Column) -> Column:
+    """64 bits: how many of the tokens fall to each, modulo 2. Two sets' bits differ in no more places than the sets differ in tokens."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -100,20 +106,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of each line with words: doc_id, place (tag and line number), the hashes k1, k2 of its words and its prefix. A text's first line has a row in any case, without words k1 is null."""
-    lines = lines_of(docs).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
-    rated = lines.where((F.size("ws") > 0) | (_no() == 0))
+    some = lines_of(docs).where((F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "") | (F.col("no") == 0))  # a test of words would split each line twice
+    rated = some.select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
     k1 = F.when(F.size("ws") > 0, F.xxhash64("ws"))
     return rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), line_prefix(F.col("ws"), width, percent).alias("prefix"))
 
 
 def _sets(docs: DataFrame, lines: DataFrame, width: int, repeats: bool) -> DataFrame:
-    """doc_id, place and tokens of the given lines (doc_id, place), read from the texts again. repeats: whether some rows of docs repeat a doc_id and a text."""
+    """doc_id, place, n, bits and tokens of the given lines (doc_id, place), read from the texts again. repeats: whether some rows of docs repeat a doc_id and a text."""
     wanted = cut(lines.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 32).alias("t")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("nos")), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = _named(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
     own = let(F.split("text", "\n", -1), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(ls, no).alias("line"))))
     found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
-    rated = found.select("doc_id", "place", line_tokens(F.col("ws"), width).alias("tokens"))
+    rated = found.select("doc_id", "place", F.inline(let(line_tokens(F.col("ws"), width), lambda x: F.array(F.struct(F.size(x).alias("n"), parities(x).alias("bits"), x.alias("tokens"))))))
     return rated.dropDuplicates(["doc_id", "place"]) if repeats else rated  # repeated rows give the same line twice
 
 
@@ -125,9 +131,9 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _filters(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
-    """Length and positional filters of a pair of n and m tokens whose first shared ones, in the order of all, are those at i and j: no more than what follows can be shared."""
-    return _sized(n, m, percent) & (F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent)
+def _filters(n: Column, bits: Column, m: Column, others: Column, percent: int) -> Column:
+    """Length and parity filters of a pair of n and m tokens: of similar ones no more than a share of both is in one alone."""
+    return _sized(n, m, percent) & (F.bit_count(bits.bitwiseXOR(others)) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _earlier(other_doc: Column, other_place: Column) -> Column:
@@ -135,31 +141,79 @@ def _earlier(other_doc: Column, other_place: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those of pairs (doc_id, place, d, p and the n, i, m, j of a shared token) whose full token sets are similar enough."""
-    one = pairs.where(_filters(*(F.col(c) for c in "nimj"), percent)).select("doc_id", "place", "d", "p").distinct()
-    both = one.join(sets.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(sets.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
+    """doc_id and place of those of pairs (doc_id, place, d, p and their n, bits, m, others) whose full token sets are similar enough."""
+    one = cut(pairs.where(_filters(*(F.col(c) for c in ("n", "bits", "m", "others")), percent)).select("doc_id", "place", "d", "p").distinct(), "pairs")
+    lines = one.select("doc_id", "place").union(one.select("d", "p")).distinct()
+    few = one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = sets.select("doc_id", "place", "tokens").join(F.broadcast(lines) if few else lines, ["doc_id", "place"], "left_semi")
+    both = one.join(some.withColumnRenamed("tokens", "x"), ["doc_id", "place"]).join(some.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("tokens").alias("y")), ["d", "p"])
     return cut(both.where(_close(F.col("x"), F.col("y"), percent)).select("doc_id", "place").distinct(), "verified")
 
 
-def block_matches(placed: DataFrame, gone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those rows of placed not gone yet that are similar to an earlier line of one of their tokens, in blocks of a token's lines."""
-    nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    named = cut(placed.join(sets, ["doc_id", "place"]).select("t", "doc_id", "place", "n", "i", "tokens", nb.alias("nb")), "named")
-    blocks = named.groupBy("t", F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("b")).agg(F.collect_list(F.struct("doc_id", "place", "n", "i", "tokens")).alias("block"))
-    asks = named.join(gone, ["doc_id", "place"], "left_anti").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    alike = lambda x: _earlier(x["doc_id"], x["place"]) & _filters(F.col("n"), F.col("i"), x["n"], x["i"], percent)
-    hit = F.exists("block", lambda x: F.when(alike(x), _close(F.col("tokens"), x["tokens"], percent)).otherwise(F.lit(False)))
-    return asks.join(blocks, ["t", "b"]).where(hit).select("doc_id", "place").distinct()
-
-
-def _placed(docs: DataFrame, tokens: DataFrame, width: int, percent: int, repeats: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Tokens (doc_id, place, t) of two classes or more within the prefix of the distinct ones, with their count c, the class's size n and the token's place i in it; the classes' full sets; and how many tokens there are."""
+def _by_count(lines: DataFrame, percent: int, name: str) -> DataFrame:
+    """lines (doc_id, place, n, tokens) with cs, those of their tokens that others of these lines have too with counts, rarest first, and k, how many of these are in the prefix of all n tokens in that order; lines without any go."""
+    named = cut(lines.select("doc_id", "place", "n", F.explode("tokens").alias("t")), name)
+    counts = cut(named.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    few = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = named.join(F.broadcast(counts), "t") if few else spread_join(named, counts, "t", "c", named.count(), F.xxhash64("doc_id", "place"))
+    held = both.groupBy("doc_id", "place", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("cs"))
+    k = prefix_size(F.col("n"), percent) - (F.col("n") - F.size("cs"))
+    return cut(held.withColumn("k", k).where("k > 0"), "held")
+
+
+def _in_prefix(held: DataFrame) -> DataFrame:
+    return held.select("doc_id", "place", F.inline(F.slice("cs", 1, F.col("k"))))
+
+
+def alike_kinds(kinds: DataFrame, percent: int) -> DataFrame:
+    """h and the first line (d, p) of kinds similar to those that ask, by the tokens f alone: a kind (h, doc_id, place, n, f, asks) stands for all lines of n tokens with these frequent ones and doc_id, place for the first of them. Large groups of kinds are compared in blocks of them."""
+    own = kinds.where(F.col("asks") & (F.size("f") * (100 + percent) >= 2 * F.col("n") * percent)).select("h", F.col("doc_id").alias("d"), F.col("place").alias("p"))
+    held = _by_count(kinds.select("doc_id", "place", "n", F.col("f").alias("tokens")), percent, "kind_tokens")
+    own_bits = kinds.withColumn("bits", parities(F.col("f")))
+    dealt = cut(_in_prefix(held).join(own_bits, ["doc_id", "place"]).withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).drop("c"), "dealt")
+    b = F.pmod(F.xxhash64("doc_id", "place"), "nb").cast("int").alias("b")
+    blocks = dealt.groupBy("t", b).agg(F.collect_list(F.struct("h", "doc_id", "place", "n", "bits", F.size("f").alias("m"), "f")).alias("block"))
+    asks = dealt.where("asks").select("t", "h", "n", "bits", "f", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+    tasks = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work for each
+
+    def alike(x: Column) -> Column:
+        rest = (F.size("f") + x["m"]) * (100 + percent) - (F.col("n") + x["n"]) * 2 * percent  # tokens that may be in one alone, by 100 + percent
+        fits = (x["h"] != F.col("h")) & (F.bit_count(x["bits"].bitwiseXOR(F.col("bits"))) * (100 + percent) <= rest)
+        return F.when(fits, F.size(F.array_intersect("f", x["f"])) * (100 + percent) >= (F.col("n") + x["n"]) * percent).otherwise(F.lit(False))
+
+    first = F.array_min(F.transform(F.filter("block", alike), lambda x: F.struct(x["doc_id"].alias("d"), x["place"].alias("p"))))
+    other = asks.repartition(tasks, "t", "b").join(blocks, ["t", "b"]).select("h", first.alias("l")).where("l IS NOT NULL").select("h", "l.d", "l.p")
+    return own.unionByName(other).groupBy("h").agg(F.min(F.struct("d", "p")).alias("l")).select("h", "l.d", "l.p")
+
+
+def frequent_matches(large: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id and place of those rows of large not in near that are similar to an earlier line of one of their tokens, by the order of counts among the lines of large."""
+    lines = large.select("doc_id", "place").distinct().join(sets, ["doc_id", "place"])
+    held = _by_count(lines, percent, "named")
+    placed = cut(_in_prefix(held).where(F.col("c") <= GROUP).join(sets.select("doc_id", "place", "n", "bits"), ["doc_id", "place"]), "rarer")
+    other = placed.select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    found = verified(placed.join(near, ["doc_id", "place"], "left_anti").join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent)
+    open_ = held.join(near, ["doc_id", "place"], "left_anti").join(found, ["doc_id", "place"], "left_anti").select("doc_id", "place", F.lit(True).alias("open"))
+    f = F.sort_array(F.transform(F.filter("cs", lambda x: x["c"] > GROUP), lambda x: x["t"]))
+    most = held.where(F.get("cs", F.col("k") - 1)["c"] > GROUP).select("doc_id", "place", "n", f.alias("f")).withColumn("h", F.xxhash64("n", "f"))
+    most = cut(most.join(open_, ["doc_id", "place"], "left"), "most")
+    total = most.count()
+    if not total:
+        return found
+    kinds = most.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("l"), F.first("n").alias("n"), F.first("f").alias("f"), F.count("*").alias("c"), F.count("open").alias("asking"))
+    kinds = cut(kinds.select("h", "l.*", "n", "f", "c", (F.col("asking") > 0).alias("asks")), "kinds")
+    firsts = cut(alike_kinds(kinds.drop("c"), percent), "firsts").join(kinds.select("h", "c"), "h")
+    both = spread_join(most.where("open").select("doc_id", "place", "h"), firsts, "h", "c", total, F.xxhash64("doc_id", "place"))
+    return found.unionByName(both.where(_earlier(F.col("d"), F.col("p"))).select("doc_id", "place"))
+
+
+def _placed(docs: DataFrame, tokens: DataFrame, width: int, repeats: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Tokens (doc_id, place, t) of two classes or more, with their count c, the class's size n and its bits; the classes' full sets; and how many tokens there are."""
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     n_shared = shared.count()
     members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
     sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), width, repeats), "sets")
-    at = F.array_position("tokens", F.col("t")).cast("int") - 1
-    placed = cut(members.join(sets, ["doc_id", "place"]).select("t", "c", "doc_id", "place", F.size("tokens").alias("n"), at.alias("i")).where(F.col("i") < prefix_size(F.col("n"), percent)), "placed")
+    placed = cut(members.join(sets.select("doc_id", "place", "n", "bits"), ["doc_id", "place"]), "placed")
     return placed, sets, n_shared
 
 
@@ -168,18 +222,19 @@ def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeat
     tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
     passing: list[str] = []  # tables that placed is made of, deleted when it has been written
     with recorded(passing):
-        placed, sets, n_shared = _placed(docs, tokens, width, percent, repeats)
+        placed, sets, n_shared = _placed(docs, tokens, width, repeats)
     release(docs.sparkSession, passing, placed, sets)
-    head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "i")).alias("f")).select("t", F.col("f.doc_id").alias("d"), F.col("f.place").alias("p"), F.col("f.n").alias("m"), F.col("f.i").alias("j"))
+    named = lambda x: [F.col(f"{x}.{c}").alias(to) for c, to in (("doc_id", "d"), ("place", "p"), ("n", "m"), ("bits", "others"))]
+    head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "bits")).alias("f")).select("t", *named("f"))
     linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
     near = verified(linked, sets, percent)
     open_ = placed.join(near, ["doc_id", "place"], "left_anti")
     small = F.col("c").between(3, GROUP)
-    other = placed.where(small).select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("i").alias("j"))
+    other = placed.alias("o").where(small).select("t", *named("o"))
     near = near.unionByName(verified(open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent))
     large = placed.where(F.col("c") > GROUP)
     if not large.isEmpty():
-        near = near.unionByName(block_matches(large, near, sets, percent))
+        near = near.unionByName(frequent_matches(large, near, sets, percent))
     return near.distinct()
 
 
