@@ -177,3 +177,19 @@ def test_lines_made_of_common_tokens_match_brute_force(spark, monkeypatch):
     assert {i for i, kept in got.items() if not kept} == gone and 30 < len(gone) < 150
     made = dict(seen)
     assert 1 < made["kinds"].count() < made["most"].count() and made["firsts"].count()
+
+
+def test_lines_with_a_common_passage_are_parted_by_length(spark, monkeypatch):
+    monkeypatch.setattr(line_join, "GROUP", 4)
+    rng, seen = random.Random(5), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    passage = [word() + "x" * 40 for _ in range(6)]
+    texts = [" ".join([*passage, *[word() for _ in range(round(20 * 1.1**i))]]) for i in range(24) for _ in range(2)]
+    others = [f"{word()} {t}" if i % 2 else f"{t} {' '.join(word() for _ in range(len(t.split()) // 10))}" for i, t in enumerate(texts[::5])]
+    rows, write = list(enumerate([*texts, *others])), line_join.cut
+    monkeypatch.setattr(line_join, "cut", lambda df, name="cut": seen.append((name, write(df, name))) or seen[-1][1])
+    got = {x.doc_id: x.kept_lines for x in line_join.line_counts(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {i for i, _ in gone_lines(rows)} == set(range(len(texts), len(rows)))
+    made = dict(seen)
+    assert "named" not in made  # no row for each token of these lines
+    assert made["pairs"].count() <= 2 * len(others)  # of long lines too, pairs that share the passage alone end at the filters

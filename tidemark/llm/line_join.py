@@ -12,10 +12,10 @@ left. Lines without words stay.
 3. Lines with equal words are one class, held by its first line; aggregation combines them before the shuffle.
 4. Only tokens that two classes or more have go on. Within a token each class is paired with the first one. Classes that
    have no earlier match yet are paired with the other earlier classes of their tokens, a token's group being of GROUP
-   classes at most. The full sets, in that order, are read for these classes alone; pairs pass the length filter, the
-   positional filter of their first shared token and then the Jaccard test.
-5. In larger groups the classes still open are held against their token's blocks of BLOCK token sets, by the same filters:
-   exact, and their pairs never become rows.
+   classes at most. The full sets are read for these classes alone; pairs pass the length filter and the parity filter and
+   then the Jaccard test.
+5. In larger groups the classes still open are paired with those of their length, as long as these are GROUP * BY_LENGTH at most.
+6. Classes of still larger groups are joined by counts of all their tokens, and those made of frequent tokens as kinds, in blocks.
 
 DataFrame expressions only. Tokens are compared by 64-bit hashes. Defined cases: null and empty texts have no lines with words
 and stay as they are; a null doc_id comes after all others; of equal lines in rows of one doc_id the smaller text hash is
@@ -37,6 +37,8 @@ BROADCAST_TOKENS = 1_000_000  # rows of 8 bytes
 BROADCAST_HEADS = 200_000  # rows of five numbers
 GROUP = 256
 BLOCK = 256
+BY_LENGTH = 4  # groups of one length class may be so many times larger: their pairs are filtered by numbers at hand, which costs less than a row for each token
+LONG = 48  # tokens from which on 128 bits are compared
 LAST = (1 << 63) - 1
 
 
@@ -51,8 +53,8 @@ def _run(ws: Column, at: Column, width: int) -> Column:
 
 
 def _rank(w: Column) -> Column:
-    """Shortness and part of the hash of a word above PLACE_BITS zero bits: long words are rare, and no pass over the texts counts them."""
-    short = F.lit(63) - F.least(F.octet_length(w), F.lit(63))
+    """Shortness and part of the hash of a word above PLACE_BITS zero bits: long words are rare, and no pass over the texts counts them. Beyond 63 bytes lengths wrap, in an order as total."""
+    short = F.lit(63) - F.octet_length(w)
     return F.shiftleft(short.cast("long"), 57).bitwiseOR(F.xxhash64(w).bitwiseAND(((1 << 57) - 1) ^ ((1 << PLACE_BITS) - 1)))
 
 
@@ -60,30 +62,31 @@ def prefix_size(n: Column, percent: int) -> Column:
     return (n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)) + F.lit(1)).cast("int")
 
 
-def line_prefix(ws: Column, width: int, percent: int) -> Column:
-    """Token hashes that hold the prefix of a line's words; null for fewer words than width."""
-    n = F.size(ws) - (width - 1)
-    p = prefix_size(n, percent)
-    every = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _run(ws, i, width)))
-    keys = F.sort_array(F.transform(F.slice(ws, 1, n), lambda w, i: _rank(w).bitwiseOR(i)))
+def with_prefix(lines: DataFrame, width: int, percent: int) -> DataFrame:
+    """lines with prefix instead of their words ws: the token hashes that hold a line's prefix; null for fewer words than width.
 
-    def until(head: Column, last: Column) -> Column:
-        at = F.transform(F.filter(head, lambda k: F.shiftrightunsigned(k, PLACE_BITS) <= last), lambda k: k.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"))
-        # all tokens of the last rank are there if some key after them is, or all keys are
-        return let(at, lambda own: F.when((F.size(own) < F.size(head)) | (F.size(head) == n), F.array_distinct(F.transform(own, lambda i: _run(ws, i, width)))))
+    A column at a time, as Spark compiles sorting and slicing of columns but not of what a lambda holds."""
+    n, ws = F.size("ws") - (width - 1), F.col("ws")
+    p, rank = prefix_size(n, percent), lambda k: F.shiftright(k, PLACE_BITS)
+    keyed = lines.withColumn("keys", F.when(n >= 1, F.sort_array(F.transform(F.slice(ws, 1, n), lambda w, i: _rank(w).bitwiseOR(i)))))
+    last, more = F.get("keys", p - 1), F.slice("keys", 1, p + SLACK)
+    tied = F.filter(more, lambda k: rank(k) <= rank(last))
+    # all tokens of the last rank are there if some key after them is, or all keys are
+    tied = F.when((rank(F.get(more, F.size(more) - 1)) > rank(last)) | (F.size(more) == n), tied)
+    head = F.when(rank(F.get("keys", p)) == rank(last), tied).otherwise(F.slice("keys", 1, p))
+    headed = keyed.withColumn("keys", F.when((n >= 1) & (n < 1 << PLACE_BITS), head))
+    some = F.transform("keys", lambda k: _run(ws, k.bitwiseAND((1 << PLACE_BITS) - 1).cast("int"), width))
+    every = F.transform(F.slice(ws, 1, n), lambda _, i: _run(ws, i, width))
+    made = headed.withColumn("keys", F.array_distinct(some))
+    return made.withColumn("prefix", F.when(n >= 1, F.coalesce(F.when(F.size("keys") >= p, F.col("keys")), F.array_distinct(every)))).drop("ws", "keys")
 
-    def cut_off(x: Column) -> Column:
-        return let(F.shiftrightunsigned(F.get(x["head"], x["p"] - 1), PLACE_BITS), lambda last: let(until(x["head"], last), lambda ts: F.when(F.size(ts) >= x["p"], ts)))
 
-    some = let(F.struct(F.slice(keys, 1, p + SLACK).alias("head"), p.alias("p")), cut_off)
-    return F.when(n >= 1, F.coalesce(F.when(n < 1 << PLACE_BITS, some), every))
-
-
-def line_tokens(ws: Column, width: int) -> Column:
-    """All distinct token hashes of a line's words, in the line's order; one token for fewer words than width."""
-    n = F.size(ws) - (width - 1)
-    runs = F.arrays_zip(*[F.slice(ws, k + 1, n) for k in range(width)])  # a struct hashes as its fields do
-    return F.when(n >= 1, F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))).otherwise(F.array(F.xxhash64(F.lit(0), ws)))
+def with_tokens(lines: DataFrame, width: int) -> DataFrame:
+    """lines with tokens instead of their words ws: all distinct token hashes, made of the words' hashes; one token for fewer words than width."""
+    hashed = lines.withColumn("ws", F.transform("ws", lambda w: F.xxhash64(w)))
+    n, ws = F.size("ws") - (width - 1), F.col("ws")
+    runs = F.transform(F.slice(ws, 1, n), lambda _, i: _run(ws, i, width))
+    return hashed.withColumn("tokens", F.when(n >= 1, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(F.lit(0), ws)))).drop("ws")
 
 
 def parities(tokens: Column) -> Column:
@@ -92,6 +95,12 @@ def parities(tokens: Column) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
 
 
+def half_parities(tokens: Column) -> Column:
+    """parities of the tokens whose seventh bit is set, null for fewer than LONG tokens: with them 128 bits are compared, as half as many tokens fall to each."""
+    half = lambda t: F.call_function("shiftleft", F.shiftright(t, 6).bitwiseAND(1), t.bitwiseAND(63).cast("int"))
+    return F.when(F.size(tokens) >= LONG, F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(half(t))))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """doc_id, tag (text hash; rows with a null doc_id stand after all others) and text."""
     own = pick(docs, "doc_id", "text")
@@ -109,17 +118,17 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     some = lines_of(docs).where((F.btrim("line", F.lit(" \t\x0b\x0c\r")) != "") | (F.col("no") == 0))  # a test of words would split each line twice
     rated = some.select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
     k1 = F.when(F.size("ws") > 0, F.xxhash64("ws"))
-    return rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), line_prefix(F.col("ws"), width, percent).alias("prefix"))
+    return with_prefix(rated.select("doc_id", "place", k1.alias("k1"), F.xxhash64(F.lit(1), "ws").alias("k2"), "ws"), width, percent)
 
 
 def _sets(docs: DataFrame, lines: DataFrame, width: int, repeats: bool) -> DataFrame:
-    """doc_id, place, n, bits and tokens of the given lines (doc_id, place), read from the texts again. repeats: whether some rows of docs repeat a doc_id and a text."""
+    """doc_id, place, n, bits, half and tokens of the given lines (doc_id, place), read from the texts again. repeats: whether some rows of docs repeat a doc_id and a text."""
     wanted = cut(lines.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 32).alias("t")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("nos")), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     both = _named(docs).join(F.broadcast(wanted) if few else wanted, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")))
     own = let(F.split("text", "\n", -1), lambda ls: F.transform("nos", lambda no: F.struct(no.alias("no"), F.get(ls, no).alias("line"))))
     found = both.select("doc_id", "tag", F.inline(own)).select("doc_id", (F.shiftleft("tag", 32) + F.col("no")).alias("place"), line_words(F.col("line")).alias("ws"))
-    rated = found.select("doc_id", "place", F.inline(let(line_tokens(F.col("ws"), width), lambda x: F.array(F.struct(F.size(x).alias("n"), parities(x).alias("bits"), x.alias("tokens"))))))
+    rated = with_tokens(found, width).select("doc_id", "place", F.size("tokens").alias("n"), parities(F.col("tokens")).alias("bits"), half_parities(F.col("tokens")).alias("half"), "tokens")
     return rated.dropDuplicates(["doc_id", "place"]) if repeats else rated  # repeated rows give the same line twice
 
 
@@ -131,9 +140,17 @@ def _sized(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def _filters(n: Column, bits: Column, m: Column, others: Column, percent: int) -> Column:
-    """Length and parity filters of a pair of n and m tokens: of similar ones no more than a share of both is in one alone."""
-    return _sized(n, m, percent) & (F.bit_count(bits.bitwiseXOR(others)) * (100 + percent) <= (n + m) * (100 - percent))
+def _filters(percent: int) -> Column:
+    """Length and parity filters of a pair of n and m tokens, with bits, half and others, other_half: of similar ones no more than a share of both is in one alone."""
+    n, m, either = F.col("n"), F.col("m"), F.col("bits").bitwiseXOR(F.col("others"))
+    half = F.col("half").bitwiseXOR(F.col("other_half"))
+    apart = F.coalesce(F.bit_count(half) + F.bit_count(half.bitwiseXOR(either)), F.bit_count(either))
+    return _sized(n, m, percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _other(x: str = "") -> list[Column]:
+    """The columns of a row (of x) under the names that a pair gives its earlier line."""
+    return [F.col(f"{x}{c}").alias(to) for c, to in (("doc_id", "d"), ("place", "p"), ("n", "m"), ("bits", "others"), ("half", "other_half"))]
 
 
 def _earlier(other_doc: Column, other_place: Column) -> Column:
@@ -141,8 +158,8 @@ def _earlier(other_doc: Column, other_place: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those of pairs (doc_id, place, d, p and their n, bits, m, others) whose full token sets are similar enough."""
-    one = cut(pairs.where(_filters(*(F.col(c) for c in ("n", "bits", "m", "others")), percent)).select("doc_id", "place", "d", "p").distinct(), "pairs")
+    """doc_id and place of those of pairs (doc_id, place, d, p and what _filters reads) whose full token sets are similar enough."""
+    one = cut(pairs.where(_filters(percent)).select("doc_id", "place", "d", "p").distinct(), "pairs")
     lines = one.select("doc_id", "place").union(one.select("d", "p")).distinct()
     few = one.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     some = sets.select("doc_id", "place", "tokens").join(F.broadcast(lines) if few else lines, ["doc_id", "place"], "left_semi")
@@ -186,12 +203,25 @@ def alike_kinds(kinds: DataFrame, percent: int) -> DataFrame:
     return own.unionByName(other).groupBy("h").agg(F.min(F.struct("d", "p")).alias("l")).select("h", "l.d", "l.p")
 
 
+def by_length(large: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """large's rows (doc_id, place, t, n, bits, half) twice, in the groups of their token and length class g and of the class below, with their own class k, whether they are open (not in near) and the group's size c; groups without open lines go.
+
+    A class is wider than the length filter, so similar lines are of one class or of neighbours, and meet in the group of the lower one."""
+    k = F.floor(F.log(F.col("n")) / F.log(F.lit(104.0 / percent))).cast("int")
+    asks = near.select("doc_id", "place", F.lit(True).alias("near"))
+    own = cut(large.drop("c").withColumn("k", k).join(asks, ["doc_id", "place"], "left").withColumn("open", F.col("near").isNull()).drop("near"), "classed")
+    twice = own.withColumn("g", F.col("k")).unionByName(own.withColumn("g", F.col("k") - 1))
+    sizes = cut(twice.groupBy("t", "g").agg(F.count("*").alias("c"), F.max("open").alias("asked"), F.min("k").alias("least")).where("asked AND c > 1 AND least = g").drop("asked", "least"), "sizes")
+    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return cut(twice.join(F.broadcast(sizes) if few else sizes, ["t", "g"]), "by_length")
+
+
 def frequent_matches(large: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id and place of those rows of large not in near that are similar to an earlier line of one of their tokens, by the order of counts among the lines of large."""
-    lines = large.select("doc_id", "place").distinct().join(sets, ["doc_id", "place"])
+    """doc_id and place of those lines of large (doc_id, place) not in near that are similar to an earlier one of them, by the order of counts among these lines."""
+    lines = large.join(sets, ["doc_id", "place"])
     held = _by_count(lines, percent, "named")
-    placed = cut(_in_prefix(held).where(F.col("c") <= GROUP).join(sets.select("doc_id", "place", "n", "bits"), ["doc_id", "place"]), "rarer")
-    other = placed.select("t", F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    placed = cut(_in_prefix(held).where(F.col("c") <= GROUP).join(sets.drop("tokens"), ["doc_id", "place"]), "rarer")
+    other = placed.select("t", *_other())
     found = verified(placed.join(near, ["doc_id", "place"], "left_anti").join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent)
     open_ = held.join(near, ["doc_id", "place"], "left_anti").join(found, ["doc_id", "place"], "left_anti").select("doc_id", "place", F.lit(True).alias("open"))
     f = F.sort_array(F.transform(F.filter("cs", lambda x: x["c"] > GROUP), lambda x: x["t"]))
@@ -208,12 +238,12 @@ def frequent_matches(large: DataFrame, near: DataFrame, sets: DataFrame, percent
 
 
 def _placed(docs: DataFrame, tokens: DataFrame, width: int, repeats: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Tokens (doc_id, place, t) of two classes or more, with their count c, the class's size n and its bits; the classes' full sets; and how many tokens there are."""
+    """Tokens (doc_id, place, t) of two classes or more, with their count c, the class's size n, bits and half; the classes' full sets; and how many tokens there are."""
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     n_shared = shared.count()
     members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
     sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), width, repeats), "sets")
-    placed = cut(members.join(sets.select("doc_id", "place", "n", "bits"), ["doc_id", "place"]), "placed")
+    placed = cut(members.join(sets.drop("tokens"), ["doc_id", "place"]), "placed")
     return placed, sets, n_shared
 
 
@@ -224,17 +254,24 @@ def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeat
     with recorded(passing):
         placed, sets, n_shared = _placed(docs, tokens, width, repeats)
     release(docs.sparkSession, passing, placed, sets)
-    named = lambda x: [F.col(f"{x}.{c}").alias(to) for c, to in (("doc_id", "d"), ("place", "p"), ("n", "m"), ("bits", "others"))]
-    head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "bits")).alias("f")).select("t", *named("f"))
+    head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "bits", "half")).alias("f")).select("t", *_other("f."))
     linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
     near = verified(linked, sets, percent)
     open_ = placed.join(near, ["doc_id", "place"], "left_anti")
     small = F.col("c").between(3, GROUP)
-    other = placed.alias("o").where(small).select("t", *named("o"))
-    near = near.unionByName(verified(open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))), sets, percent))
+    other = placed.where(small).select("t", *_other())
+    pairs = open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))).drop("t", "c")
     large = placed.where(F.col("c") > GROUP)
-    if not large.isEmpty():
-        near = near.unionByName(frequent_matches(large, near, sets, percent))
+    if large.isEmpty():
+        return near.unionByName(verified(pairs, sets, percent)).distinct()
+    dealt = by_length(large, near, percent)
+    few = F.col("c") <= GROUP * BY_LENGTH
+    other = dealt.where(few).select("t", "g", F.col("k").alias("j"), *_other())
+    met = dealt.where(few & F.col("open")).join(other, ["t", "g"]).where(_earlier(F.col("d"), F.col("p")) & ((F.col("k") == F.col("g")) | (F.col("j") == F.col("g"))))
+    near = near.unionByName(verified(pairs.unionByName(met.select(pairs.columns)), sets, percent))
+    larger = dealt.where(~few).select("doc_id", "place").distinct()
+    if not larger.isEmpty():
+        near = near.unionByName(frequent_matches(larger, near, sets, percent))
     return near.distinct()
 
 
