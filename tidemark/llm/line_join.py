@@ -34,7 +34,6 @@ PLACE_BITS = 24  # of a word's place in its line, below length and word hash in
 SLACK = 16  # tokens after the prefix's end that may share its last first word, before all tokens are sent instead
 BROADCAST_ROWS = 300_000
 BROADCAST_TOKENS = 1_000_000  # rows of 8 bytes
-BROADCAST_HEADS = 200_000  # rows of five numbers
 GROUP = 256
 BLOCK = 256
 BY_LENGTH = 4  # groups of one length class may be so many times larger: their pairs are filtered by numbers at hand, which costs less than a row for each token
@@ -167,6 +166,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(_close(F.col("x"), F.col("y"), percent)).select("doc_id", "place").distinct(), "verified")
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _by_count(lines: DataFrame, percent: int, name: str) -> DataFrame:
     """lines (doc_id, place, n, tokens) with cs, those of their tokens that others of these lines have too with counts, rarest first, and k, how many of these are in the prefix of all n tokens in that order; lines without any go."""
     named = cut(lines.select("doc_id", "place", "n", F.explode("tokens").alias("t")), name)
@@ -208,7 +212,7 @@ def by_length(large: DataFrame, near: DataFrame, percent: int) -> DataFrame:
 
     A class is wider than the length filter, so similar lines are of one class or of neighbours, and meet in the group of the lower one."""
     k = F.floor(F.log(F.col("n")) / F.log(F.lit(104.0 / percent))).cast("int")
-    asks = near.select("doc_id", "place", F.lit(True).alias("near"))
+    asks = _small(near.select("doc_id", "place", F.lit(True).alias("near")))
     own = cut(large.drop("c").withColumn("k", k).join(asks, ["doc_id", "place"], "left").withColumn("open", F.col("near").isNull()).drop("near"), "classed")
     twice = own.withColumn("g", F.col("k")).unionByName(own.withColumn("g", F.col("k") - 1))
     sizes = cut(twice.groupBy("t", "g").agg(F.count("*").alias("c"), F.max("open").alias("asked"), F.min("k").alias("least")).where("asked AND c > 1 AND least = g").drop("asked", "least"), "sizes")
@@ -218,7 +222,7 @@ def by_length(large: DataFrame, near: DataFrame, percent: int) -> DataFrame:
 
 def frequent_matches(large: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """doc_id and place of those lines of large (doc_id, place) not in near that are similar to an earlier one of them, by the order of counts among these lines."""
-    lines = large.join(sets, ["doc_id", "place"])
+    lines = sets.join(_small(large), ["doc_id", "place"], "left_semi")
     held = _by_count(lines, percent, "named")
     placed = cut(_in_prefix(held).where(F.col("c") <= GROUP).join(sets.drop("tokens"), ["doc_id", "place"]), "rarer")
     other = placed.select("t", *_other())
@@ -237,14 +241,14 @@ def frequent_matches(large: DataFrame, near: DataFrame, sets: DataFrame, percent
     return found.unionByName(both.where(_earlier(F.col("d"), F.col("p"))).select("doc_id", "place"))
 
 
-def _placed(docs: DataFrame, tokens: DataFrame, width: int, repeats: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Tokens (doc_id, place, t) of two classes or more, with their count c, the class's size n, bits and half; the classes' full sets; and how many tokens there are."""
+def _placed(docs: DataFrame, tokens: DataFrame, width: int, repeats: bool) -> tuple[DataFrame, DataFrame]:
+    """Tokens (doc_id, place, t) of two classes or more, with their count c, the class's size n, bits and half; and the classes' full sets."""
     shared = cut(tokens.groupBy("t").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     n_shared = shared.count()
     members = cut(tokens.join(F.broadcast(shared) if n_shared <= BROADCAST_TOKENS else shared, "t"), "members")
     sets = cut(_sets(docs, members.select("doc_id", "place").distinct(), width, repeats), "sets")
     placed = cut(members.join(sets.drop("tokens"), ["doc_id", "place"]), "placed")
-    return placed, sets, n_shared
+    return placed, sets
 
 
 def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeats: bool) -> DataFrame:
@@ -252,12 +256,12 @@ def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeat
     tokens = firsts.where("prefix IS NOT NULL").select("doc_id", "place", F.explode("prefix").alias("t"))
     passing: list[str] = []  # tables that placed is made of, deleted when it has been written
     with recorded(passing):
-        placed, sets, n_shared = _placed(docs, tokens, width, repeats)
+        placed, sets = _placed(docs, tokens, width, repeats)
     release(docs.sparkSession, passing, placed, sets)
     head = placed.groupBy("t").agg(F.min(F.struct("doc_id", "place", "n", "bits", "half")).alias("f")).select("t", *_other("f."))
-    linked = placed.join(F.broadcast(head) if n_shared <= BROADCAST_HEADS else head, "t").where(_earlier(F.col("d"), F.col("p")))
+    linked = placed.join(head, "t").where(_earlier(F.col("d"), F.col("p")))
     near = verified(linked, sets, percent)
-    open_ = placed.join(near, ["doc_id", "place"], "left_anti")
+    open_ = placed.join(_small(near), ["doc_id", "place"], "left_anti")
     small = F.col("c").between(3, GROUP)
     other = placed.where(small).select("t", *_other())
     pairs = open_.where(small).join(other, "t").where(_earlier(F.col("d"), F.col("p"))).drop("t", "c")
@@ -269,7 +273,7 @@ def matched(docs: DataFrame, firsts: DataFrame, width: int, percent: int, repeat
     other = dealt.where(few).select("t", "g", F.col("k").alias("j"), *_other())
     met = dealt.where(few & F.col("open")).join(other, ["t", "g"]).where(_earlier(F.col("d"), F.col("p")) & ((F.col("k") == F.col("g")) | (F.col("j") == F.col("g"))))
     near = near.unionByName(verified(pairs.unionByName(met.select(pairs.columns)), sets, percent))
-    larger = dealt.where(~few).select("doc_id", "place").distinct()
+    larger = cut(dealt.where(~few).select("doc_id", "place").distinct(), "larger")
     if not larger.isEmpty():
         near = near.unionByName(frequent_matches(larger, near, sets, percent))
     return near.distinct()
