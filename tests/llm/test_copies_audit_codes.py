@@ -108,6 +108,36 @@ def test_audit_of_an_empty_table(spark):
     assert divergence.divergence(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_counts_are_handed_on_piece_by_piece(monkeypatch, kind):
+    import pyarrow as pa
+
+    rng, taken = random.Random(8), []
+    texts = ["", " ", "Ünder ünder\n日本\t日本", "x1y", "tea " * 3000, "12"] + [" ".join("".join(rng.choices("abcdeÄß", k=3)) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = [(rng.choice(["en", "", "d\u00e9"]), rng.choice(["a", "b", ""]), t) for t in texts]
+    rows += [("en", "no words", "1 2 3"), ("en", "no words", "")]
+
+    def batches():
+        for at in range(0, len(rows), 50):
+            taken.append(at)
+            cols = zip(*[("x", "cut off", "before"), *rows[at : at + 50]], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=getattr(pa, kind)()) for c in cols], names=["lang", "source", "text"]).slice(1)
+
+    monkeypatch.setattr(divergence, "PIECE", 1000, raising=False)
+    counted = divergence._counted(batches())
+    first = next(counted)
+    assert len(taken) == 1 and sum(first.column("n").to_pylist()) < sum(len(t.split()) for t in texts[:50])
+    n, docs = Counter(), Counter()
+    for b in [first, *counted]:
+        for lang, source, term, k, d in zip(*b.to_pydict().values(), strict=True):
+            n[lang, source, term] += k
+            docs[lang, source, term] += d
+    words = [(r[:2], re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r[2].translate(FOLD))) for r in rows]
+    assert +n == Counter((*g, t) for g, ts in words for t in ts)
+    assert +docs == Counter((*g, t) for g, ts in words for t in set(ts))
+    assert {k[:2] for k in n if k[2] is None} == {r[:2] for r in rows}
+
+
 def test_equal_subtrees_are_one_node():
     import numpy as np
 

@@ -31,44 +31,47 @@ from .common import column, cut
 LEAST_DOCS = 30
 BLOCK = 2048  # terms of a block, about
 TILE = 64  # sources of a tile's side, about
-TEXT_BYTES = 1 << 26  # a task's counts are handed on after so many bytes of text, which bounds them
+PIECE = 1 << 22  # bytes of text that are counted at a time, which bounds what counting holds, whatever the texts
 COUNTS = "lang string, source string, term string, n long, docs long"
 #: bytes.translate table that folds A-Z and turns all of ASCII but letters into a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def _counted(batches: Iterator) -> Iterator:
-    """Occurrences and documents of each term by (lang, source), and a row without a term for each group."""
-    from collections import Counter
-
+    """Occurrences and documents of each term by (lang, source), and a row without a term for each group, anew for each slice of PIECE bytes of text; nothing is held from one slice to the next."""
+    import numpy as np
     import pyarrow as pa
-
-    held: dict = {}
-    size = 0
-
-    def out():
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            for at in range(0, len(terms) + 1, 50_000):
-                part = terms[at : at + 50_000]
-                head = [] if at else [None]  # the group itself
-                k = len(head) + len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * k), pa.array([source] * k), pa.array(head + part, type=pa.binary()).cast(pa.string()), pa.array([0] * len(head) + [n[t] for t in part], type=pa.int64()), pa.array([0] * len(head) + [docs[t] for t in part], type=pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+    import pyarrow.compute as pc
 
     for batch in batches:
-        for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            words = text.encode().translate(LETTERS).split()
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            n.update(words)
-            docs.update(set(words))
-            size += len(text)
-            if size > TEXT_BYTES:
-                yield from out()
-                held, size = {}, 0
-    yield from out()
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + PIECE, side="right")))
+            lang, source, text = (batch.column(c).slice(at, stop - at).cast(pa.string()) for c in ("lang", "source", "text"))
+            at = stop
+            offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
+            data = text.buffers()[2]
+            letters = (data[int(offsets[0]) : int(offsets[-1])].to_pybytes() if data else b"").translate(LETTERS)
+            lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(text), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(letters)))
+            words, doc = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+            real = pc.not_equal(pc.binary_length(words), 0)
+            words, doc = words.filter(real).dictionary_encode(), doc[real.to_numpy(zero_copy_only=False)].astype(np.int64)
+            langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+            group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+            known = max(1, len(words.dictionary))
+            key, times = np.unique(doc * known + words.indices.to_numpy(), return_counts=True)  # a document's terms
+            key, of = np.unique(group[key // known] * known + key % known, return_inverse=True)
+            n, docs = np.bincount(of, weights=times, minlength=len(key)).astype(np.int64), np.bincount(of, minlength=len(key))
+            groups = np.unique(group)
+            owner = np.concatenate([groups, key // known])
+            zero = np.zeros(len(groups), dtype=np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(owner // len(sources.dictionary))), sources.dictionary.take(pa.array(owner % len(sources.dictionary))), pa.concat_arrays([pa.nulls(len(groups), pa.string()), words.dictionary.take(pa.array(key % known))]), pa.array(np.concatenate([zero, n])), pa.array(np.concatenate([zero, docs]).astype(np.int64))],
+                names=["lang", "source", "term", "n", "docs"],
+            )
+            for k in range(0, len(out), 50_000):
+                yield out.slice(k, 50_000)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
